@@ -90,6 +90,7 @@ class Words:
     bounds: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
+    prefixes: tuple[np.ndarray, ...] = ()
 
     @property
     def counts(self) -> np.ndarray:
@@ -100,12 +101,16 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ALNUM) -> Words:
-    """Lower-case A-Z and split into maximal runs of bytes of a kind, none across two texts."""
+def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ALNUM, prefixes: tuple[int, ...] = ()) -> Words:
+    """Lower-case A-Z and split into maximal runs of bytes of a kind, none across two texts.
+
+    prefixes: lengths in bytes for which to hash the beginnings of words too, 0 for shorter words.
+    """
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none)
+        empty = np.zeros(0, np.uint64)
+        return Words(empty, np.zeros(len(offsets), np.int64), none, none, (empty,) * len(prefixes))
     low = LOWER[data]
     inside = np.zeros(n + 2, bool)
     inside[1:-1] = kind[low]
@@ -119,7 +124,11 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ALNUM) -> Wo
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[low] * up[:n], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * down[starts])
-    return Words(hashes, np.searchsorted(starts, offsets), starts, ends)
+    begun = tuple(
+        np.where(ends - starts >= p, mix((total[np.minimum(starts + p, n)] - total[starts]) * down[starts] + np.uint64(p)), np.uint64(0))
+        for p in prefixes
+    )
+    return Words(hashes, np.searchsorted(starts, offsets), starts, ends, begun)
 
 
 def ngrams(found: Words, n: int) -> tuple[np.ndarray, np.ndarray]:

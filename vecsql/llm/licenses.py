@@ -62,7 +62,9 @@ def base_columns(text: Column) -> list[Column]:
     phrases = [(_phrase(p), label) for p, label in PHRASES]
     any_of = "|".join(p for p, _ in phrases)
     places = sum((F.regexp_count(text, F.lit(p)) for p, _ in phrases), F.lit(0)).cast("long")
-    hit = text.rlike(any_of)
+    # every phrase holds one of these, however written; looking for them is far cheaper than the phrases
+    low = F.lower(text)
+    hit = (low.contains("license") | low.contains("cc")) & text.rlike(any_of)
     before = [F.when(hit, n_words(F.regexp_extract(text, rf"(?s)^({how})(?:{any_of})", 1))) for how in (".*?", ".*")]
     labels = F.when(hit, F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(label)) for p, label in phrases])))
     return [
@@ -120,7 +122,8 @@ def matches(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, threshold
     stride = max(len(t.split()) for _, t in templates)
     mine = F.array(*map(F.lit, vocabulary))
     least = min(ceil(threshold * len(set(t.split())) - 1e-9) for _, t in templates)
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text_words(F.col("text")).alias("words"))
+    # explode of the one array keeps the words from being split off again for each use
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.array(text_words(F.col("text")))).alias("words"))
     texts = texts.filter(F.size(F.array_intersect("words", mine)) >= least)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - stride, F.lit(1)), F.lit(stride))
     blocks = texts.select("doc_id", "text_hash", "words", F.explode(starts).alias("start")).select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, near_dedup, packing, quality, secrets, suffix_tree, toxicity, vector_dedup
+from . import images, licenses, mixing, near_dedup, packing, quality, secrets, suffix_tree, toxicity, vector_dedup
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_vector_dedup": vector_dedup.op5_vector_dedup,
     "op6_packing": packing.op6_packing,
     "op7_secrets": secrets.op7_secrets,
+    "op8_image_copies": images.op8_image_copies,
     "op9_suffix_tree": suffix_tree.op9_suffix_tree,
     "op10_toxicity": toxicity.op10_toxicity,
 }

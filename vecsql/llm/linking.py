@@ -57,13 +57,13 @@ def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 60)
 
 def linked_groups(
     members: DataFrame,
-    verify: Callable[[DataFrame], DataFrame],
+    verify: Callable[[DataFrame, bool], DataFrame],
     alike: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame, Column]],
     scratch: Scratch,
 ) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) and components (node, root) of ``members(node, bucket)``; node is a long.
 
-    verify: of pairs (a, b), those that are links. alike: gives two sides of rows (node, bucket,
+    verify: of pairs (a, b), those that are links; told whether they met the condition of alike. alike: gives two sides of rows (node, bucket,
     root) what it needs and the condition, on ``x`` and ``y``, that a pair must meet to be verified.
     """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -74,7 +74,7 @@ def linked_groups(
     placed = scratch.save(shared.select("node", "bucket").join(hubs, "bucket"), "placed")
     scratch.drop("shared")
     stars = placed.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = scratch.save(verify(stars), "links")
+    links = scratch.save(verify(stars, False), "links")
     groups = components(links, scratch, "first")
     root = F.coalesce("root", "node")
     rooted = placed.join(groups, "node", "left").select("node", "bucket", "hub", root.alias("root"))
@@ -89,7 +89,7 @@ def linked_groups(
     x, y = x.alias("x"), y.alias("y")
     fresh = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & (F.col("y.node") != F.col("x.hub"))
     late = x.join(y, fresh & condition).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = scratch.save(verify(late), "more")
+    more = scratch.save(verify(late, True), "more")
     scratch.drop("rooted", "placed")
     links = links.union(more)
     return links, components(links, scratch, "all") if more.take(1) else groups

@@ -29,8 +29,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: At a similarity of 0.8 two texts share a band with probability 1 - (1 - 0.8 ** 5) ** 24 > 0.9999.
 BANDS, ROWS = 24, 5
-REGISTERS = BANDS * ROWS
-#: Three standard deviations below 0.8 of a similarity estimated from the registers.
+#: The bands take the first of them; all serve to estimate a similarity.
+REGISTERS = 384
+#: Three standard deviations below 0.8 of a similarity estimated from all registers.
 LEAST_ESTIMATE = SIMILARITY - 3 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 #: Up to so many keys (some 100 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 400_000
@@ -82,7 +83,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, data, offsets in _chunks(batch.column(2)):
             hashes, rows, counts = weighted_shingles(data, offsets)
             size = np.bincount(rows, minlength=b - a)
-            sign = (signatures(hashes, rows, counts, b - a) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            sign = (signatures(hashes, rows, counts, b - a) >> np.uint64(48)).astype(np.uint16).view(np.int16)
             full = np.flatnonzero(size)
             bounds = np.zeros(b - a + 1, np.int32)
             bounds[full + 1] = REGISTERS
@@ -129,7 +130,7 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", _key(F.col("text")).alias("text_key"), "text")
-    rows = keyed.mapInArrow(_sign, f"doc_id {kind}, text_key string, size long, sign array<int>")
+    rows = keyed.mapInArrow(_sign, f"doc_id {kind}, text_key string, size long, sign array<smallint>")
     # of one text the size and registers are equal: any of them will do
     classes = rows.groupBy("text_key").agg(
         F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sign").alias("sign")
@@ -139,11 +140,12 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     bands = [F.xxhash64(F.lit(b), F.slice("sign", b * ROWS + 1, ROWS)) for b in range(BANDS)]
     members = signed.select("node", F.explode(F.array(*bands)).alias("bucket"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, sized: bool) -> DataFrame:
         name = f"pairs-{len(made)}"
         made.append(name)
-        sizes = signed.select("node", "size")
-        pairs = pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b").filter(_may_reach("size_a", "size_b"))
+        if not sized:
+            sizes = signed.select("node", "size")
+            pairs = pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b").filter(_may_reach("size_a", "size_b"))
         pairs = scratch.save(pairs, name)
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = scratch.save(nodes.join(classes, "node").select("node", F.col("text_key").alias("its_key"), F.col("least_id").alias("its_id")), f"{name}-texts")

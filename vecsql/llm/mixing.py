@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, unused
 
 #: Words as this operator counts them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -77,9 +77,10 @@ def mixed(
     sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     table = scratch.save(targets(sums, weights, most), "targets")
     few = table.count() <= BROADCAST_SOURCES
-    table = table.withColumnRenamed("source", "its_source")
-    on = F.col("source").eqNullSafe(F.col("its_source"))
-    joined = docs.join(F.broadcast(table) if few else table, on).drop("its_source")
+    its_source = unused("its_source", docs)
+    table = table.withColumnRenamed("source", its_source)
+    on = F.col("source").eqNullSafe(F.col(its_source))
+    joined = docs.join(F.broadcast(table) if few else table, on).drop(its_source)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     once_more = draw(seed, F.col("doc_id"), F.col("text")) < rate - F.floor(rate)
     return joined.withColumn("copies", (F.floor(rate) + once_more.cast("int")).cast("long"))
@@ -87,7 +88,7 @@ def mixed(
 
 def emit_copies(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Each document as often as its ``copies`` say; those taken no time go."""
-    repeated = docs.filter(F.col("copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    repeated = docs.filter(F.col("copies") > 0).withColumn(unused("copy", docs), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return repeated.select(*columns)
 
 

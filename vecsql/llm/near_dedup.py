@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linking import linked_groups
-from .scratch import Scratch
+from .scratch import Scratch, unused
 from .words import mix, ngrams, row_chunks, text_buffer, words
 
 SHINGLE = 5
@@ -191,16 +191,17 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "near-dedup-rows")
     found, _ = groups(docs)
-    decided = found.groupBy("doc_id", "text_key").agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
-    decided = scratch.save(decided.filter("not kept or n > 1").withColumnsRenamed({"doc_id": "its_id", "text_key": "its_key"}), "decided")
+    its_id, its_key, its_kept, text_key = (unused(n, docs) for n in ("its_id", "its_key", "its_kept", "text_key"))
+    decided = found.groupBy(F.col("doc_id").alias(its_id), F.col("text_key").alias(its_key)).agg(F.first("kept").alias(its_kept), F.count("*").alias("n"))
+    decided = scratch.save(decided.filter(~F.col(its_kept) | (F.col("n") > 1)).drop("n"), "decided")
     few = decided.count() <= BROADCAST_KEYS
-    on = F.col("doc_id").eqNullSafe(F.col("its_id")) & (_key(F.col("text")) == F.col("its_key"))
-    again = decided.filter("kept")
+    on = F.col("doc_id").eqNullSafe(F.col(its_id)) & (_key(F.col("text")) == F.col(its_key))
+    again = decided.filter(its_kept)
     single = docs.join(F.broadcast(decided) if few else decided, on, "left_anti")
     if not again.take(1):
         return single
-    repeated = docs.join(F.broadcast(again) if few else again, on, "left_semi").withColumn("text_key", _key(F.col("text")))
-    return single.unionByName(repeated.dropDuplicates(["doc_id", "text_key"]).drop("text_key"))
+    repeated = docs.join(F.broadcast(again) if few else again, on, "left_semi").withColumn(text_key, _key(F.col("text")))
+    return single.unionByName(repeated.dropDuplicates(["doc_id", text_key]).drop(text_key))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

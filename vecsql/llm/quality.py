@@ -18,6 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .training import fold, labelled_sample
 
@@ -125,7 +126,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             found = np.array([shared.value.difference(t.as_py() or b"") for t in texts], float)
             yield batch.append_column("score", pa.array(shared.value.score(found), pa.float64()))
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double"]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 #: A document is kept from this score on.

@@ -13,6 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from vecsql.storage import shared_dir
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """The name, with underscores before it until no column of the frames has it."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 class Scratch:
     """Named tables of one operator call; a unique folder keeps concurrent calls apart."""
 

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "ssh")
@@ -196,8 +197,8 @@ def scan(docs: DataFrame) -> DataFrame:
     tasks are run again on their part of the input.
     """
     docs = docs.drop("base_spans", "spans")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_scan, f"{fields}, base_spans {_SPANS}, spans {_SPANS}")
+    found = T.StructType.fromDDL(f"base_spans {_SPANS}, spans {_SPANS}")
+    return docs.mapInArrow(_scan, T.StructType([*docs.schema.fields, *found.fields]))
 
 
 def _joined(spans: Column) -> Column:

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .training import fold, labelled_sample
 from .words import Words, row_chunks, text_buffer, words
@@ -247,7 +248,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 out.append(shared.value.score(words(data[own[0] : own[-1]], own - own[0], prefixes=PREFIXES)))
             yield batch.append_column("score", pa.array(np.concatenate(out), pa.float64()))
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double"]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ DEPTH = 3
 P_GRAM = 1e-5
 P_WORD = 5e-7
 #: Tokens whose n-grams are counted together before they are reported.
-SEGMENT = 2_000_000
+SEGMENT = 1_000_000
 PSEUDO = 0.1
 DISCOUNT = 0.75
 #: Natural logarithm's gain a token that a context must bring over its parent.

@@ -28,9 +28,9 @@ DIMENSIONS = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 EPOCHS = 8
-STEP = 0.05
+STEP = 0.1
 #: Steps at least; few texts are gone through more often.
-STEPS = 200
+STEPS = 400
 #: Bytes of a word's beginnings that have embeddings of their own.
 PREFIXES = (4, 5)
 
@@ -121,7 +121,7 @@ class Model:
 
 def _fresh(seed: int) -> Model:
     rng = np.random.default_rng(seed)
-    e = rng.normal(0, 0.3, (BUCKETS, DIMENSIONS))
+    e = rng.normal(0, 0.02, (BUCKETS, DIMENSIONS))  # small: words never trained stay near nothing
     e[0] = 0
     filters = {w: rng.normal(0, 0.5 / w, (w, DIMENSIONS, FILTERS)) for w in WIDTHS}
     return Model(e, filters, {w: np.zeros(FILTERS) for w in WIDTHS}, rng.normal(0, 0.3, FILTERS * len(WIDTHS)), 0.0)

@@ -319,13 +319,18 @@ class Catalog:
         if not info:
             return []
         q = _prepared(index.metric, query[None])[0]
-        away = np.sqrt(((np.array([r.centroid for r in info]) - q) ** 2).sum(1))
+        centroids, spread = np.array([r.centroid for r in info]), np.array([r.radius for r in info])
         full = np.array([r.n > 0 for r in info])
+        if index.metric == "ip":  # of a cell, no inner product is larger than the centroid's plus |q| times the radius
+            least = -(centroids @ q) - np.linalg.norm(q) * spread
+            reach, order = radius, least
+        else:
+            order = np.sqrt(((centroids - q) ** 2).sum(1))
+            least = order - spread
+            reach = radius if index.metric == "l2sq" or radius is None else np.sqrt(max(0.0, 2 * radius))
         if radius is not None:
-            reach = radius if index.metric == "l2sq" else np.sqrt(max(0.0, 2 * radius)) if index.metric == "cosine" else np.inf
-            return np.flatnonzero(full & (away - np.array([r.radius for r in info]) <= reach + 1e-9)).tolist()
-        order = [c for c in np.argsort(away, kind="stable") if full[c]]
-        return [int(c) for c in order[:cells]]
+            return np.flatnonzero(full & (least <= reach + 1e-9)).tolist()
+        return [int(c) for c in np.argsort(order, kind="stable") if full[c]][:cells]
 
     def probes(self, index: Index) -> int:
         """Cells that a search reads: those that hold ``ef_search`` rows many times over, at least an eighth."""
@@ -347,8 +352,6 @@ class Catalog:
 
         if not exact:
             return ranked(self._probed(index, query, cells or self.probes(index), None))
-        if index.metric == "ip":
-            return ranked(None)
         # the k-th distance of a first search bounds the radius that has to be read
         near = ranked(self._probed(index, query, self.probes(index), None)).collect()
         return ranked(self._probed(index, query, None, near[-1].dist) if len(near) == k and k else None)
@@ -357,8 +360,7 @@ class Catalog:
         """(key, dist) of all rows within the radius: cells are ruled out, rows are not missed."""
         index = self.get(name)
         query = np.asarray(query, float)
-        rows = self.rows(name, self._probed(index, query, None, radius)) if index.metric != "ip" else self.rows(name)
-        found = rows.select("key", distance(METRICS[index.metric], "vector", query.tolist()).alias("dist"))
+        found = self.rows(name, self._probed(index, query, None, radius)).select("key", distance(METRICS[index.metric], "vector", query.tolist()).alias("dist"))
         return found.filter(F.col("dist") <= radius if inclusive else F.col("dist") < radius)
 
     def relaxed(self, name: str, query: Sequence[float], radius: float, patience: int = 4) -> DataFrame:

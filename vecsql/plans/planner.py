@@ -3,7 +3,7 @@
 A query is described by its relations, join keys, filters and the vector predicate. When it
 joins more than two relations, the rows of the vector side are counted (``mode='probe'``) or
 estimated from a sample (``'sample'``), the others are guessed from their sizes, and a left-deep order
-grows from the smallest relation along the join keys. The distance is computed once, in the vector
+grows along the join keys, from the relation that makes it cheapest. The distance is computed once, in the vector
 side, and carried on. The vector side is broadcast only if its counted rows are few.
 """
 
@@ -152,28 +152,33 @@ def _joins(query: VectorQuery, name: str, done: Sequence[str]) -> bool:
 
 
 def _order(query: VectorQuery, estimates: dict[str, float]) -> list[str]:
-    """From the smallest relation on, always the connected one that leaves the fewest rows.
+    """The greedy order, from whichever relation makes it cheapest by the rows of all its steps.
 
-    A join to a relation without filters keeps about the rows there are (a key of the other side);
-    one to a filtered relation keeps its share of them.
+    Joining a relation keeps its share of rows that its filters leave, and multiplies them where the
+    relation is the larger one of the join: by how much larger it is than its partner.
     """
+    whole = {n: max(_guess(df, None), estimates[n]) for n, df in query.relations.items()}
     optional = {j.right for j in query.joins if j.kind == "left"}
-    start = min((n for n in query.relations if n not in optional), key=lambda n: estimates[n])
-    order, rows, left = [start], estimates[start], [n for n in query.relations if n != start]
-    while left:
-        ready = [n for n in left if _joins(query, n, order)] or left
-
-        def after(name: str) -> float:
-            whole = _guess(query.relations[name], None)
-            share = min(1.0, estimates[name] / whole)
-            grows = max(1.0, whole / max(_guess(query.relations[order[0]], None), 1.0)) if name not in optional else 1.0
-            return rows * share * grows
-
-        best = min(ready, key=lambda n: (n in optional, after(n), estimates[n]))
-        rows = max(after(best), 1.0)
-        order.append(best)
-        left.remove(best)
-    return order
+
+    def grown(start: str) -> tuple[float, list[str]]:
+        order, rows, cost = [start], estimates[start], estimates[start]
+        while len(order) < len(query.relations):
+            left = [n for n in query.relations if n not in order]
+            ready = [n for n in left if _joins(query, n, order)] or left
+
+            def after(name: str) -> float:
+                partners = [({j.left, j.right} - {name}).pop() for j in query.joins if name in (j.left, j.right)]
+                fan = min((whole[name] / whole[x] for x in partners if x in order), default=whole[name])
+                share = 1.0 if name in optional else min(1.0, estimates[name] / whole[name])
+                return max(rows * share * max(1.0, fan), 1.0)
+
+            best = min(ready, key=lambda n: (n in optional, after(n), estimates[n], n))
+            rows = after(best)
+            cost += rows
+            order.append(best)
+        return cost, order
+
+    return min(grown(n) for n in query.relations if n not in optional)[1]
 
 
 def feedback(states: States, query: VectorQuery, estimated: float, true: float, table_rows: float) -> float:

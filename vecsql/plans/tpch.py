@@ -44,7 +44,9 @@ class Suite:
     def joined(self, *args, **kwargs) -> DataFrame:
         return plan(self.describe(*args, **kwargs), self.mode).frame
 
-    _dist = F.round("dist", 6).alias("dist")
+    @property
+    def _dist(self):
+        return F.round("dist", 6).alias("dist")
 
     def q3(self, segment: str = "HOUSEHOLD", day: str = "1997-03-14") -> DataFrame:
         df = self.joined(

@@ -170,6 +170,12 @@ class Catalog:
     def all(self) -> list[Index]:
         return [self.get(n) for n in self.files.names(self.root) if self.files.read(f"{self.root}/{n}/index.json") is not None]
 
+    def note(self, name: str, **extra) -> None:
+        """Facts to keep with an index."""
+        index = self.get(name)
+        index.extra |= extra
+        self._save(index)
+
     def match(self, table: str, column: str, function: str) -> Index | None:
         """An index of the column whose metric serves the function's order."""
         metric = metric_of(function)
@@ -247,6 +253,7 @@ class Catalog:
         if not index.dimensions:  # made over an empty table: fitted with the first rows
             self.drop(name)
             self.create(name, index.table, df, index.column, index.key, **index.options)
+            self.note(name, **{k: v for k, v in index.extra.items() if k not in ("made", "deletes", "key_type")})
             return
         rows = rows.withColumn("vector", F.when(F.size("vector") == index.dimensions, F.col("vector")).otherwise(F.raise_error(F.lit(f"vectors must have {index.dimensions} dimensions")).cast("array<double>")))
         centroids = np.array([r.centroid for r in self._centroids(index)])

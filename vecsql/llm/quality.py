@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .training import fold, labelled_sample
+from .training import fold, label_counts, labelled_sample
 
 #: Documents of either label that the dictionaries and the curve are made from, at most.
 ROWS_PER_CLASS = 1500
@@ -29,7 +29,7 @@ BLOCK = 512
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
 #: Bytes added to a text's length, so that a few bytes' difference in a short text weigh little.
-PRIOR_BYTES = 200
+PRIOR_BYTES = 40
 
 
 def _blocks(text: bytes) -> list[bytes]:
@@ -88,9 +88,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float =
     return w
 
 
-def train(rows: Sequence[tuple[str, int]]) -> Model:
+def train(rows: Sequence[tuple[str, int]], counts: dict[int, int] | None = None) -> Model:
     """From (text, label) pairs; even ones make the dictionaries, odd ones the curve.
 
+    counts: of all labels, where the pairs are a sample of each class; the curve then gives the
+    probability at those shares instead of the sample's.
     Without both labels there is nothing to tell apart, and every score is 1 or 0 by the only label
     (0.5 without any).
     """
@@ -103,11 +105,13 @@ def train(rows: Sequence[tuple[str, int]]) -> Model:
     y = np.array([k for k in (0, 1) for _ in by[k][1::2]], float)
     model.scale = float(x.std()) or 1.0
     model.slope, model.offset = fit_logistic(x / model.scale, y)
+    if counts and counts[0] and counts[1]:
+        model.offset += float(np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum())))
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Model:
-    return train(labelled_sample(docs, labels, "quality", rows_per_class))
+    return train(labelled_sample(docs, labels, "quality", rows_per_class), label_counts(labels, "quality"))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

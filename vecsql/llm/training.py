@@ -11,6 +11,19 @@ def fold(doc_id: Column, folds: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds).cast("int")
 
 
+def usable_labels(labels: DataFrame, label: str, folds: int = 5) -> DataFrame:
+    """(doc_id, label) outside fold 0 of the documents that have one label only; no null among them."""
+    clean = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id")
+    clean = clean.agg(F.min(label).alias("label"), F.max(label).alias("other")).filter("label = other")
+    return clean.filter(fold(F.col("doc_id"), folds) != 0).select("doc_id", "label")
+
+
+def label_counts(labels: DataFrame, label: str, folds: int = 5) -> dict[int, int]:
+    """How many documents have each label, over all usable ones."""
+    counts = {r.label: r["count"] for r in usable_labels(labels, label, folds).groupBy("label").count().collect()}
+    return {0: counts.get(0, 0), 1: counts.get(1, 0)}
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, folds: int = 5) -> list[tuple[str, int]]:
     """(text, label) of at most ``rows_per_class`` documents a class, outside fold 0, in the order of a hash.
 
@@ -18,9 +31,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
     ``labels`` alone and then joined, so one scan reads the texts of the chosen documents only.
     A document with two different labels is left out, as are null ids, labels and texts.
     """
-    clean = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id")
-    clean = clean.agg(F.min(label).alias("label"), F.max(label).alias("other")).filter("label = other")
-    clean = clean.filter(fold(F.col("doc_id"), folds) != 0).select("doc_id", "label", F.xxhash64(F.lit(label), "doc_id").alias("h"))
+    clean = usable_labels(labels, label, folds).withColumn("h", F.xxhash64(F.lit(label), "doc_id"))
     chosen = clean.filter("label = 0").orderBy("h", "doc_id").limit(rows_per_class)
     chosen = chosen.unionByName(clean.filter("label = 1").orderBy("h", "doc_id").limit(rows_per_class))
     rows = [(r.doc_id, r.label, r.h) for r in chosen.collect()]

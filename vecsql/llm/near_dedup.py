@@ -162,9 +162,11 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
         return found
 
     def alike(apart: DataFrame, every: DataFrame):
-        signs = signed.select("node", "sign", "size")
-        enough = (_estimate("x.sign", "y.sign") >= LEAST_ESTIMATE - (SIMILARITY - similarity)) & _may_reach("x.size", "y.size")
-        return apart.join(signs, "node"), every.join(signs, "node"), enough
+        signs = signed.select("node", "sign", "size", F.array(*bands).alias("buckets"))
+        # a pair counts in the first bucket that it shares
+        first = F.element_at(F.array_intersect("x.buckets", "y.buckets"), 1) == F.col("x.bucket")
+        enough = _estimate("x.sign", "y.sign") >= LEAST_ESTIMATE - (SIMILARITY - similarity)
+        return apart.join(signs, "node"), every.join(signs, "node"), _may_reach("x.size", "y.size") & first & enough
 
     made: list[str] = []
     links, roots = linked_groups(members, verify, alike, scratch)

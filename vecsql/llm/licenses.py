@@ -171,3 +171,40 @@ def scan(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, threshold: f
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def oracle(templates=TEMPLATES, threshold: float = 0.9) -> str:
+    """The same rows in DuckDB, every block compared with every template."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    stride = max(len(t.split()) for _, t in templates)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    places = ", ".join(
+        f"list_filter(range(0, len(w) - {len(p.split()) - 1}), lambda i: w[i + 1 : i + {len(p.split())}] = {quoted(p.split())}) AS p{n}" for n, (p, _) in enumerate(PHRASES)
+    )
+    every = " || ".join(f"p{n}" for n in range(len(PHRASES)))
+    base = ", ".join(f"CASE WHEN len(p{n}) > 0 THEN '{label}' END" for n, (_, label) in enumerate(PHRASES))
+    rows = ", ".join(f"('{label}', {quoted(sorted(set(t.split())))}, {ceil(threshold * len(set(t.split())) - 1e-9)})" for label, t in templates)
+    return rf"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row,
+    regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT *, {places} FROM d
+), f AS (
+  SELECT doc_id, row, w, {every} AS p, list_filter([{base}], lambda x: x IS NOT NULL) AS base FROM b
+), t(label, words, need) AS (
+  VALUES {rows}
+), blocks AS (
+  SELECT row, list_distinct(w[s : s + {2 * stride - 1}]) AS block
+  FROM (SELECT row, w, unnest(range(1, greatest(len(w) - {stride}, 1) + 1, {stride})) AS s FROM d)
+), m AS (
+  SELECT row, list(DISTINCT label) AS more, max(len(list_intersect(block, words))::DOUBLE / len(words)) AS best
+  FROM blocks, t WHERE len(list_intersect(block, words)) >= need GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(p)::BIGINT AS n_base, list_min(p)::BIGINT AS first_word, list_max(p)::BIGINT AS last_word,
+  array_to_string(list_sort(base), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(base || coalesce(more, []))), ',') AS labels,
+  CASE WHEN len(p) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+FROM f LEFT JOIN m USING (row)
+"""

@@ -209,3 +209,27 @@ def dedup(docs: DataFrame) -> DataFrame:
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "class_id", "copies", "kept")
+
+
+#: The same rows in DuckDB for distinct ids: all texts that share a shingle are compared.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT coalesce(text, '') AS t, min(doc_id) AS node, count(*) AS copies FROM documents GROUP BY 1
+), w AS (
+  SELECT node, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d
+), s AS (
+  SELECT DISTINCT node, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS s
+  FROM w WHERE len(w) > 0
+), n AS (
+  SELECT node, count(*) AS n FROM s GROUP BY node
+), p AS (
+  SELECT x.node AS a, y.node AS b, count(*) AS common FROM s x JOIN s y ON x.s = y.s AND x.node <> y.node GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.node = a JOIN n y ON y.node = b WHERE common >= 0.8 * (x.n + y.n - common)
+), r(node, root) AS (
+  SELECT node, node FROM d UNION SELECT l.a, r.root FROM l JOIN r ON l.b = r.node
+), c AS (
+  SELECT node, min(root) AS class_id FROM r GROUP BY node
+)
+SELECT doc_id, class_id, copies, doc_id = class_id AS kept FROM documents JOIN d ON coalesce(text, '') = t JOIN c USING (node)
+"""

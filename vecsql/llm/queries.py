@@ -18,5 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_licenses": licenses.oracle(),
     "op3_mixing": mixing.ORACLE,
+    "op4_near_dedup": near_dedup.ORACLE,
+    "op5_vector_dedup": vector_dedup.ORACLE,
 }

@@ -200,3 +200,20 @@ def linked(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE, bloc
 
 def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: The same rows in DuckDB for usable vectors with distinct ids: every pair is compared.
+ORACLE = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+), l AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM e x JOIN e y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.v, y.v) >= 0.9
+), r(vec_id, root) AS (
+  SELECT vec_id, vec_id FROM e UNION SELECT l.a, r.root FROM l JOIN r ON l.b = r.vec_id
+), c AS (
+  SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id
+), n AS (
+  SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ GUESS_WORDS = {
 LANGUAGES = ("", *sorted(GUESS_WORDS))
 
 
+@lru_cache(maxsize=1)
 def _hash_table() -> tuple[np.ndarray, np.ndarray]:
     hashes, langs = [], []
     for n, lang in enumerate(LANGUAGES[1:]):

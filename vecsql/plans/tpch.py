@@ -24,6 +24,11 @@ def _date(text: str) -> str:
     return f"timestamp_ntz'{datetime.fromisoformat(text)}'"
 
 
+def _money(column: str):
+    """A price or a rate of two decimals, so that sums don't depend on the order of the rows."""
+    return F.col(column).cast("decimal(15,2)")
+
+
 class Suite:
     """The queries over one directory, for one query vector and radius."""
 
@@ -105,8 +110,8 @@ class Suite:
             ],
             {"r": f"r_name = '{region}'", "p": f"p_type = '{kind}'", "o": f"o_orderdate between {_date(first)} and {_date(last)}"},
         )
-        volume = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-        share = F.sum(F.when(F.col("n2.n_name") == nation, volume).otherwise(0.0)) / F.sum(volume)
+        volume = _money("l_extendedprice") * (1 - _money("l_discount"))
+        share = F.sum(F.when(F.col("n2.n_name") == nation, volume).otherwise(0)).cast("double") / F.sum(volume).cast("double")
         out = df.groupBy(F.year("o_orderdate").alias("o_year")).agg(F.round(share, 6).alias("mkt_share")).orderBy("o_year")
         return out if limit is None else out.limit(limit)
 
@@ -129,8 +134,8 @@ class Suite:
             ],
             {"p": f"p_name like '%{word}%'"},
         )
-        amount = F.col("l_extendedprice") * (1 - F.col("l_discount")) - F.col("ps_supplycost") * F.col("l_quantity")
-        out = df.groupBy(F.col("n_name").alias("nation"), F.year("o_orderdate").alias("o_year")).agg(F.round(F.sum(amount), 2).alias("sum_profit"))
+        amount = _money("l_extendedprice") * (1 - _money("l_discount")) - _money("ps_supplycost") * _money("l_quantity")
+        out = df.groupBy(F.col("n_name").alias("nation"), F.year("o_orderdate").alias("o_year")).agg(F.sum(amount).cast("double").alias("sum_profit"))
         out = out.orderBy("nation", F.desc("o_year"))
         return out if limit is None else out.limit(limit)
 
@@ -198,12 +203,12 @@ SQL = {
           AND n_regionkey = r_regionkey AND r_name = 'MIDDLE EAST' AND o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1998-01-01 00:00:00'
           AND ps_partkey = l_partkey AND ps_suppkey = l_suppkey AND {d} < {r}""",
     "q8": """SELECT CAST(year(o_orderdate) AS INT) AS o_year,
-          round(sum(CASE WHEN n2.n_name = 'NATION_7' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS mkt_share
+          round(sum(CASE WHEN n2.n_name = 'NATION_7' THEN l_extendedprice::DECIMAL(15,2) * (1 - l_discount::DECIMAL(15,2)) ELSE 0 END)::DOUBLE / sum(l_extendedprice::DECIMAL(15,2) * (1 - l_discount::DECIMAL(15,2)))::DOUBLE, 6) AS mkt_share
         FROM part, supplier, lineitem, orders, customer, nation n1, nation n2, region, partsupp
         WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND ps_partkey = l_partkey AND ps_suppkey = l_suppkey AND l_orderkey = o_orderkey
           AND o_custkey = c_custkey AND c_nationkey = n1.n_nationkey AND n1.n_regionkey = r_regionkey AND r_name = 'MIDDLE EAST' AND s_nationkey = n2.n_nationkey
           AND o_orderdate BETWEEN TIMESTAMP '1995-01-01 00:00:00' AND TIMESTAMP '1996-12-31 00:00:00' AND p_type = 'ECONOMY' AND {d} < {r} GROUP BY 1""",
-    "q9": """SELECT n_name AS nation, CAST(year(o_orderdate) AS INT) AS o_year, round(sum(l_extendedprice * (1 - l_discount) - ps_supplycost * l_quantity), 2) AS sum_profit
+    "q9": """SELECT n_name AS nation, CAST(year(o_orderdate) AS INT) AS o_year, sum(l_extendedprice::DECIMAL(15,2) * (1 - l_discount::DECIMAL(15,2)) - ps_supplycost::DECIMAL(15,2) * l_quantity::DECIMAL(15,2))::DOUBLE AS sum_profit
         FROM part, supplier, lineitem, partsupp, orders, nation
         WHERE s_suppkey = l_suppkey AND ps_suppkey = l_suppkey AND ps_partkey = l_partkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey
           AND s_nationkey = n_nationkey AND p_name LIKE '%ring%' AND {d} < {r} GROUP BY 1, 2""",

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linking import linked_groups
-from .scratch import Scratch, unused
+from .scratch import Scratch, small_batches, unused
 from .words import mix, ngrams, row_chunks, text_buffer, words
 
 SHINGLE = 5
@@ -72,7 +72,7 @@ def weighted_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
 
 def _chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = text_buffer(column)
-    for a, b in row_chunks(offsets, 1 << 20):
+    for a, b in row_chunks(offsets):
         for c in range(a, b, 2048):
             own = offsets[c : min(c + 2048, b) + 1]
             yield c, min(c + 2048, b), data[own[0] : own[-1]], own - own[0]
@@ -126,6 +126,7 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     an empty table gives empty ones.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "near-dedup")
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
 from .words import NON_SPACE, row_chunks, text_buffer, words
 
 CAPACITY = 2048
@@ -116,6 +117,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     never share a bin; so are the pieces of one text. Repeated rows are packed each. Only
     doc_id, text and source are read; an empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     shards = max(1, ceil(total / shard_bytes))

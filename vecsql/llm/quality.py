@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import small_batches
 from .training import fold, label_counts, labelled_sample
 
 #: Documents of either label that the dictionaries and the curve are made from, at most.
@@ -121,6 +122,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     replaced). One pass without a shuffle. The model, two dictionaries of fixed size, goes out once
     as a broadcast variable.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -13,6 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from vecsql.storage import shared_dir
 
 
+#: Rows of an Arrow batch, at most, where rows hold texts or pictures.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session's Arrow batches have at most ``BATCH_ROWS`` rows.
+
+    Spark counts rows, not bytes; at its usual 10,000 a batch of long texts takes hundreds of MB,
+    on the JVM and again in Python.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """The name, with underscores before it until no column of the frames has it."""
     taken = {c.lower() for f in frames for c in f.columns}

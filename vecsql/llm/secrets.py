@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import small_batches
+
 #: The kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "ssh")
 
@@ -196,6 +198,7 @@ def scan(docs: DataFrame) -> DataFrame:
     get equal spans; an empty table stays empty. One pass without a shuffle: a lost executor's
     tasks are run again on their part of the input.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("base_spans", "spans")
     found = T.StructType.fromDDL(f"base_spans {_SPANS}, spans {_SPANS}")
     return docs.mapInArrow(_scan, T.StructType([*docs.schema.fields, *found.fields]))
@@ -231,6 +234,7 @@ def union_of(spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of the text replaced by ``[SECRET]``; other texts, and null ones, stay as they are."""
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(_redact, docs.schema)
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 from .training import fold
 from .words import NON_SPACE, mix, row_chunks, text_buffer, words
 
@@ -103,10 +103,10 @@ class Keys:
         return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, Stream]]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Stream]]:
     for batch in batches:
         data, offsets = text_buffer(batch.column(batch.schema.get_field_index("text")))
-        for a, b in row_chunks(offsets, most):
+        for a, b in row_chunks(offsets):
             own = offsets[a : b + 1]
             yield batch.slice(a, b - a), stream(data[own[0] : own[-1]], own - own[0])
 
@@ -289,6 +289,7 @@ def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
     one; without texts to learn from, every token has the probability 1 of the only thing known.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "suffix-tree")
     model, table = fit(learn, scratch)
     shared = spark.sparkContext.broadcast(model)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import small_batches
 from .training import fold, labelled_sample
 from .words import Words, row_chunks, text_buffer, words
 
@@ -238,6 +239,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     columns stay (a column ``score`` is replaced). One pass without a shuffle; the model has a
     fixed size and goes out once as a broadcast variable.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -151,3 +151,40 @@ def probability_of(model, past, token):
 def probability_left(model, past):
     """The factor on the root's probability for a token that no state lists."""
     return 10 ** model.score(stream_of(past, np.uint64(12345)), 1)[3][0]
+
+
+def test_a_passage_repeated_a_few_times_is_learned_in_a_large_corpus(spark):
+    rng = np.random.default_rng(3)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, " ".join(f"w{w}" for w in rng.integers(0, 50_000, 3000))) for i in range(200)]
+    rows += [(1000 + i, f"{passage} q{i}") for i in range(3)]
+    learn = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_tree.score(learn.filter("doc_id >= 1000"), learn).collect()
+    # 40 tokens at a share of 3 in 600,000; after the first the context has always been followed by the same one
+    assert len(got) == 3 and all(r.score > 0.5 * r.base_score for r in got)
+
+
+def test_scores_against_the_tree_in_memory(spark):
+    import pyarrow as pa
+
+    from vecsql.llm.words import text_buffer
+
+    texts = ["a b c a b c a b d"] * 30 + ["a c b d x"] * 10 + ["once only", "d c b a once"]
+    own = suffix_tree.stream(*text_buffer(pa.array(texts)))
+    grams, seen, before = Counter(), Counter(), {}
+    for n, index, key in own.contexts():
+        for i, k in zip(index.tolist(), key.tolist(), strict=True):
+            before[(n, i)] = k
+            grams[(n, k, before.get((n - 1, i), 0), int(own.tokens[i]))] += 1
+            seen[k] += 1
+    grams = {g: c for g, c in grams.items() if c >= 2}
+    unique, counts = np.unique(own.tokens, return_counts=True)
+    norm = len(own.tokens) + 0.1 * (len(unique) + 1)
+    root = {int(t): (c + 0.1) / norm for t, c in zip(unique, counts, strict=True)}
+    columns = (np.array([g[k] for g in grams], np.int64 if k == 0 else np.uint64) for k in range(4))
+    tree = suffix_tree.grow(*columns, np.array(list(grams.values())), seen, root)
+    model = suffix_tree.Model(tree, suffix_tree.Keys(unique), counts.astype(float), len(own.tokens), len(unique))
+    want = model.score(own, len(texts))[3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in suffix_tree.score(df, df).collect()}
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in range(len(texts)))

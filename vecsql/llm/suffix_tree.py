@@ -5,21 +5,21 @@ preceding words whose next-word distribution differs enough from that of the con
 oldest word (the divergence test). A text is scored token by token with the longest context that
 is a state of the tree; a state's distribution is discounted and interpolated with its parent's.
 
-How it stays distributed: counts of words are summed over all training texts. An n-gram is looked
-at if its probability is ``P_GRAM`` or more. Each segment of the corpus reports the n-grams that
-reach half of that within the segment; what no segment reported can't reach even half of it
-overall, so summing the reports and keeping those that reach half leaves every n-gram wanted and
-at most ``2 / P_GRAM`` a length. These are then counted exactly in a second pass. So everything
-that goes to the driver or is broadcast - these n-grams, and words of at least the probability
-``P_WORD``, at most ``1 / P_WORD`` - is bounded whatever the corpus. The rarer words of the
-texts meet their counts in a shuffled join; as they stand in no n-gram kept, they only add the
-logarithm of their root probability.
+Every n-gram that occurs ``LEAST_COUNT`` times or more is counted exactly, whatever the corpus; the
+tree grows with it. How it stays distributed: a first pass counts n-grams and contexts by 32 bits of
+their keys and marks in a bitmap of fixed size those that may occur so often; the second counts in
+full what is marked, so the bitmap only saves work. The tree is a written table and is never
+collected or broadcast. A text's score is a sum of independent terms: the root's logarithm of each
+token, for each state the logarithm of the share left to its parent, and for each n-gram in it a
+correction (see ``weights``). So texts meet the table in a shuffled join by key. Only terms of a
+probability of ``P_HOT`` or more are broadcast, at most ``1 / P_HOT`` of a kind; they save rows of the join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,16 @@ from .training import fold
 from .words import NON_SPACE, mix, row_chunks, text_buffer, words
 
 DEPTH = 3
-P_GRAM = 1e-5
-P_WORD = 5e-7
+#: Occurrences an n-gram needs to be in the tree.
+LEAST_COUNT = 2
+#: Logarithm of the bits of a bitmap that tells which keys need not be shuffled.
+MAP_BITS = 28
+#: Probability of words and terms that are broadcast instead of joined by a shuffle.
+P_HOT = 5e-7
+#: Parts of the 32 bits that keys are counted by.
+SHARDS = 64
+#: Bytes of the bitmap in a row.
+BLOCK = 1 << 16
 #: Tokens whose n-grams are counted together before they are reported.
 SEGMENT = 1_000_000
 PSEUDO = 0.1
@@ -111,27 +119,41 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield batch.slice(a, b - a), stream(data[own[0] : own[-1]], own - own[0])
 
 
-_COUNTED = "n int, context long, parent long, token long, count long"
+def _marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = (keys & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - MAP_BITS)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (n = 0), and of the n-grams that a segment reports."""
-    names = ["n", "context", "parent", "token", "count"]
+def _bitmap(blocks: DataFrame) -> np.ndarray:
+    """The bitmap of its blocks (n, bits); its size doesn't depend on the keys."""
+    out = np.zeros((1 << MAP_BITS) // 8, np.uint8).reshape(-1, BLOCK)
+    for row in blocks.collect():
+        out[row.n] |= np.frombuffer(row.bits, np.uint8)
+    return out.ravel()
+
+
+def _blocks(at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(n, bits): blocks of the bitmap with the bits of these places, 32 bits of a key each."""
+    at = np.unique(at >> (32 - MAP_BITS))
+    bounds = np.flatnonzero(np.r_[True, np.diff(at // (8 * BLOCK)) > 0, True]) if len(at) else np.zeros(0, int)
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        bits = np.zeros(8 * BLOCK, bool)
+        bits[at[a:b] % (8 * BLOCK)] = True
+        row = [pa.array([int(at[a]) // (8 * BLOCK)], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(row, ["n", "bits"])
 
-    def report(parts: dict[int, list[tuple[np.ndarray, ...]]]) -> Iterator[pa.RecordBatch]:
-        tokens = np.concatenate([p[0] for p in parts[0]])
-        least = max(1, int(np.ceil(P_GRAM / 2 * len(tokens))))
-        unique, count = np.unique(tokens, return_counts=True)
-        none = np.zeros(len(unique), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(none.astype(np.int32)), *map(pa.array, (none, none, unique.view(np.int64), count))], names)
-        for n in range(1, DEPTH + 1):
-            context, parent, token = (np.concatenate(x) for x in zip(*parts[n], strict=True))
-            _, first, count = np.unique(pair_keys(context, token), return_index=True, return_counts=True)
-            first, count = first[count >= least], count[count >= least]
-            columns = [x[first].view(np.int64) for x in (context, parent, token)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), n, np.int32)), *map(pa.array, (*columns, count))], names)
 
+def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(n, bits): blocks of the bitmap of keys."""
+    found = [np.unique((batch.column(0).to_numpy(zero_copy_only=False) & 0xFFFFFFFF) >> (32 - MAP_BITS)) for batch in batches]
+    if found:
+        yield from _blocks(np.concatenate(found) << (32 - MAP_BITS))
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, tuple[np.ndarray, ...]]]:
+    """Tokens (0), and context, parent and token by length, of a segment at a time."""
     parts: dict[int, list[tuple[np.ndarray, ...]]] = {n: [] for n in range(DEPTH + 1)}
+    whole = lambda: {n: tuple(np.concatenate(x) for x in zip(*parts[n], strict=True)) for n in parts}
     held = 0
     for _, own in _chunks(batches):
         parts[0].append((own.tokens,))
@@ -141,10 +163,81 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent, parents = key, index
         held += len(own.tokens)
         if held >= SEGMENT:
-            yield from report(parts)
+            yield whole()
             parts, held = {n: [] for n in range(DEPTH + 1)}, 0
     if held:
-        yield from report(parts)
+        yield whole()
+
+
+def _rows(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(columns[0]), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], names)
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, twice, gaps): the low 32 bits of all keys of a segment, sorted, as distances; those that occur twice in it, apart."""
+    wide = np.uint64(1 << 32) // np.uint64(SHARDS)
+    for parts in _segments(batches):
+        keys = [k for n in range(1, DEPTH + 1) for k in (np.unique(parts[n][0], return_counts=True), np.unique(pair_keys(parts[n][0], parts[n][2]), return_counts=True))]
+        unique, first, count = np.unique(np.concatenate([k.astype(np.uint32) for k, _ in keys]), return_index=True, return_counts=True)
+        often = np.concatenate([c for _, c in keys])[first] + count > 2
+        for twice in (False, True):
+            own = unique[often == twice].astype(np.uint64)
+            bounds = np.searchsorted(own, np.arange(SHARDS + 1, dtype=np.uint64) * wide)
+            shards = [s for s in range(SHARDS) if bounds[s] < bounds[s + 1]]
+            blobs = [_gaps(own[bounds[s] : bounds[s + 1]] - np.uint64(s) * wide) for s in shards]
+            if shards:
+                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([twice] * len(shards)), pa.array(blobs, pa.binary())], ["shard", "twice", "gaps"])
+
+
+def _gaps(x: np.ndarray) -> bytes:
+    """Sorted numbers by their distances in two bytes each; 65535 adds to the next."""
+    step = np.diff(x.astype(np.int64), prepend=0)
+    more = step // 65535
+    out = np.full(len(step) + int(more.sum()), 65535, np.uint16)
+    out[np.cumsum(more + 1) - 1] = step % 65535
+    return out.tobytes()
+
+
+def _places(gaps: bytes) -> np.ndarray:
+    step = np.frombuffer(gaps, np.uint16)
+    return np.cumsum(step.astype(np.int64))[step < 65535]
+
+
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(n, bits): blocks of the bitmap from rows of _sketch sorted by shard."""
+    wide = (1 << 32) // SHARDS
+
+    now, seen = -1, np.zeros(0, np.uint8)
+    for batch in batches:
+        for shard, twice, gaps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if shard != now:
+                yield from _blocks(np.flatnonzero(seen > 1) + now * wide)
+                now, seen = shard, np.zeros(wide, np.uint8)
+            at = _places(gaps)
+            seen[at] = 2 if twice else np.minimum(seen[at] + 1, 2)
+    yield from _blocks(np.flatnonzero(seen > 1) + now * wide)
+
+
+_COUNTED = "n int, a long, b long, count long"
+
+
+def _count(bitmap, level: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts in a segment of words (n = 0, a), or of one length's marked n-grams (n > 0: context, token) and contexts (n < 0: context, parent)."""
+    names = ["n", "a", "b", "count"]
+    for parts in _segments(batches):
+        if not level:
+            unique, count = np.unique(parts[0][0], return_counts=True)
+            none = np.zeros(len(unique), np.int64)
+            yield from _rows([none.astype(np.int32), unique.view(np.int64), none, count], names)
+            continue
+        context, parent, token = parts[level]
+        for sign, keys in ((1, pair_keys(context, token)), (-1, context)):
+            at = np.flatnonzero(_marked(bitmap.value, keys))
+            _, first, count = np.unique(keys[at], return_index=True, return_counts=True)
+            first = at[first]
+            columns = [x[first].view(np.int64) for x in (context, token if sign > 0 else parent)]
+            yield from _rows([np.full(len(first), sign * level, np.int32), *columns, count], names)
 
 
 @dataclass
@@ -193,21 +286,6 @@ def grow(n: np.ndarray, context: np.ndarray, parent: np.ndarray, token: np.ndarr
     return Tree(Keys(which[keep]), left[keep], Keys(key[own]), share[own])
 
 
-def _exact(tree_keys, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    contexts, pairs = tree_keys
-    sums = [np.zeros(len(contexts.keys), np.int64), np.zeros(len(pairs.keys), np.int64)]
-    for _, own in _chunks(batches):
-        for _, index, key in own.contexts():
-            place = contexts.find(key)
-            hit = place >= 0
-            sums[0] += np.bincount(place[hit], minlength=len(sums[0]))
-            place = pairs.find(pair_keys(key[hit], own.tokens[index[hit]]))
-            sums[1] += np.bincount(place[place >= 0], minlength=len(sums[1]))
-    for kind, (keys, count) in enumerate(zip((contexts.keys, pairs.keys), sums, strict=True)):
-        at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(keys[at].view(np.int64)), pa.array(count[at])], ["kind", "key", "count"])
-
-
 @dataclass
 class Model:
     tree: Tree
@@ -242,43 +320,129 @@ class Model:
         return sums(None).astype(np.int64), sums(often).astype(np.int64), sums(np.log10(root)), sums(np.log10(p)), own.tokens[rare], sums(rare).astype(np.int64)
 
 
-def _local(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, own in _chunks(batches):
-        tokens, known, base, score, rare, rares = model.score(own, len(batch))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rares)]).astype(np.int32)), pa.array(rare.view(np.int64)))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(batch.schema.get_field_index("doc_id")), *map(pa.array, (tokens, known, base, score)), lists],
-            ["doc_id", "n_tokens", "known", "base", "tree", "rare"],
-        )
+def _save(scratch: Scratch, df: DataFrame, name: str) -> DataFrame:
+    """scratch.save; Spark deletes the shuffle files of the written table at once, for less disk."""
+    key, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", scratch.spark.conf
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return scratch.save(df, name)
+    finally:
+        conf.set(key, before)
+
 
+def weights(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int, float]:
+    """(key, weight, count) of the tree of all of ``docs``, the table (token, count) of all words, their total, and the root's norm.
 
-def fit(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
-    """The model from all of ``docs`` and the table (token, count) of all words."""
+    A state weighs log10 of its share left to the parent, an n-gram in it log10 of its probability over what
+    the parent's would have left it; their sum and the root's logarithm is that of the interpolated probability.
+    This is ``grow``, as joins.
+    """
     spark = docs.sparkSession
     texts = docs.select("text")
-    counted = texts.mapInArrow(_count, _COUNTED).groupBy("n", "context", "parent", "token").agg(F.sum("count").alias("count"))
-    counted = scratch.save(counted, "counted")
-    table = counted.filter("n = 0").select("token", "count")
+
+    save = partial(_save, scratch)
+    sketch = texts.mapInArrow(_sketch, "shard int, twice boolean, gaps binary").repartition(SHARDS, "shard").sortWithinPartitions("shard")
+    bitmap = spark.sparkContext.broadcast(_bitmap(save(sketch.mapInArrow(_often, "n int, bits binary"), "marks")))
+    counted = []
+    for n in range(DEPTH + 1):  # one after the other, for less disk at once
+        own = texts.mapInArrow(lambda batches, n=n: _count(bitmap, n, batches), _COUNTED)
+        own = own.groupBy("n", "a", "b").agg(F.sum("count").alias("count"))
+        counted.append(save(own.filter(F.col("count") >= LEAST_COUNT) if n else own, f"counted-{n}"))
+    bitmap.destroy()
+    table = counted[0].select(F.col("a").alias("token"), "count")
     total, distinct = table.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    often = table.filter(F.col("count") >= max(1.0, P_WORD * total)).toPandas().sort_values("token")
-    hashes = often["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    word_keys, word_counts = Keys(hashes), often["count"].to_numpy(float)[order]
-    reports = counted.filter((F.col("n") > 0) & (F.col("count") >= max(1.0, P_GRAM / 2 * total))).drop("count").toPandas()
-    n = reports["n"].to_numpy(np.int64)
-    context, parent, token = (reports[c].to_numpy(np.int64).view(np.uint64) for c in ("context", "parent", "token"))
-    wanted = spark.sparkContext.broadcast((Keys(np.unique(context)), Keys(np.unique(pair_keys(context, token)))))
-    exact = texts.mapInArrow(lambda batches: _exact(wanted.value, batches), "kind int, key long, count long")
-    exact = exact.groupBy("kind", "key").agg(F.sum("count").alias("count")).toPandas()
-    keys, counts = exact["key"].to_numpy(np.int64).view(np.uint64), exact["count"].to_numpy(np.int64)
-    pick = exact["kind"].to_numpy() == 0
-    seen = dict(zip(keys[pick].tolist(), counts[pick].tolist(), strict=True))
-    of_pair = dict(zip(keys[~pick].tolist(), counts[~pick].tolist(), strict=True))
-    count = np.array([of_pair.get(k, 0) for k in pair_keys(context, token).tolist()], np.int64)
-    keep = count >= max(2.0, P_GRAM * total)
-    root = dict(zip(hashes.tolist(), ((often["count"].to_numpy(float) + PSEUDO) / (total + PSEUDO * (distinct + 1))).tolist(), strict=True))
-    tree = grow(n[keep], context[keep], parent[keep], token[keep], count[keep], seen, root)
-    return Model(tree, word_keys, word_counts, total, distinct), table
+    norm = total + PSEUDO * (distinct + 1)
+    both = reduce(DataFrame.union, counted[1:])
+    grams = both.filter("n > 0").select("n", F.col("a").alias("context"), F.col("b").alias("token"), "count")
+    seen = both.filter("n < 0").select(F.col("a").alias("context"), F.col("b").alias("parent"), F.col("count").alias("seen"))
+    spent = grams.groupBy("context").agg(F.sum(F.col("count") - DISCOUNT).alias("spent"), F.sum("count").alias("listed"))
+    heads = seen.join(spent, "context").select("context", "parent", "seen", "listed", (1 - F.col("spent") / F.col("seen")).alias("left"))
+    grams = save(grams.join(save(heads, "heads"), "context"), "grams")
+    scratch.drop("heads", *(f"counted-{n}" for n in range(1, DEPTH + 1)))
+    above = table.select("token", F.lit(0).cast("long").alias("parent"), ((F.col("count") + PSEUDO) / norm).alias("above"))
+    levels = []
+    for n in range(1, DEPTH + 1):
+        # an n-gram's suffix is at least as frequent: it is there
+        own = grams.filter(F.col("n") == n).join(above, ["token"] if n == 1 else ["parent", "token"])
+        own = own.drop(above["parent"]) if n == 1 else own
+        own = own.withColumn("p", (F.col("count") - DISCOUNT) / F.col("seen") + F.col("left") * F.col("above"))
+        own = own.select("n", "context", "parent", "token", "count", "seen", "listed", "left", "above", "p")
+        levels.append(save(own, f"level-{n}"))
+        above = levels[-1].select(F.col("context").alias("parent"), "token", F.col("p").alias("above"))
+    scratch.drop("grams")
+    states: list[DataFrame] = []
+    for n in range(DEPTH, 0, -1):
+        gain = levels[n - 1].groupBy("context", "parent", "left").agg(
+            F.sum(F.col("count") * F.log(F.col("p") / F.col("above"))).alias("gain"), F.first("seen").alias("seen"), F.first("listed").alias("listed")
+        )
+        rest = (F.col("seen") - F.col("listed")) * F.log(F.greatest("left", F.lit(1e-12)))
+        gain = gain.withColumn("gain", (F.col("gain") + rest) / F.col("seen"))
+        if states:  # the contexts on the way to a state are states
+            below = states[-1].select(F.col("parent").alias("context")).distinct().withColumn("wanted", F.lit(True))
+            gain = gain.join(below, "context", "left").filter((F.col("gain") >= LEAST_GAIN) | F.col("wanted"))
+        else:
+            gain = gain.filter(F.col("gain") >= LEAST_GAIN)
+        states.append(save(gain.select("context", "parent", "left", "seen"), f"states-{n}"))
+    found = None
+    for level, own in zip(levels, reversed(states), strict=True):
+        one = own.select("context", F.lit(None).cast("long").alias("token"), F.log10("left").alias("weight"), F.col("seen").alias("count"))
+        pairs = level.join(own.select("context"), "context", "left_semi")
+        pairs = pairs.select("context", "token", F.log10(F.col("p") / (F.col("left") * F.col("above"))).alias("weight"), "count")
+        found = one.union(pairs) if found is None else found.union(one).union(pairs)
+    keyed = found.mapInArrow(_keyed, "key long, weight double, count long")
+    tree = save(keyed, "tree")
+    scratch.drop(*(f"{kind}-{n}" for kind in ("level", "states") for n in range(1, DEPTH + 1)))
+    return tree, table, int(total), norm
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        context = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        token = batch.column(1)
+        of_state = np.asarray(token.is_null())
+        key = np.where(of_state, context, pair_keys(context, token.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)))
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(2), batch.column(3)], ["key", "weight", "count"])
+
+
+@dataclass
+class Hot:
+    """What is broadcast: words and terms by key with their logarithms, and a bitmap of the keys of all terms."""
+
+    words: Keys
+    roots: np.ndarray
+    terms: Keys
+    weights: np.ndarray
+    bitmap: np.ndarray
+
+
+def _local(hot, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text: tokens, hot ones, log10 sums of the base and of the tree as far as they are hot; the other tokens and terms."""
+    hot = hot.value
+    for batch, own in _chunks(batches):
+        rows = len(batch)
+        place = hot.words.find(own.tokens)
+        often = place >= 0
+        base = np.bincount(own.rows[often], hot.roots[place[often]], rows)
+        terms, held = np.zeros(rows), []
+        for _, index, key in own.contexts():
+            for keys in (key, pair_keys(key, own.tokens[index])):
+                at = np.flatnonzero(_marked(hot.bitmap, keys))
+                place = hot.terms.find(keys[at])
+                found = place >= 0
+                terms += np.bincount(own.rows[index[at[found]]], hot.weights[place[found]], rows)
+                held.append((own.rows[index[at[~found]]], keys[at[~found]]))
+        of, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(of, kind="stable")
+        lists = []
+        for r, k in ((own.rows[~often], own.tokens[~often]), (of[order], keys[order])):
+            bounds = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=rows))]).astype(np.int32)
+            lists.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(k.view(np.int64))))
+        counts = (np.bincount(own.rows, minlength=rows), np.bincount(own.rows[often], minlength=rows))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(batch.schema.get_field_index("doc_id")), *map(pa.array, (*counts, base, base + terms)), *lists],
+            ["doc_id", "n_tokens", "known", "base", "tree", "rare", "terms"],
+        )
 
 
 def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
@@ -291,25 +455,33 @@ def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "suffix-tree")
-    model, table = fit(learn, scratch)
-    shared = spark.sparkContext.broadcast(model)
-    fields = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, known long, base double, tree double, rare array<long>"
-    local = docs.select("doc_id", "text").mapInArrow(lambda batches: _local(shared.value, batches), fields)
-    local = scratch.save(local.withColumn("row", F.monotonically_increasing_id()), "local")
+    tree, table, total, norm = weights(learn, scratch)
+    root = F.log10((F.col("count") + PSEUDO) / F.lit(norm))
+    least = F.col("count") >= max(1.0, P_HOT * total)
+    hot_of = []
+    for frame in (table.filter(least).select(F.col("token").alias("key"), root.alias("weight")), tree.filter(least).select("key", "weight")):
+        frame = frame.toPandas().assign(key=lambda x: x["key"].to_numpy(np.int64).view(np.uint64)).sort_values("key")
+        hot_of += [Keys(frame["key"].to_numpy(np.uint64)), frame["weight"].to_numpy(float)]
+    parted = tree.select("key").repartition(SHARDS, F.expr(f"(key & 4294967295) div {(1 << 32) // SHARDS}"))
+    bitmap = _bitmap(_save(scratch, parted.mapInArrow(_fill, "n int, bits binary"), "tree-marks"))
+    hot = spark.sparkContext.broadcast(Hot(*hot_of, bitmap))
+    fields = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, known long, base double, tree double, rare array<long>, terms array<long>"
+    local = docs.select("doc_id", "text").mapInArrow(lambda batches: _local(hot, batches), fields)
+    local = _save(scratch, local.withColumn("row", F.monotonically_increasing_id()), "local")
     rare = local.select("row", F.explode("rare").alias("token")).join(table, "token", "left")
-    count = F.coalesce("count", F.lit(0))
-    more = rare.groupBy("row").agg(
-        F.sum(F.log10((count + PSEUDO) / F.lit(model.norm))).alias("more"), F.sum((count > 0).cast("long")).alias("more_known")
-    )
-    joined = local.drop("rare").join(more, "row", "left")
-    more, more_known = F.coalesce("more", F.lit(0.0)), F.coalesce("more_known", F.lit(0))
+    unseen = F.lit(PSEUDO) / F.lit(norm)
+    more = rare.groupBy("row").agg(F.sum(F.coalesce(root, F.log10(unseen))).alias("more"), F.count("count").alias("more_known"))
+    terms = local.select("row", F.explode("terms").alias("key")).join(tree.filter(~least).select("key", "weight"), "key")
+    terms = _save(scratch, terms.groupBy("row").agg(F.sum("weight").alias("more_tree")), "terms")
+    joined = local.drop("rare", "terms").join(more, "row", "left").join(terms, "row", "left")
+    more, more_known, more_tree = F.coalesce("more", F.lit(0.0)), F.coalesce("more_known", F.lit(0)), F.coalesce("more_tree", F.lit(0.0))
     return joined.select(
         "doc_id",
         "n_tokens",
         (F.col("known") + more_known).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
+        F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"),
-        (F.col("tree") + more).alias("score"),
+        (F.col("tree") + more + more_tree).alias("score"),
     )
 
 

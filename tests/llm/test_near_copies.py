@@ -163,6 +163,19 @@ def test_images(spark):
     assert images.copies(df.limit(0)).count() == 0
 
 
+def test_images_of_harder_edits_against_all_pairs(spark):
+    """Blurred, resized and noisy copies are grouped as comparing all pairs groups them."""
+    rng = np.random.default_rng(5)
+    pictures = [images.decode(images.drawing(v, i)) for i, v in enumerate(rng.normal(size=(10, 64)))]
+    edits = [lambda b: b, lambda b: images._box(b, 2) / 25, lambda b: images._shrunk(b, 0.8), lambda b: images._shrunk(b, 0.9), lambda b: b + rng.normal(0, 20, b.shape)]
+    rows = [(10 * i + k, images.encode(edit(b))) for i, b in enumerate(pictures) for k, edit in enumerate(edits)]
+    seen = {i: images.describe(images.decode(b)) for i, b in rows}
+    links = [(a, b) for a in seen for b in seen if a < b and images.inliers(*seen[a], *seen[b]) >= images.LEAST_INLIERS]
+    want = smallest_reachable(seen, links)
+    got = {r.id: r.class_id for r in images.copies(spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "id long, image binary")).collect()}
+    assert got == want and all(want[i] == i // 10 * 10 for i in want)
+
+
 def test_ppm_and_bad_headers():
     assert images.decode(b"P6\n# c\n2 1 255\n" + bytes([3, 3, 3, 9, 9, 9])).tolist() == [[3.0, 9.0]]
     assert images.decode(b"P5 2 2 255\n\0") is None and images.decode(b"P5 0 2 255\n") is None

@@ -137,6 +137,25 @@ def test_structures_confirm_and_lookalikes_do_not():
     assert secrets.find_spans(words) == ([], [])
 
 
+def test_other_encodings_of_keys():
+    wrap = lambda b, n=64: "\n".join(b[i : i + n] for i in range(0, len(b), n))
+    rsa = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([1]) * 130) for _ in range(8)))
+    body = base64.b64encode(rsa).decode()
+    for text in (wrap(body), wrap(body, 76).replace("\n", "\r\n  "), f"key: {wrap(body)}\nand so on"):
+        found = [(text[a:b], k) for k, a, b in secrets.find_spans(text)[1]]
+        assert [("".join(x.split()), k) for x, k in found] == [(body, "der")]
+    ssh = base64.b64encode(b"\0\0\0\x07ssh-rsa" + b"\0\0\0\x03\1\0\1" + b"\0\0\1\0" + bytes(range(256))).decode()
+    assert [k for k, *_ in secrets.find_spans(wrap(ssh))[1]] == ["ssh"]
+    pbes2 = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, der(4, b"salt"))) + der(4, bytes(range(160))))
+    pem = f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{wrap(base64.b64encode(pbes2).decode())}\n-----END ENCRYPTED PRIVATE KEY-----"
+    assert ("pem", 0, len(pem)) in secrets.find_spans(pem)[1]
+    locked = wrap(base64.b64encode(bytes(range(200))).decode())
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011\n\n"
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n%s-----END RSA PRIVATE KEY-----"
+    assert [k for k, *_ in secrets.find_spans(pem % f"{head}{locked}\n")[1]] == ["pem"]
+    assert not secrets.find_spans(pem % f"Note: x\n\n{locked}\n")[1] and not secrets.find_spans(wrap(body[:-8]))[1]
+
+
 def test_secret_query_and_redaction(spark, docs_of, odd_rows):
     rows = odd_rows + [(200 + n, t, "a") for n, t in enumerate(SECRET_TEXTS)]
     got = secrets.scan(docs_of(rows)).collect()

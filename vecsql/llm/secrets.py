@@ -32,12 +32,20 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(rb"[0-9a-f]{32,}")
 
 _JWT = re.compile(rb"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
+_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:\s*[A-Za-z0-9-]+:[^\n]*\n)*)([A-Za-z0-9+/=\s]+?)-----END \1-----")
 _BASE64 = re.compile(rb"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
+_NEXT_LINE = re.compile(rb"\r?\n[ \t]*([A-Za-z0-9+/]+={0,2})(?![A-Za-z0-9+/=])")
 _HEX_RUN = re.compile(rb"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 
-#: Object identifiers of key algorithms (RSA, elliptic curve, Ed25519, X25519, DSA), as DER bodies.
-KEY_OIDS = tuple(bytes.fromhex(x) for x in ("2a864886f70d010101", "2a8648ce3d0201", "2b6570", "2b656e", "2a8648ce380401"))
+#: Object identifiers, as DER bodies, of key algorithms (RSA, elliptic curve, Ed25519, X25519, DSA, RSA-PSS, Ed448, X448,
+#: Diffie-Hellman) and of the encryption of PKCS 8 keys (PBES2, PBES1, PKCS 12).
+KEY_OIDS = tuple(
+    bytes.fromhex(x)
+    for x in (
+        *("2a864886f70d010101", "2a8648ce3d0201", "2b6570", "2b656e", "2a8648ce380401", "2a864886f70d01010a", "2b6571", "2b656f", "2a864886f70d010301"),
+        *("2a864886f70d01050d", *(f"2a864886f70d0105{n}" for n in ("01", "03", "04", "06", "0a", "0b")), *(f"2a864886f70d010c010{n}" for n in range(1, 7))),
+    )
+)
 
 
 def der_items(data: bytes, at: int = 0, end: int | None = None) -> list[tuple[int, int, int]] | None:
@@ -131,6 +139,18 @@ def base_spans(text: bytes) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def _wrapped(text: bytes, first: re.Match) -> list[tuple[bytes, int]]:
+    """(joined digits, end) of a run and the lines after it: lines of its width and a last one that may be shorter; the longest first."""
+    lines, end, out = [first[0]], first.end(), [(first[0], first.end())]
+    while not lines[-1].endswith(b"=") and (m := _NEXT_LINE.match(text, end)) and len(m[1]) <= len(first[0]):
+        lines.append(m[1])
+        end = m.end()
+        if len(m[1]) < len(first[0]):
+            out.append((b"".join(lines[:-1]), m.start()))
+            break
+    return [(b"".join(lines), end), *reversed(out)]
+
+
 def confirmed_spans(text: bytes) -> list[tuple[str, int, int]]:
     """Candidates of the text whose decoded structure is that of a key or a signed token."""
     out = []
@@ -138,15 +158,18 @@ def confirmed_spans(text: bytes) -> list[tuple[str, int, int]]:
         out += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_token_header(m[1]) and _decoded(m[2], url=True)[:1] == b"{"]
     if b"PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
-            body = _decoded(b"".join(m[2].split()))
-            if is_der_key(body) or is_ssh_key(body):
+            body = _decoded(b"".join(m[3].split()))
+            # a body under Proc-Type and DEK-Info is the output of a block cipher
+            locked = b"ENCRYPTED" in m[2] and b"DEK-Info:" in m[2] and len(body) >= 16 and len(body) % 8 == 0
+            if locked or is_der_key(body) or is_ssh_key(body):
                 out.append(("pem", *m.span()))
     for m in _BASE64.finditer(text):
-        run = m[0]
-        if run[:1] == b"M" and is_der_key(_decoded(run)):  # 0x30 is M in base64
-            out.append(("der", *m.span()))
-        elif run[:4] == b"AAAA" and is_ssh_key(_decoded(run)) or run[:12] == b"b3BlbnNzaC1r" and is_ssh_key(_decoded(run)):
-            out.append(("ssh", *m.span()))
+        kind, check = ("der", is_der_key) if m[0][:1] == b"M" else ("ssh", is_ssh_key)  # 0x30 is M in base64
+        if kind == "der" or m[0][:4] == b"AAAA" or m[0][:12] == b"b3BlbnNzaC1r":
+            ends = _wrapped(text, m)
+            found = next((end for run, end in ends if check(_decoded(run))), None)
+            if found is not None:
+                out.append((kind, m.start(), found))
     for m in _HEX_RUN.finditer(text):
         if m[0][:2] == b"30" and is_der_key(bytes.fromhex(m[0].decode())):
             out.append(("der", *m.span()))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vecsql.llm import quality, suffix_tree, toxicity, training
 
@@ -81,7 +82,7 @@ def tokens(text):
 def test_base_scores_against_brute_force(spark, docs_of, odd_rows):
     rows = odd_rows + [(1000 + i, "the cat sat on the mat and so did the dog number %d" % (i % 9), "a") for i in range(60)]
     docs = docs_of(rows)
-    learn = docs_of([r for r in rows if r[0] is None or r[0] % 7])
+    learn = F.col("doc_id").isNull() | (F.col("doc_id") % 7 != 0)
     count = Counter(t for d, text, _ in rows if d is None or d % 7 for t in tokens(text))
     total, distinct = sum(count.values()), len(count)
     norm = total + 0.1 * (distinct + 1)
@@ -96,61 +97,93 @@ def test_base_scores_against_brute_force(spark, docs_of, odd_rows):
     assert sum(r.score for r in repeated) > 0.5 * sum(r.base_score for r in repeated)  # contexts help (scores are negative)
 
 
-def test_next_token_distributions_sum_to_one():
-    import pyarrow as pa
-
-    from vecsql.llm.words import text_buffer
-
-    texts = ["a b c a b c a b d"] * 30 + ["a c b d"] * 10
-    own = suffix_tree.stream(*text_buffer(pa.array(texts)))
-    unique, counts = np.unique(own.tokens, return_counts=True)
-    rows = []
-    before, previous = {}, {}
-    for n, index, key in own.contexts():
-        for i, k in zip(index.tolist(), key.tolist(), strict=True):
-            before[(n, i)] = k
-            rows.append((n, k, before.get((n - 1, i), 0), int(own.tokens[i])))
-    seen = Counter(r[1] for r in rows)
-    del previous
-    grams = Counter(rows)
-    n, context, parent, token = (np.array([g[k] for g in grams], np.int64 if k == 0 else np.uint64) for k in range(4))
-    norm = len(own.tokens) + 0.1 * (len(unique) + 1)
-    root = {int(t): (c + 0.1) / norm for t, c in zip(unique, counts, strict=True)}
-    tree = suffix_tree.grow(n, context, parent, token, np.array(list(grams.values())), seen, root)
-    assert len(tree.states.keys)
-    model = suffix_tree.Model(tree, suffix_tree.Keys(unique), counts.astype(float), len(own.tokens), len(unique))
-    # after one history, the probabilities of all tokens and of an unknown one sum to one
-    for history in (["a"], ["a", "b"], ["c", "a", "b"]):
-        probability = 0.0
-        past = words_hash(history)
-        for t in unique.tolist():
-            probability += probability_of(model, past, t)
-        unknown = 0.1 / norm * probability_left(model, past)
-        assert abs(probability + unknown - 1) < 1e-9
-
-
-def words_hash(history):
-    import pyarrow as pa
-
-    from vecsql.llm.words import NON_SPACE, text_buffer
-    from vecsql.llm.words import words as split
-
-    return [suffix_tree.START, *split(*text_buffer(pa.array([" ".join(history)])), NON_SPACE).hashes]
+def brute_tree(learned, depth=3):
+    """The probability of a token after a history, straight from the definition."""
+    grams = Counter()
+    for text in learned:
+        own = ["\0start", *tokens(text)]
+        for n in range(1, depth + 2):
+            grams.update(tuple(own[i : i + n]) for i in range(len(own) - n + 1))
+    known = {g[0]: c for g, c in grams.items() if len(g) == 1 and g[0] != "\0start"}
+    norm = sum(known.values()) + 0.1 * (len(known) + 1)
+    after = {}
+    for g, c in grams.items():
+        after.setdefault(g[:-1], {})[g[-1]] = c
+
+    def left(context):
+        listed = [c for c in after[context].values() if c >= 2]
+        return 1 - sum(c - suffix_tree.DISCOUNT for c in listed) / grams[context]
+
+    lefts = {g: left(g) for g, c in grams.items() if len(g) <= depth and g[-1] != "\0end" and c >= 2}
+
+    def p(token, context):
+        if not context:
+            return (known.get(token, 0) + 0.1) / norm
+        above = p(token, context[1:])
+        if context not in lefts:
+            return above
+        c = grams[(*context, token)]
+        return (c - suffix_tree.DISCOUNT if c >= 2 else 0) / grams[context] + lefts[context] * above
+
+    def is_state(context):
+        gain = sum(c * math.log(p(t, context) / p(t, context[1:])) for t, c in after[context].items())
+        return gain / grams[context] >= suffix_tree.LEAST_GAIN
+
+    states = {c for c in lefts if is_state(c)}
+
+    def probability(token, history):
+        for n in range(min(depth, len(history)), 0, -1):
+            if tuple(history[-n:]) in states:
+                return p(token, tuple(history[-n:]))
+        return p(token, ())
+
+    return probability, known, states
+
+
+def test_scores_against_brute_force(spark):
+    texts = ["a b c a b c a b d"] * 30 + ["a c b d x"] * 10 + ["once only", "d c b a once", "A B c", "", None]
+    rng = np.random.default_rng(1)
+    texts += [" ".join(rng.choice(list("abcdefg"), int(n))) for n in rng.integers(1, 40, 60)]
+    rows = [(i, t, i % 5 != 0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(3)
+    probability, _, states = brute_tree([t for _, t, learn in rows if learn])
+    assert 10 < len(states) and {len(s) for s in states} == {1, 2, 3}
+    for segment, shard in ((suffix_tree.SEGMENT, suffix_tree.SHARD_TOKENS), (50, 64)):
+        got = {r.doc_id: r.score for r in suffix_tree.score(df, df.learn, segment=segment, shard_tokens=shard).collect()}
+        assert len(got) == len(rows)
+        for i, text, _ in rows:
+            own = ["\0start", *tokens(text)]
+            want = sum(math.log10(probability(own[j], own[:j])) for j in range(1, len(own)))
+            assert abs(got[i] - want) < 1e-6, (text, got[i], want)
 
 
-def stream_of(past, token):
-    padded = np.array([*past, token], np.uint64)
-    at = np.array([len(past)])
-    return suffix_tree.Stream(padded[at], np.zeros(1, int), np.array([len(past)]), padded, at)
-
-
-def probability_of(model, past, token):
-    return 10 ** model.score(stream_of(past, np.uint64(token)), 1)[3][0]
-
-
-def probability_left(model, past):
-    """The factor on the root's probability for a token that no state lists."""
-    return 10 ** model.score(stream_of(past, np.uint64(12345)), 1)[3][0]
+def test_next_token_distributions_sum_to_one():
+    probability, known, _ = brute_tree(["a b c a b c a b d"] * 30 + ["a c b d"] * 10)
+    for history in (["\0start", "a"], ["a", "b"], ["c", "a", "b"], ["never"]):
+        assert abs(sum(probability(t, history) for t in [*known, "unknown"]) - 1) < 1e-9
+
+
+def test_documents_that_occur_twice_stand_apart(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{w}" for w in rng.zipf(1.3, 150) % 20_000)) for i in range(600)]
+    twice = rows[:60]
+    rows += [(1000 + i, t) for i, t in twice]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.score - r.base_score) / r.n_tokens for r in suffix_tree.score(df, F.lit(True)).collect()}
+    again, once = [got[1000 + i] for i, _ in twice], [got[i] for i in range(60, 600)]
+    assert min(again) > max(once)
+
+
+def test_equal_keys_are_ranked_alike():
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    close = np.concatenate([keys, keys[:900], keys[:700] + np.uint64(1), keys[:700]])  # differ in the bits that the indices take
+    for x in (close, keys, keys[:1], keys[:0]):
+        unique, place = suffix_tree.ranked(rng.permutation(x))
+        assert (unique == np.unique(x)).all() and len(place) == len(x)
+    x = rng.permutation(close)
+    unique, place = suffix_tree.ranked(x)
+    assert (unique[place] == x).all()
 
 
 def test_a_passage_repeated_a_few_times_is_learned_in_a_large_corpus(spark):
@@ -159,32 +192,6 @@ def test_a_passage_repeated_a_few_times_is_learned_in_a_large_corpus(spark):
     rows = [(i, " ".join(f"w{w}" for w in rng.integers(0, 50_000, 3000))) for i in range(200)]
     rows += [(1000 + i, f"{passage} q{i}") for i in range(3)]
     learn = spark.createDataFrame(rows, "doc_id long, text string")
-    got = suffix_tree.score(learn.filter("doc_id >= 1000"), learn).collect()
+    got = suffix_tree.score(learn, F.lit(True)).filter("doc_id >= 1000").collect()
     # 40 tokens at a share of 3 in 600,000; after the first the context has always been followed by the same one
     assert len(got) == 3 and all(r.score > 0.5 * r.base_score for r in got)
-
-
-def test_scores_against_the_tree_in_memory(spark):
-    import pyarrow as pa
-
-    from vecsql.llm.words import text_buffer
-
-    texts = ["a b c a b c a b d"] * 30 + ["a c b d x"] * 10 + ["once only", "d c b a once"]
-    own = suffix_tree.stream(*text_buffer(pa.array(texts)))
-    grams, seen, before = Counter(), Counter(), {}
-    for n, index, key in own.contexts():
-        for i, k in zip(index.tolist(), key.tolist(), strict=True):
-            before[(n, i)] = k
-            grams[(n, k, before.get((n - 1, i), 0), int(own.tokens[i]))] += 1
-            seen[k] += 1
-    grams = {g: c for g, c in grams.items() if c >= 2}
-    unique, counts = np.unique(own.tokens, return_counts=True)
-    norm = len(own.tokens) + 0.1 * (len(unique) + 1)
-    root = {int(t): (c + 0.1) / norm for t, c in zip(unique, counts, strict=True)}
-    columns = (np.array([g[k] for g in grams], np.int64 if k == 0 else np.uint64) for k in range(4))
-    tree = suffix_tree.grow(*columns, np.array(list(grams.values())), seen, root)
-    model = suffix_tree.Model(tree, suffix_tree.Keys(unique), counts.astype(float), len(own.tokens), len(unique))
-    want = model.score(own, len(texts))[3]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.score for r in suffix_tree.score(df, df).collect()}
-    assert all(abs(got[i] - want[i]) < 1e-9 for i in range(len(texts)))

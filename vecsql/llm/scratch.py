@@ -43,8 +43,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+    def save(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}", compression=compression)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:

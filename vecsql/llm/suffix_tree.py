@@ -1,48 +1,50 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-The root is the distribution of all training tokens. Below it stand contexts of one to three
+The root is the distribution of all training tokens. Below it stand contexts of one to ``DEPTH``
 preceding words whose next-word distribution differs enough from that of the context without its
 oldest word (the divergence test). A text is scored token by token with the longest context that
-is a state of the tree; a state's distribution is discounted and interpolated with its parent's.
-
-Every n-gram that occurs ``LEAST_COUNT`` times or more is counted exactly, whatever the corpus; the
-tree grows with it. How it stays distributed: a first pass counts n-grams and contexts by 32 bits of
-their keys and marks in a bitmap of fixed size those that may occur so often; the second counts in
-full what is marked, so the bitmap only saves work. The tree is a written table and is never
-collected or broadcast. A text's score is a sum of independent terms: the root's logarithm of each
-token, for each state the logarithm of the share left to its parent, and for each n-gram in it a
-correction (see ``weights``). So texts meet the table in a shuffled join by key. Only terms of a
-probability of ``P_HOT`` or more are broadcast, at most ``1 / P_HOT`` of a kind; they save rows of the join.
+is a state of the tree; a distribution is discounted and interpolated with its parent's:
+
+    p(t | c) = max(N(ct) - DISCOUNT, 0) / N(c) + left(c) * p(t | parent of c)
+
+``N`` counts occurrences in all training texts. An n-gram that occurs ``LEAST_COUNT`` times or more
+is listed in its context, whatever the size of the corpus; ``left(c)`` is what listed n-grams leave.
+A context is a state if over its training occurrences the mean of log p(t | c) / p(t | parent) is
+``LEAST_GAIN`` or more. Since p(t | c) runs through all suffixes of c, these need not be states.
+
+How it stays distributed. Texts are cut into tokens once and written as *segments* of about
+``SEGMENT`` tokens. Whatever concerns a context or n-gram of the whole corpus is a sum over its
+occurrences: its count; how many n-grams a context lists (an occurrence adds 1 / N) and how often;
+the logarithms of the divergence test. So the work is a few rounds of one exchange: each segment
+adds up its own part for each different key, sends sorted keys and sums to the shards that own
+these ranges of keys, and gets the sums of all segments back in the order of its keys. A key, however
+frequent, is sent once by a segment, and n-grams whose parts are rare are not sent at all. Nothing is
+collected, broadcast or bounded by a number that doesn't grow: shards and segments grow with the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import partial, reduce
+from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, small_batches
 from .training import fold
 from .words import NON_SPACE, mix, row_chunks, text_buffer, words
 
+#: Words of the longest contexts.
 DEPTH = 3
-#: Occurrences an n-gram needs to be in the tree.
+#: Occurrences an n-gram needs to be listed.
 LEAST_COUNT = 2
-#: Logarithm of the bits of a bitmap that tells which keys need not be shuffled.
-MAP_BITS = 28
-#: Probability of words and terms that are broadcast instead of joined by a shuffle.
-P_HOT = 5e-7
-#: Parts of the 32 bits that keys are counted by.
-SHARDS = 64
-#: Bytes of the bitmap in a row.
-BLOCK = 1 << 16
-#: Tokens whose n-grams are counted together before they are reported.
-SEGMENT = 1_000_000
+#: Tokens of a segment, about; a longer text is a segment of its own.
+SEGMENT = 1 << 20
+#: Tokens for each shard of the keys, about.
+SHARD_TOKENS = 1 << 21
 PSEUDO = 0.1
 DISCOUNT = 0.75
 #: Natural logarithm's gain a token that a context must bring over its parent.
@@ -50,442 +52,361 @@ LEAST_GAIN = 0.02
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 START, END = mix(np.array([11, 13], np.uint64))
+#: What is asked of the shards: counts of n-grams, n-grams listed in contexts, gains of contexts.
+COUNT, LISTED, GAIN = range(3)
+
+
+def ranked(keys: np.ndarray, shift: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and the place of each key among them.
+
+    Their indices ride in the low bits of a plain sort; only keys that then can't be told apart (beside
+    those of one text, next to none) make it sort in full. shift: leading bits that all keys share.
+    """
+    n = len(keys)
+    bits = max(1, int(n).bit_length())
+    low = np.uint64((1 << bits) - 1)
+    order = ((keys << np.uint64(shift)) & ~low) | np.arange(n, dtype=np.uint64)
+    order.sort()
+    order = (order & low).astype(np.int64)
+    found = keys[order]
+    if n and (found[1:] < found[:-1]).any():
+        order = np.argsort(keys, kind="stable")
+        found = keys[order]
+    new = np.ones(n, bool)
+    new[1:] = found[1:] != found[:-1]
+    place = np.empty(n, np.int64)
+    place[order] = np.cumsum(new) - 1
+    return found[new], place
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers in as few bytes as hold them all; fractions in four."""
+    if x.dtype.kind == "f":
+        return b"f" + x.astype(np.float32).tobytes()
+    top = int(x.max()) if len(x) else 0
+    kind = next(k for k in "BHIQ" if top < 1 << 8 * np.dtype(k).itemsize)
+    return kind.encode() + x.astype(kind).tobytes()
+
+
+def _unpack(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, chr(x[0]), offset=1)
+
+
+@dataclass
+class Level:
+    """The n-grams of one length in a segment: where they end, their different keys, and what is known of these."""
+
+    keys: np.ndarray
+    place: np.ndarray  # by position; -1 where none ends, or only ones too rare to be known
+    count: np.ndarray | None = None
+    known: np.ndarray | None = None  # place, if the n-gram is frequent enough to be listed, else -1
+    left: np.ndarray | None = None
+    state: np.ndarray | None = None
 
 
 @dataclass
-class Stream:
-    """Tokens to predict, one after the other over all texts: hashes, row, and how many tokens precede in the text."""
+class Segment:
+    """Texts as positions: a start, their words and an end each, one text after the other."""
 
     tokens: np.ndarray
     rows: np.ndarray
     before: np.ndarray
-    padded: np.ndarray
-    at: np.ndarray
-
-    def contexts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Length, indices of the tokens that have such a context, and its keys; a key's parent is that of the length before."""
-        key, own = np.zeros(len(self.tokens), np.uint64), np.arange(len(self.tokens))
-        for n in range(1, DEPTH + 1):
-            keep = self.before[own] >= n
-            own = own[keep]
-            key = mix(key[keep] * _ODD + self.padded[self.at[own] - n] + np.uint64(n))
-            yield n, own, key
-
-
-def stream(data: np.ndarray, offsets: np.ndarray) -> Stream:
-    found = words(data, offsets, NON_SPACE)
-    n, rows = found.counts, len(offsets) - 1
-    size = n + 2
-    first = np.cumsum(size) - size
-    padded = np.empty(int(size.sum()), np.uint64)
-    padded[first], padded[first + size - 1] = START, END
-    inside = np.ones(len(padded), bool)
-    inside[first] = inside[first + size - 1] = False
-    padded[inside] = found.hashes
-    inside[first + size - 1] = True
-    at = np.flatnonzero(inside)
-    row = np.repeat(np.arange(rows), n + 1)
-    return Stream(padded[at], row, at - first[row], padded, at)
-
-
-def pair_keys(contexts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    return mix(contexts * _ODD + tokens)
-
-
-class Keys:
-    """Places of keys in a sorted array, -1 for others; a bitmap sorts most others out."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = np.sort(keys)
-        self.bits = max(12, min(24, int(len(keys)).bit_length() + 4))
-        self.map = np.zeros(1 << self.bits, bool)
-        self.map[self.keys & np.uint64((1 << self.bits) - 1)] = True
-
-    def find(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), -1)
-        if len(self.keys):
-            maybe = np.flatnonzero(self.map[x & np.uint64((1 << self.bits) - 1)])
-            place = np.minimum(np.searchsorted(self.keys, x[maybe]), len(self.keys) - 1)
-            hit = self.keys[place] == x[maybe]
-            out[maybe[hit]] = place[hit]
+    learn: np.ndarray
+    levels: list[Level] = field(default_factory=list)
+    key: np.ndarray | None = None  # by position, of the longest n-grams so far
+
+    @classmethod
+    def read(cls, vocabulary: np.ndarray, codes: np.ndarray, sizes: np.ndarray, learn: np.ndarray) -> Segment:
+        size = sizes.astype(np.int64) + 2
+        first = np.cumsum(size) - size
+        every = np.concatenate([vocabulary, [START, END]])
+        code = np.empty(int(size.sum()), np.int64)
+        inside = np.ones(len(code), bool)
+        inside[first] = inside[first + size - 1] = False
+        code[inside] = codes
+        code[first], code[first + size - 1] = len(vocabulary), len(vocabulary) + 1
+        keys, place = ranked(every)
+        rows = np.repeat(np.arange(len(size)), size)
+        out = cls(every[code], rows, np.arange(len(code)) - first[rows], learn[rows])
+        out.levels.append(Level(keys, place[code]))
+        out.key = out.tokens
         return out
 
+    def deepen(self) -> None:
+        """The next length: only n-grams both of whose parts are frequent can be."""
+        n = len(self.levels) + 1
+        often = self.levels[-1].known >= 0
+        at = np.flatnonzero(often[1:] & often[:-1] & (self.before[1:] >= n - 1)) + 1
+        key = mix(self.key[at - 1] * _ODD + self.tokens[at] + np.uint64(n))
+        keys, own = ranked(key)
+        place = np.full(len(self.tokens), -1)
+        place[at] = own
+        self.key = np.zeros(len(self.tokens), np.uint64)
+        self.key[at] = key
+        self.levels.append(Level(keys, place))
+
+    def contexts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of tokens after a frequent context of n words, and the contexts' places."""
+        before = np.concatenate([[-1], self.levels[n - 1].known[:-1]])
+        at = np.flatnonzero((before >= 0) & (self.before >= n))
+        return at, before[at]
+
+    def share(self, n: int, at: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """What the n-grams of n + 1 words that end there take of their contexts' probability."""
+        longer = self.levels[n]
+        pair = longer.known[at]
+        found = np.flatnonzero(pair >= 0)
+        out = np.zeros(len(at))
+        out[found] = (longer.count[pair[found]] - DISCOUNT) / self.levels[n - 1].count[context[found]]
+        return out
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Stream]]:
+    def probabilities(self, norm: float, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(n, positions, contexts, p) for contexts of n words; p is by position, of the token after all its suffixes so far."""
+        p = (self.levels[0].count[self.levels[0].place] + PSEUDO) / norm
+        yield 0, np.flatnonzero(self.before > 0), np.zeros(0, np.int64), p
+        for n in range(1, depth + 1):
+            at, context = self.contexts(n)
+            p = p.copy()
+            p[at] = self.share(n, at, context) + self.levels[n - 1].left[context] * p[at]
+            yield n, at, context, p
+
+    def ask(self, kind: int, n: int, norm: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted keys and this segment's two parts of the sums that are wanted."""
+        if kind == COUNT:
+            while len(self.levels) < n:
+                self.deepen()
+            level = self.levels[n - 1]
+            own = level.place[self.learn & (level.place >= 0)]
+            return level.keys, np.bincount(own, minlength=len(level.keys)), np.zeros(len(level.keys), np.uint8)
+        level = self.levels[n - 1]
+        asked = np.flatnonzero(level.count >= LEAST_COUNT)
+        if kind == LISTED:
+            at, context = self.contexts(n)
+            pair = self.levels[n].known[at]
+            found = np.flatnonzero((pair >= 0) & self.learn[at])
+            context, pair = context[found], pair[found]
+            sums = np.bincount(context, 1 / self.levels[n].count[pair], len(level.keys)), np.bincount(context, minlength=len(level.keys))
+        else:
+            *_, (_, _, _, above), (_, at, context, p) = self.probabilities(norm, n)
+            own = self.learn[at]
+            at, context = at[own], context[own]
+            sums = np.bincount(context, np.log(p[at] / above[at]) - LEAST_GAIN, len(level.keys)), np.zeros(len(level.keys), np.uint8)
+        return level.keys[asked], *(x[asked] for x in sums)
+
+    def told(self, kind: int, n: int, x: np.ndarray, y: np.ndarray) -> None:
+        """The sums over all segments, in the order of the keys that were asked."""
+        if kind == COUNT:
+            while len(self.levels) < n:
+                self.deepen()
+            level = self.levels[n - 1]
+            level.count = x.astype(np.int64)
+            often = np.append(level.count >= LEAST_COUNT, False)  # the last for places of -1
+            level.known = np.where(often[level.place], level.place, -1)
+            return
+        level = self.levels[n - 1]
+        asked = np.flatnonzero(level.count >= LEAST_COUNT)
+        if kind == LISTED:
+            level.left = np.ones(len(level.keys))
+            level.left[asked] = 1 - (y - DISCOUNT * x) / level.count[asked]
+        else:
+            level.state = np.zeros(len(level.keys), bool)
+            level.state[asked] = x > 0
+
+    def scores(self, norm: float, depth: int) -> np.ndarray:
+        """log10 of the probability of each text, by the longest state before each token."""
+        best = np.ones(len(self.tokens))
+        for n, at, context, p in self.probabilities(norm, depth):
+            own = at[self.levels[n - 1].state[context]] if n else at
+            best[own] = p[own]
+        return self.by_text(np.log10(best))
+
+    def base(self, norm: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of each text, those that training texts hold, and the sum of the root's logarithms."""
+        count = self.levels[0].count[self.levels[0].place]
+        inside = self.before > 0
+        return self.by_text(inside).astype(np.int64), self.by_text(inside & (count > 0)).astype(np.int64), self.by_text(np.where(inside, np.log10((count + PSEUDO) / norm), 0))
+
+    def by_text(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, x, int(self.rows[-1]) + 1)
+
+
+def _segments(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments (ids, learn, sizes, vocabulary, codes) from rows (doc_id, text, learn)."""
+
+    def whole() -> pa.RecordBatch:
+        vocabulary, codes = ranked(np.concatenate([h for *_, h in held]))
+        flags, sizes = np.concatenate([f for _, f, _, _ in held]), np.concatenate([s for _, _, s, _ in held])
+        ids = pa.concat_arrays([i for i, *_ in held])
+        listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+        blobs = [np.packbits(flags).tobytes(), _pack(sizes), vocabulary.tobytes(), _pack(codes)]
+        return pa.RecordBatch.from_arrays([listed, *(pa.array([b], pa.binary()) for b in blobs)], ["ids", "learn", "sizes", "vocabulary", "codes"])
+
+    held: list[tuple] = []
+    n = 0
     for batch in batches:
-        data, offsets = text_buffer(batch.column(batch.schema.get_field_index("text")))
+        data, offsets = text_buffer(batch.column(1))
+        flags = batch.column(2).fill_null(False).to_numpy(zero_copy_only=False)
         for a, b in row_chunks(offsets):
             own = offsets[a : b + 1]
-            yield batch.slice(a, b - a), stream(data[own[0] : own[-1]], own - own[0])
-
-
-def _marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = (keys & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - MAP_BITS)
-    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
-def _bitmap(blocks: DataFrame) -> np.ndarray:
-    """The bitmap of its blocks (n, bits); its size doesn't depend on the keys."""
-    out = np.zeros((1 << MAP_BITS) // 8, np.uint8).reshape(-1, BLOCK)
-    for row in blocks.collect():
-        out[row.n] |= np.frombuffer(row.bits, np.uint8)
-    return out.ravel()
-
-
-def _blocks(at: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(n, bits): blocks of the bitmap with the bits of these places, 32 bits of a key each."""
-    at = np.unique(at >> (32 - MAP_BITS))
-    bounds = np.flatnonzero(np.r_[True, np.diff(at // (8 * BLOCK)) > 0, True]) if len(at) else np.zeros(0, int)
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        bits = np.zeros(8 * BLOCK, bool)
-        bits[at[a:b] % (8 * BLOCK)] = True
-        row = [pa.array([int(at[a]) // (8 * BLOCK)], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())]
-        yield pa.RecordBatch.from_arrays(row, ["n", "bits"])
-
-
-def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(n, bits): blocks of the bitmap of keys."""
-    found = [np.unique((batch.column(0).to_numpy(zero_copy_only=False) & 0xFFFFFFFF) >> (32 - MAP_BITS)) for batch in batches]
-    if found:
-        yield from _blocks(np.concatenate(found) << (32 - MAP_BITS))
-
-
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, tuple[np.ndarray, ...]]]:
-    """Tokens (0), and context, parent and token by length, of a segment at a time."""
-    parts: dict[int, list[tuple[np.ndarray, ...]]] = {n: [] for n in range(DEPTH + 1)}
-    whole = lambda: {n: tuple(np.concatenate(x) for x in zip(*parts[n], strict=True)) for n in parts}
-    held = 0
-    for _, own in _chunks(batches):
-        parts[0].append((own.tokens,))
-        parent, parents = np.zeros(len(own.tokens), np.uint64), np.arange(len(own.tokens))
-        for n, index, key in own.contexts():
-            parts[n].append((key, parent[np.searchsorted(parents, index)], own.tokens[index]))
-            parent, parents = key, index
-        held += len(own.tokens)
-        if held >= SEGMENT:
-            yield whole()
-            parts, held = {n: [] for n in range(DEPTH + 1)}, 0
+            found = words(data[own[0] : own[-1]], own - own[0], NON_SPACE)
+            held.append((batch.column(0).slice(a, b - a), flags[a:b], found.counts, found.hashes))
+            n += len(found.hashes) + 2 * (b - a)
+            if n >= size:
+                yield whole()
+                held, n = [], 0
     if held:
         yield whole()
 
 
-def _rows(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(columns[0]), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], names)
-
-
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, twice, gaps): the low 32 bits of all keys of a segment, sorted, as distances; those that occur twice in it, apart."""
-    wide = np.uint64(1 << 32) // np.uint64(SHARDS)
-    for parts in _segments(batches):
-        keys = [k for n in range(1, DEPTH + 1) for k in (np.unique(parts[n][0], return_counts=True), np.unique(pair_keys(parts[n][0], parts[n][2]), return_counts=True))]
-        unique, first, count = np.unique(np.concatenate([k.astype(np.uint32) for k, _ in keys]), return_index=True, return_counts=True)
-        often = np.concatenate([c for _, c in keys])[first] + count > 2
-        for twice in (False, True):
-            own = unique[often == twice].astype(np.uint64)
-            bounds = np.searchsorted(own, np.arange(SHARDS + 1, dtype=np.uint64) * wide)
-            shards = [s for s in range(SHARDS) if bounds[s] < bounds[s + 1]]
-            blobs = [_gaps(own[bounds[s] : bounds[s + 1]] - np.uint64(s) * wide) for s in shards]
-            if shards:
-                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([twice] * len(shards)), pa.array(blobs, pa.binary())], ["shard", "twice", "gaps"])
-
-
-def _gaps(x: np.ndarray) -> bytes:
-    """Sorted numbers by their distances in two bytes each; 65535 adds to the next."""
-    step = np.diff(x.astype(np.int64), prepend=0)
-    more = step // 65535
-    out = np.full(len(step) + int(more.sum()), 65535, np.uint16)
-    out[np.cumsum(more + 1) - 1] = step % 65535
-    return out.tobytes()
-
+_ASKS = "shard int, seg long, kind int, n int, keys binary, x binary, y binary"
+_SUMS = "seg long, kind int, n int, shard int, x binary, y binary"
 
-def _places(gaps: bytes) -> np.ndarray:
-    step = np.frombuffer(gaps, np.uint16)
-    return np.cumsum(step.astype(np.int64))[step < 65535]
 
+def _read(done: list[tuple[int, int]], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Segment, pa.Array]]:
+    """Segments with all that the shards have told them, from rows sorted by segment, kind (-1: the segment itself), n and shard."""
+    now: tuple[int, Segment, pa.Array] | None = None
+    told: dict[tuple[int, int], list[tuple[bytes, bytes]]] = {}
 
-def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(n, bits): blocks of the bitmap from rows of _sketch sorted by shard."""
-    wide = (1 << 32) // SHARDS
+    def whole() -> tuple[int, Segment, pa.Array]:
+        for kind, n in sorted(done):  # counts of n-grams before what is said of contexts
+            parts = told.get((kind, n), [])
+            now[1].told(kind, n, *(np.concatenate([np.zeros(0, np.uint8), *(_unpack(p[k]) for p in parts)]) for k in (0, 1)))
+        return now
 
-    now, seen = -1, np.zeros(0, np.uint8)
     for batch in batches:
-        for shard, twice, gaps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if shard != now:
-                yield from _blocks(np.flatnonzero(seen > 1) + now * wide)
-                now, seen = shard, np.zeros(wide, np.uint8)
-            at = _places(gaps)
-            seen[at] = 2 if twice else np.minimum(seen[at] + 1, 2)
-    yield from _blocks(np.flatnonzero(seen > 1) + now * wide)
-
-
-_COUNTED = "n int, a long, b long, count long"
-
-
-def _count(bitmap, level: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts in a segment of words (n = 0, a), or of one length's marked n-grams (n > 0: context, token) and contexts (n < 0: context, parent)."""
-    names = ["n", "a", "b", "count"]
-    for parts in _segments(batches):
-        if not level:
-            unique, count = np.unique(parts[0][0], return_counts=True)
-            none = np.zeros(len(unique), np.int64)
-            yield from _rows([none.astype(np.int32), unique.view(np.int64), none, count], names)
-            continue
-        context, parent, token = parts[level]
-        for sign, keys in ((1, pair_keys(context, token)), (-1, context)):
-            at = np.flatnonzero(_marked(bitmap.value, keys))
-            _, first, count = np.unique(keys[at], return_index=True, return_counts=True)
-            first = at[first]
-            columns = [x[first].view(np.int64) for x in (context, token if sign > 0 else parent)]
-            yield from _rows([np.full(len(first), sign * level, np.int32), *columns, count], names)
+        seg, kind, n, x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("seg", "kind", "n", "x", "y"))
+        for i in range(len(batch)):
+            if kind[i].as_py() < 0:
+                if now:
+                    yield whole()
+                learn, sizes, vocabulary, codes = (batch.column(batch.schema.get_field_index(c))[i].as_py() for c in ("learn", "sizes", "vocabulary", "codes"))
+                sizes = _unpack(sizes)
+                flags = np.unpackbits(np.frombuffer(learn, np.uint8), count=len(sizes)).astype(bool)
+                ids = batch.column(batch.schema.get_field_index("ids"))[i].values
+                now, told = (seg[i].as_py(), Segment.read(np.frombuffer(vocabulary, np.uint64), _unpack(codes), sizes, flags), ids), {}
+            else:
+                told.setdefault((kind[i].as_py(), n[i].as_py()), []).append((x[i].as_py(), y[i].as_py()))
+    if now:
+        yield whole()
 
 
-@dataclass
-class Tree:
-    """States by key with count, share left to the parent and length; pairs by key with their discounted share."""
-
-    states: Keys
-    left: np.ndarray
-    pairs: Keys
-    share: np.ndarray
-
-
-def grow(n: np.ndarray, context: np.ndarray, parent: np.ndarray, token: np.ndarray, count: np.ndarray, seen: dict[int, int], root: dict[int, float]) -> Tree:
-    """The tree from exactly counted n-grams; seen: how often a context precedes anything; root: probabilities of tokens."""
-    key = pair_keys(context, token)
-    order = np.argsort(key)
-    n, context, parent, token, count, key = (x[order] for x in (n, context, parent, token, count, key))
-    total = np.array([seen[c] for c in context.tolist()], float)
-    share = np.maximum(count - DISCOUNT, 0) / np.maximum(total, 1)
-    which, place = np.unique(context, return_inverse=True)
-    left = 1 - np.bincount(place, share, len(which))
-    left_of = left[place]
-    # probabilities, from the root down
-    p, above = np.zeros(len(n)), np.zeros(len(n))
-    for length in range(1, DEPTH + 1):
-        own = np.flatnonzero(n == length)
-        if length == 1:
-            above[own] = [root[t] for t in token[own].tolist()]
+def _ask(asked: list[tuple[int, int]], done: list[tuple[int, int]], bits: int, norm: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bounds = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
+    names = ["shard", "seg", "kind", "n", "keys", "x", "y"]
+    for seg, own, _ in _read(done, batches):
+        for kind, n in asked:
+            keys, x, y = own.ask(kind, n, norm)
+            cuts = np.append(np.searchsorted(keys, bounds), len(keys))
+            for at in range(0, 1 << bits, 256):
+                full = [s for s in range(at, min(at + 256, 1 << bits)) if cuts[s] < cuts[s + 1]]
+                if full:
+                    parts = [[(v[cuts[s] : cuts[s + 1]].tobytes() if v is keys else _pack(v[cuts[s] : cuts[s + 1]])) for s in full] for v in (keys, x, y)]
+                    same = [pa.array([v] * len(full), t) for v, t in ((seg, pa.int64()), (kind, pa.int32()), (n, pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *same, *(pa.array(p, pa.binary()) for p in parts)], names)
+
+
+def _add(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each ask the sums of all segments in the order of its keys; for the counts of words a row of no segment with how many there are, too."""
+    names = ["seg", "kind", "n", "shard", "x", "y"]
+    now, held = None, []
+
+    def whole() -> Iterator[pa.RecordBatch]:
+        shard, kind, n = now
+        sizes = [len(k) for _, k, _, _ in held]
+        keys, place = ranked(np.concatenate([k for _, k, _, _ in held]), bits)
+        sums = [np.bincount(place, np.concatenate([h[c] for h in held]), len(keys)) for c in (2, 3)]
+        if kind != GAIN:
+            sums = [np.rint(s).astype(np.int64) for s in sums]
         else:
-            same = pair_keys(parent[own], token[own])
-            at = np.minimum(np.searchsorted(key, same), len(key) - 1)
-            above[own] = np.where(key[at] == same, p[at], 0)  # an n-gram's suffix is at least as frequent: it is there
-        p[own] = share[own] + left_of[own] * above[own]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.bincount(place, np.where(above > 0, count * np.log(p / above), 0), len(which))
-        seen_of = np.bincount(place, total, len(which)) / np.maximum(np.bincount(place, minlength=len(which)), 1)
-        rest = seen_of - np.bincount(place, count, len(which))
-        gain = (gain + np.where(rest > 0, rest * np.log(np.maximum(left, 1e-12)), 0)) / np.maximum(seen_of, 1)
-    keep = gain >= LEAST_GAIN
-    first = np.unique(place, return_index=True)[1]
-    length, up = n[first], parent[first]
-    for d in range(DEPTH, 1, -1):  # the contexts on the way to a state are states
-        wanted = up[keep & (length == d)]
-        keep |= np.isin(which, wanted)
-    own = keep[place]
-    return Tree(Keys(which[keep]), left[keep], Keys(key[own]), share[own])
+            sums = [sums[0] >= 0, np.zeros(len(keys), np.uint8)]
+        ends = np.cumsum(sizes)
+        for at in range(0, len(held), 64):
+            some = range(at, min(at + 64, len(held)))
+            parts = [[_pack(s[place[ends[i] - sizes[i] : ends[i]]].astype(np.uint8 if kind == GAIN else np.int64)) for i in some] for s in sums]
+            same = [pa.array([v] * len(some), pa.int32()) for v in (kind, n, shard)]
+            yield pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in some], pa.int64()), *same, *(pa.array(p, pa.binary()) for p in parts)], names)
+        if (kind, n) == (COUNT, 1):
+            own = sums[0][keys != START]
+            both = [str(int(v)).encode() for v in (own.sum(), (own > 0).sum())]
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), *(pa.array([v], pa.int32()) for v in (kind, n, shard)), *(pa.array([b], pa.binary()) for b in both)], names)
+
+    for batch in batches:
+        shard, seg, kind, n, keys, x, y = batch.columns
+        for i in range(len(batch)):
+            group = shard[i].as_py(), kind[i].as_py(), n[i].as_py()
+            if group != now and held:
+                yield from whole()
+                held = []
+            now = group
+            held.append((seg[i].as_py(), np.frombuffer(keys[i].as_py(), np.uint64), _unpack(x[i].as_py()), _unpack(y[i].as_py())))
+    if held:
+        yield from whole()
 
 
-@dataclass
-class Model:
-    tree: Tree
-    words: Keys
-    word_counts: np.ndarray
-    total: int
-    distinct: int
-
-    @property
-    def norm(self) -> float:
-        return self.total + PSEUDO * (self.distinct + 1)
-
-    def score(self, own: Stream, rows: int) -> tuple[np.ndarray, ...]:
-        """For each text: tokens, frequent ones, log10 sums of the base and of the tree without the rare tokens' roots; and those tokens."""
-        place = self.words.find(own.tokens)
-        often = place >= 0
-        root = np.ones(len(own.tokens))
-        root[often] = (self.word_counts[place[often]] + PSEUDO) / self.norm
-        p = root.copy()
-        live = np.ones(len(own.tokens), bool)
-        for _, index, key in own.contexts():
-            state = self.tree.states.find(key)
-            at = np.flatnonzero((state >= 0) & live[index])
-            inside = np.zeros(len(own.tokens), bool)
-            inside[index[at]] = True
-            live &= inside
-            pair = self.tree.pairs.find(pair_keys(key[at], own.tokens[index[at]]))
-            share = np.where(pair >= 0, self.tree.share[pair] if len(self.tree.share) else 0, 0)
-            p[index[at]] = share + self.tree.left[state[at]] * p[index[at]]
-        sums = lambda x: np.bincount(own.rows, x, rows)
-        rare = ~often
-        return sums(None).astype(np.int64), sums(often).astype(np.int64), sums(np.log10(root)), sums(np.log10(p)), own.tokens[rare], sums(rare).astype(np.int64)
+def _score(done: list[tuple[int, int]], norm: float, total: int, depth: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, own, ids in _read(done, batches):
+        n_tokens, n_known, base = own.base(norm)
+        columns = [ids, *map(pa.array, (n_tokens, n_known, np.full(len(ids), total, np.int64), base, own.scores(norm, depth)))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
 def _save(scratch: Scratch, df: DataFrame, name: str) -> DataFrame:
-    """scratch.save; Spark deletes the shuffle files of the written table at once, for less disk."""
+    """scratch.save, compressed well; Spark deletes the shuffle files of the written table at once, for less disk."""
     key, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", scratch.spark.conf
     before = conf.get(key)
     conf.set(key, "true")
     try:
-        return scratch.save(df, name)
+        return scratch.save(df, name, compression="zstd")
     finally:
         conf.set(key, before)
 
 
-def weights(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int, float]:
-    """(key, weight, count) of the tree of all of ``docs``, the table (token, count) of all words, their total, and the root's norm.
-
-    A state weighs log10 of its share left to the parent, an n-gram in it log10 of its probability over what
-    the parent's would have left it; their sum and the root's logarithm is that of the interpolated probability.
-    This is ``grow``, as joins.
-    """
-    spark = docs.sparkSession
-    texts = docs.select("text")
-
-    save = partial(_save, scratch)
-    sketch = texts.mapInArrow(_sketch, "shard int, twice boolean, gaps binary").repartition(SHARDS, "shard").sortWithinPartitions("shard")
-    bitmap = spark.sparkContext.broadcast(_bitmap(save(sketch.mapInArrow(_often, "n int, bits binary"), "marks")))
-    counted = []
-    for n in range(DEPTH + 1):  # one after the other, for less disk at once
-        own = texts.mapInArrow(lambda batches, n=n: _count(bitmap, n, batches), _COUNTED)
-        own = own.groupBy("n", "a", "b").agg(F.sum("count").alias("count"))
-        counted.append(save(own.filter(F.col("count") >= LEAST_COUNT) if n else own, f"counted-{n}"))
-    bitmap.destroy()
-    table = counted[0].select(F.col("a").alias("token"), "count")
-    total, distinct = table.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    norm = total + PSEUDO * (distinct + 1)
-    both = reduce(DataFrame.union, counted[1:])
-    grams = both.filter("n > 0").select("n", F.col("a").alias("context"), F.col("b").alias("token"), "count")
-    seen = both.filter("n < 0").select(F.col("a").alias("context"), F.col("b").alias("parent"), F.col("count").alias("seen"))
-    spent = grams.groupBy("context").agg(F.sum(F.col("count") - DISCOUNT).alias("spent"), F.sum("count").alias("listed"))
-    heads = seen.join(spent, "context").select("context", "parent", "seen", "listed", (1 - F.col("spent") / F.col("seen")).alias("left"))
-    grams = save(grams.join(save(heads, "heads"), "context"), "grams")
-    scratch.drop("heads", *(f"counted-{n}" for n in range(1, DEPTH + 1)))
-    above = table.select("token", F.lit(0).cast("long").alias("parent"), ((F.col("count") + PSEUDO) / norm).alias("above"))
-    levels = []
-    for n in range(1, DEPTH + 1):
-        # an n-gram's suffix is at least as frequent: it is there
-        own = grams.filter(F.col("n") == n).join(above, ["token"] if n == 1 else ["parent", "token"])
-        own = own.drop(above["parent"]) if n == 1 else own
-        own = own.withColumn("p", (F.col("count") - DISCOUNT) / F.col("seen") + F.col("left") * F.col("above"))
-        own = own.select("n", "context", "parent", "token", "count", "seen", "listed", "left", "above", "p")
-        levels.append(save(own, f"level-{n}"))
-        above = levels[-1].select(F.col("context").alias("parent"), "token", F.col("p").alias("above"))
-    scratch.drop("grams")
-    states: list[DataFrame] = []
-    for n in range(DEPTH, 0, -1):
-        gain = levels[n - 1].groupBy("context", "parent", "left").agg(
-            F.sum(F.col("count") * F.log(F.col("p") / F.col("above"))).alias("gain"), F.first("seen").alias("seen"), F.first("listed").alias("listed")
-        )
-        rest = (F.col("seen") - F.col("listed")) * F.log(F.greatest("left", F.lit(1e-12)))
-        gain = gain.withColumn("gain", (F.col("gain") + rest) / F.col("seen"))
-        if states:  # the contexts on the way to a state are states
-            below = states[-1].select(F.col("parent").alias("context")).distinct().withColumn("wanted", F.lit(True))
-            gain = gain.join(below, "context", "left").filter((F.col("gain") >= LEAST_GAIN) | F.col("wanted"))
-        else:
-            gain = gain.filter(F.col("gain") >= LEAST_GAIN)
-        states.append(save(gain.select("context", "parent", "left", "seen"), f"states-{n}"))
-    found = None
-    for level, own in zip(levels, reversed(states), strict=True):
-        one = own.select("context", F.lit(None).cast("long").alias("token"), F.log10("left").alias("weight"), F.col("seen").alias("count"))
-        pairs = level.join(own.select("context"), "context", "left_semi")
-        pairs = pairs.select("context", "token", F.log10(F.col("p") / (F.col("left") * F.col("above"))).alias("weight"), "count")
-        found = one.union(pairs) if found is None else found.union(one).union(pairs)
-    keyed = found.mapInArrow(_keyed, "key long, weight double, count long")
-    tree = save(keyed, "tree")
-    scratch.drop(*(f"{kind}-{n}" for kind in ("level", "states") for n in range(1, DEPTH + 1)))
-    return tree, table, int(total), norm
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        context = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        token = batch.column(1)
-        of_state = np.asarray(token.is_null())
-        key = np.where(of_state, context, pair_keys(context, token.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)))
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(2), batch.column(3)], ["key", "weight", "count"])
-
+def score(docs: DataFrame, learn: Column, depth: int = DEPTH, segment: int = SEGMENT, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """doc_id and the scores of ``docs(doc_id, text)`` by a model of those of them for which ``learn`` is true.
 
-@dataclass
-class Hot:
-    """What is broadcast: words and terms by key with their logarithms, and a bitmap of the keys of all terms."""
-
-    words: Keys
-    roots: np.ndarray
-    terms: Keys
-    weights: np.ndarray
-    bitmap: np.ndarray
-
-
-def _local(hot, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each text: tokens, hot ones, log10 sums of the base and of the tree as far as they are hot; the other tokens and terms."""
-    hot = hot.value
-    for batch, own in _chunks(batches):
-        rows = len(batch)
-        place = hot.words.find(own.tokens)
-        often = place >= 0
-        base = np.bincount(own.rows[often], hot.roots[place[often]], rows)
-        terms, held = np.zeros(rows), []
-        for _, index, key in own.contexts():
-            for keys in (key, pair_keys(key, own.tokens[index])):
-                at = np.flatnonzero(_marked(hot.bitmap, keys))
-                place = hot.terms.find(keys[at])
-                found = place >= 0
-                terms += np.bincount(own.rows[index[at[found]]], hot.weights[place[found]], rows)
-                held.append((own.rows[index[at[~found]]], keys[at[~found]]))
-        of, keys = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(of, kind="stable")
-        lists = []
-        for r, k in ((own.rows[~often], own.tokens[~often]), (of[order], keys[order])):
-            bounds = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=rows))]).astype(np.int32)
-            lists.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(k.view(np.int64))))
-        counts = (np.bincount(own.rows, minlength=rows), np.bincount(own.rows[often], minlength=rows))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(batch.schema.get_field_index("doc_id")), *map(pa.array, (*counts, base, base + terms)), *lists],
-            ["doc_id", "n_tokens", "known", "base", "tree", "rare", "terms"],
-        )
-
-
-def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
-    """doc_id and the scores of ``docs`` by a model of the texts of ``learn``; both hold doc_id and text.
-
-    n_tokens (words and the end), n_known (seen in learn), train_tokens, base_score, score. A null
-    text is empty: it has the end only. Equal rows get equal scores; an empty table gives an empty
-    one; without texts to learn from, every token has the probability 1 of the only thing known.
+    n_tokens (words and the end), n_known (seen in training texts), train_tokens, base_score, score. A null text is
+    empty: it has the end only; null ids stay. Equal rows get equal scores and are learned each; very long texts are
+    one segment. Where ``learn`` is null it is false. An empty table gives an empty one; without texts to
+    learn from, every token has the probability 1 of the only thing known. Other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "suffix-tree")
-    tree, table, total, norm = weights(learn, scratch)
-    root = F.log10((F.col("count") + PSEUDO) / F.lit(norm))
-    least = F.col("count") >= max(1.0, P_HOT * total)
-    hot_of = []
-    for frame in (table.filter(least).select(F.col("token").alias("key"), root.alias("weight")), tree.filter(least).select("key", "weight")):
-        frame = frame.toPandas().assign(key=lambda x: x["key"].to_numpy(np.int64).view(np.uint64)).sort_values("key")
-        hot_of += [Keys(frame["key"].to_numpy(np.uint64)), frame["weight"].to_numpy(float)]
-    parted = tree.select("key").repartition(SHARDS, F.expr(f"(key & 4294967295) div {(1 << 32) // SHARDS}"))
-    bitmap = _bitmap(_save(scratch, parted.mapInArrow(_fill, "n int, bits binary"), "tree-marks"))
-    hot = spark.sparkContext.broadcast(Hot(*hot_of, bitmap))
-    fields = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, known long, base double, tree double, rare array<long>, terms array<long>"
-    local = docs.select("doc_id", "text").mapInArrow(lambda batches: _local(hot, batches), fields)
-    local = _save(scratch, local.withColumn("row", F.monotonically_increasing_id()), "local")
-    rare = local.select("row", F.explode("rare").alias("token")).join(table, "token", "left")
-    unseen = F.lit(PSEUDO) / F.lit(norm)
-    more = rare.groupBy("row").agg(F.sum(F.coalesce(root, F.log10(unseen))).alias("more"), F.count("count").alias("more_known"))
-    terms = local.select("row", F.explode("terms").alias("key")).join(tree.filter(~least).select("key", "weight"), "key")
-    terms = _save(scratch, terms.groupBy("row").agg(F.sum("weight").alias("more_tree")), "terms")
-    joined = local.drop("rare", "terms").join(more, "row", "left").join(terms, "row", "left")
-    more, more_known, more_tree = F.coalesce("more", F.lit(0.0)), F.coalesce("more_known", F.lit(0)), F.coalesce("more_tree", F.lit(0.0))
-    return joined.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("known") + more_known).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("tree") + more + more_tree).alias("score"),
-    )
+    save = partial(_save, scratch)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    blobs = "learn binary, sizes binary, vocabulary binary, codes binary"
+    cut = docs.select("doc_id", "text", learn.alias("learn")).mapInArrow(partial(_segments, segment), f"ids array<{kind}>, {blobs}")
+    segments = save(cut.withColumn("seg", F.monotonically_increasing_id()), "segments")
+    n_segments, tokens = segments.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("codes")), F.lit(0))).first()
+    # codes take four bytes a word at most
+    bits = max(0, int(tokens // 4 // shard_tokens).bit_length())
+    fields = [f.strip().split(" ")[0] for f in f"{_SUMS}, ids a, {blobs}".split(",")]
+    own = segments.withColumns({"kind": F.lit(-1), "n": F.lit(0), "shard": F.lit(0), "x": F.lit(None).cast("binary"), "y": F.lit(None).cast("binary")}).select(*fields)
+    nothing = {"ids": F.lit(None).cast(f"array<{kind}>")} | {b.split(" ")[0]: F.lit(None).cast("binary") for b in blobs.split(", ")}
+    told = own
+
+    def together() -> DataFrame:
+        return told.repartition(max(1, n_segments // 2), "seg").sortWithinPartitions("seg", "kind", "n", "shard")
+
+    norm, total, done = PSEUDO, 0, []
+    # what is asked in a round needs the answers of those before
+    for r in range(1, depth + 4):
+        asked = [(k, r - step) for k, step, last in ((COUNT, 0, depth + 1), (LISTED, 2, depth), (GAIN, 3, depth)) if 1 <= r - step <= last]
+        asks = (together() if done else own).mapInArrow(partial(_ask, asked, list(done), bits, norm), _ASKS)
+        dealt = asks.repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("shard", "kind", "n", "seg")
+        sums = save(dealt.mapInArrow(partial(_add, bits), _SUMS), f"sums-{r}")
+        if r == 1:
+            whole = [F.coalesce(F.sum(F.col(c).cast("string").cast("long")), F.lit(0)) for c in ("x", "y")]
+            total, distinct = sums.filter("seg < 0").agg(*whole).first()
+            norm = total + PSEUDO * (distinct + 1)
+            sums = sums.filter("seg >= 0")
+        done += asked
+        told = told.union(sums.withColumns(nothing).select(*fields))
+    result = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return together().mapInArrow(partial(_score, done, norm, total, depth), result)
 
 
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    held_out = fold(F.col("doc_id"), 10) == 0
-    return score(docs, docs.filter(~held_out)).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    scored = score(docs, fold(F.col("doc_id"), 10) != 0)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), *scored.columns[1:])

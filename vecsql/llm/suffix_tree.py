@@ -18,7 +18,8 @@ occurrences: its count; how many n-grams a context lists (an occurrence adds 1 /
 the logarithms of the divergence test. So the work is a few rounds of one exchange: each segment
 adds up its own part for each different key, sends sorted keys and sums to the shards that own
 these ranges of keys, and gets the sums of all segments back in the order of its keys. A key, however
-frequent, is sent once by a segment, and n-grams whose parts are rare are not sent at all. Nothing is
+frequent, is sent once by a segment, and n-grams whose parts are rare are not sent at all; once
+counted, a frequent one is named by its number in its shard. Nothing is
 collected, broadcast or bounded by a number that doesn't grow: shards and segments grow with the corpus.
 """
 
@@ -42,7 +43,7 @@ DEPTH = 3
 #: Occurrences an n-gram needs to be listed.
 LEAST_COUNT = 2
 #: Tokens of a segment, about; a longer text is a segment of its own.
-SEGMENT = 1 << 20
+SEGMENT = 3 << 19
 #: Tokens for each shard of the keys, about.
 SHARD_TOKENS = 1 << 21
 PSEUDO = 0.1
@@ -80,16 +81,31 @@ def ranked(keys: np.ndarray, shift: int = 0) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Numbers in as few bytes as hold them all; fractions in four."""
+    """Numbers in as few bytes as hold the largest of them, fractions in four; their first bytes, their second ones, ... compressed."""
     if x.dtype.kind == "f":
-        return b"f" + x.astype(np.float32).tobytes()
-    top = int(x.max()) if len(x) else 0
-    kind = next(k for k in "BHIQ" if top < 1 << 8 * np.dtype(k).itemsize)
-    return kind.encode() + x.astype(kind).tobytes()
+        kind, planes = b"f", x.astype(np.float32).view(np.uint8).reshape(-1, 4).T
+    else:
+        wide = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+        kind, planes = b"%d" % wide, x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T[:wide]
+    return kind + len(x).to_bytes(4, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def _unpack(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, chr(x[0]), offset=1)
+    n = int.from_bytes(x[1:5], "little")
+    wide = 4 if x[:1] == b"f" else int(x[:1])
+    planes = np.frombuffer(pa.decompress(x[5:], n * wide, "zstd"), np.uint8).reshape(wide, n)
+    if x[:1] == b"f":
+        return np.ascontiguousarray(planes.T).view(np.float32).ravel()
+    if wide == 1:
+        return planes[0]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :wide] = planes.T
+    return out.view(np.uint64).ravel()
+
+
+def _gaps(x: np.ndarray, least: int = 0) -> np.ndarray:
+    """Ascending numbers by their distances, the first from ``least``; np.cumsum brings them back."""
+    return np.diff(x, prepend=x.dtype.type(least))
 
 
 @dataclass
@@ -99,7 +115,9 @@ class Level:
     keys: np.ndarray
     place: np.ndarray  # by position; -1 where none ends, or only ones too rare to be known
     count: np.ndarray | None = None
-    known: np.ndarray | None = None  # place, if the n-gram is frequent enough to be listed, else -1
+    known: np.ndarray | None = None  # by position, the place if the n-gram is frequent enough to be listed, else -1
+    often: np.ndarray | None = None  # places of those, and their numbers in their shards
+    numbers: np.ndarray | None = None
     left: np.ndarray | None = None
     state: np.ndarray | None = None
 
@@ -170,16 +188,15 @@ class Segment:
             p[at] = self.share(n, at, context) + self.levels[n - 1].left[context] * p[at]
             yield n, at, context, p
 
-    def ask(self, kind: int, n: int, norm: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted keys and this segment's two parts of the sums that are wanted."""
+    def ask(self, kind: int, n: int, norm: float) -> tuple[np.ndarray, ...]:
+        """Sorted keys (for counts) or numbers of frequent n-grams, and this segment's parts of the sums that are wanted."""
         if kind == COUNT:
             while len(self.levels) < n:
                 self.deepen()
             level = self.levels[n - 1]
             own = level.place[self.learn & (level.place >= 0)]
-            return level.keys, np.bincount(own, minlength=len(level.keys)), np.zeros(len(level.keys), np.uint8)
+            return level.keys, np.bincount(own, minlength=len(level.keys))
         level = self.levels[n - 1]
-        asked = np.flatnonzero(level.count >= LEAST_COUNT)
         if kind == LISTED:
             at, context = self.contexts(n)
             pair = self.levels[n].known[at]
@@ -190,27 +207,27 @@ class Segment:
             *_, (_, _, _, above), (_, at, context, p) = self.probabilities(norm, n)
             own = self.learn[at]
             at, context = at[own], context[own]
-            sums = np.bincount(context, np.log(p[at] / above[at]) - LEAST_GAIN, len(level.keys)), np.zeros(len(level.keys), np.uint8)
-        return level.keys[asked], *(x[asked] for x in sums)
+            sums = (np.bincount(context, np.log(p[at] / above[at]) - LEAST_GAIN, len(level.keys)),)
+        return level.numbers, *(x[level.often] for x in sums)
 
     def told(self, kind: int, n: int, x: np.ndarray, y: np.ndarray) -> None:
-        """The sums over all segments, in the order of the keys that were asked."""
+        """The sums over all segments, in the order of what was asked; of counts also the numbers of the frequent ones."""
         if kind == COUNT:
             while len(self.levels) < n:
                 self.deepen()
             level = self.levels[n - 1]
             level.count = x.astype(np.int64)
-            often = np.append(level.count >= LEAST_COUNT, False)  # the last for places of -1
-            level.known = np.where(often[level.place], level.place, -1)
+            frequent = np.append(level.count >= LEAST_COUNT, False)  # the last for places of -1
+            level.known = np.where(frequent[level.place], level.place, -1)
+            level.often, level.numbers = np.flatnonzero(frequent), y
             return
         level = self.levels[n - 1]
-        asked = np.flatnonzero(level.count >= LEAST_COUNT)
         if kind == LISTED:
             level.left = np.ones(len(level.keys))
-            level.left[asked] = 1 - (y - DISCOUNT * x) / level.count[asked]
+            level.left[level.often] = 1 - (y - DISCOUNT * x) / level.count[level.often]
         else:
             level.state = np.zeros(len(level.keys), bool)
-            level.state[asked] = x > 0
+            level.state[level.often] = x > 0
 
     def scores(self, norm: float, depth: int) -> np.ndarray:
         """log10 of the probability of each text, by the longest state before each token."""
@@ -230,16 +247,21 @@ class Segment:
         return np.bincount(self.rows, x, int(self.rows[-1]) + 1)
 
 
-def _segments(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments (ids, learn, sizes, vocabulary, codes) from rows (doc_id, text, learn)."""
+def _segments(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments (size, ids, learn, sizes, vocabulary, codes) from rows (doc_id, text, learn)."""
 
     def whole() -> pa.RecordBatch:
         vocabulary, codes = ranked(np.concatenate([h for *_, h in held]))
+        by_count = np.argsort(-np.bincount(codes, minlength=len(vocabulary)), kind="stable")  # small codes for frequent words
+        code_of = np.empty(len(vocabulary), np.int64)
+        code_of[by_count] = np.arange(len(vocabulary))
+        vocabulary, codes = vocabulary[by_count], code_of[codes]
         flags, sizes = np.concatenate([f for _, f, _, _ in held]), np.concatenate([s for _, _, s, _ in held])
         ids = pa.concat_arrays([i for i, *_ in held])
         listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
         blobs = [np.packbits(flags).tobytes(), _pack(sizes), vocabulary.tobytes(), _pack(codes)]
-        return pa.RecordBatch.from_arrays([listed, *(pa.array([b], pa.binary()) for b in blobs)], ["ids", "learn", "sizes", "vocabulary", "codes"])
+        size = pa.array([len(codes) + 2 * len(sizes)], pa.int64())
+        return pa.RecordBatch.from_arrays([size, listed, *(pa.array([b], pa.binary()) for b in blobs)], ["size", "ids", "learn", "sizes", "vocabulary", "codes"])
 
     held: list[tuple] = []
     n = 0
@@ -251,7 +273,7 @@ def _segments(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             found = words(data[own[0] : own[-1]], own - own[0], NON_SPACE)
             held.append((batch.column(0).slice(a, b - a), flags[a:b], found.counts, found.hashes))
             n += len(found.hashes) + 2 * (b - a)
-            if n >= size:
+            if n >= most:
                 yield whole()
                 held, n = [], 0
     if held:
@@ -270,7 +292,10 @@ def _read(done: list[tuple[int, int]], batches: Iterator[pa.RecordBatch]) -> Ite
     def whole() -> tuple[int, Segment, pa.Array]:
         for kind, n in sorted(done):  # counts of n-grams before what is said of contexts
             parts = told.get((kind, n), [])
-            now[1].told(kind, n, *(np.concatenate([np.zeros(0, np.uint8), *(_unpack(p[k]) for p in parts)]) for k in (0, 1)))
+            both = [[_unpack(p[k]) for p in parts] for k in (0, 1)]
+            if kind == COUNT:
+                both[1] = [np.cumsum(x, dtype=np.int64) for x in both[1]]
+            now[1].told(kind, n, *(np.concatenate([np.zeros(0, np.uint8), *x]) for x in both))
         return now
 
     for batch in batches:
@@ -291,54 +316,71 @@ def _read(done: list[tuple[int, int]], batches: Iterator[pa.RecordBatch]) -> Ite
 
 
 def _ask(asked: list[tuple[int, int]], done: list[tuple[int, int]], bits: int, norm: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bounds = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
+    firsts = [s << 64 - bits for s in range(1 << bits)]
     names = ["shard", "seg", "kind", "n", "keys", "x", "y"]
     for seg, own, _ in _read(done, batches):
         for kind, n in asked:
-            keys, x, y = own.ask(kind, n, norm)
-            cuts = np.append(np.searchsorted(keys, bounds), len(keys))
-            for at in range(0, 1 << bits, 256):
-                full = [s for s in range(at, min(at + 256, 1 << bits)) if cuts[s] < cuts[s + 1]]
-                if full:
-                    parts = [[(v[cuts[s] : cuts[s + 1]].tobytes() if v is keys else _pack(v[cuts[s] : cuts[s + 1]])) for s in full] for v in (keys, x, y)]
-                    same = [pa.array([v] * len(full), t) for v, t in ((seg, pa.int64()), (kind, pa.int32()), (n, pa.int32()))]
-                    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *same, *(pa.array(p, pa.binary()) for p in parts)], names)
+            keys, *sums = own.ask(kind, n, norm)
+            level = own.levels[n - 1]
+            cuts = np.append(np.searchsorted(keys if kind == COUNT else level.keys[level.often], np.array(firsts, np.uint64)), len(keys))
+            full = np.flatnonzero(np.diff(cuts)).tolist()
+            for at in range(0, len(full), 256):
+                some = full[at : at + 256]
+                sent = [_pack(_gaps(keys[cuts[s] : cuts[s + 1]], firsts[s] if kind == COUNT else 0)) for s in some]
+                parts = [[_pack(v[cuts[s] : cuts[s + 1]]) for s in some] for v in sums] + [[None] * len(some)] * (2 - len(sums))
+                same = [pa.array([v] * len(some), t) for v, t in ((seg, pa.int64()), (kind, pa.int32()), (n, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *same, *(pa.array(p, pa.binary()) for p in (sent, *parts))], names)
 
 
 def _add(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each ask the sums of all segments in the order of its keys; for the counts of words a row of no segment with how many there are, too."""
+    """For each ask the sums of all segments in the order of what it asks for; for the counts of words a row of no segment with how many there are, too.
+
+    Counts come with the numbers of the frequent n-grams: dense and ascending within a shard, and all
+    that later rounds need to send.
+    """
     names = ["seg", "kind", "n", "shard", "x", "y"]
     now, held = None, []
 
     def whole() -> Iterator[pa.RecordBatch]:
         shard, kind, n = now
-        sizes = [len(k) for _, k, _, _ in held]
-        keys, place = ranked(np.concatenate([k for _, k, _, _ in held]), bits)
-        sums = [np.bincount(place, np.concatenate([h[c] for h in held]), len(keys)) for c in (2, 3)]
-        if kind != GAIN:
-            sums = [np.rint(s).astype(np.int64) for s in sums]
+        ends = np.cumsum([len(k) for _, k, *_ in held])
+        own = [slice(int(e) - len(h[1]), int(e)) for e, h in zip(ends, held, strict=True)]
+        place = np.concatenate([k for _, k, *_ in held])
+        numbers = None
+        if kind == COUNT:
+            keys, place = ranked(place + np.uint64(shard << 64 - bits), bits)
+            sums = [np.rint(np.bincount(place, np.concatenate([h[2] for h in held]))).astype(np.int64)]
+            frequent = sums[0] >= LEAST_COUNT
+            numbers = np.cumsum(frequent) - 1
         else:
-            sums = [sums[0] >= 0, np.zeros(len(keys), np.uint8)]
-        ends = np.cumsum(sizes)
+            place = place.astype(np.int64)
+            sums = [np.bincount(place, np.concatenate([h[c] for h in held])) for c in ((2, 3) if kind == LISTED else (2,))]
+            sums = [np.rint(s).astype(np.int64) for s in sums] if kind == LISTED else [(sums[0] >= 0).astype(np.uint8)]
         for at in range(0, len(held), 64):
             some = range(at, min(at + 64, len(held)))
-            parts = [[_pack(s[place[ends[i] - sizes[i] : ends[i]]].astype(np.uint8 if kind == GAIN else np.int64)) for i in some] for s in sums]
+            parts = [[_pack(s[place[own[i]]]) for i in some] for s in sums]
+            if kind == COUNT:
+                parts.append([_pack(_gaps(numbers[p[frequent[p]]])) for p in (place[own[i]] for i in some)])
+            elif kind == GAIN:
+                parts.append([_pack(np.zeros(0, np.uint8))] * len(some))
             same = [pa.array([v] * len(some), pa.int32()) for v in (kind, n, shard)]
             yield pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in some], pa.int64()), *same, *(pa.array(p, pa.binary()) for p in parts)], names)
         if (kind, n) == (COUNT, 1):
-            own = sums[0][keys != START]
-            both = [str(int(v)).encode() for v in (own.sum(), (own > 0).sum())]
+            words_ = sums[0][keys != START]
+            both = [str(int(v)).encode() for v in (words_.sum(), (words_ > 0).sum())]
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), *(pa.array([v], pa.int32()) for v in (kind, n, shard)), *(pa.array([b], pa.binary()) for b in both)], names)
 
     for batch in batches:
-        shard, seg, kind, n, keys, x, y = batch.columns
+        shard, seg, kind, n, *blobs = batch.columns
         for i in range(len(batch)):
             group = shard[i].as_py(), kind[i].as_py(), n[i].as_py()
             if group != now and held:
                 yield from whole()
                 held = []
             now = group
-            held.append((seg[i].as_py(), np.frombuffer(keys[i].as_py(), np.uint64), _unpack(x[i].as_py()), _unpack(y[i].as_py())))
+            keys, *sums = (b[i].as_py() for b in blobs)
+            keys = _unpack(keys)
+            held.append((seg[i].as_py(), np.cumsum(keys, dtype=np.uint64), *(_unpack(v) for v in sums if v is not None)))
     if held:
         yield from whole()
 
@@ -375,11 +417,10 @@ def score(docs: DataFrame, learn: Column, depth: int = DEPTH, segment: int = SEG
     save = partial(_save, scratch)
     kind = docs.schema["doc_id"].dataType.simpleString()
     blobs = "learn binary, sizes binary, vocabulary binary, codes binary"
-    cut = docs.select("doc_id", "text", learn.alias("learn")).mapInArrow(partial(_segments, segment), f"ids array<{kind}>, {blobs}")
+    cut = docs.select("doc_id", "text", learn.alias("learn")).mapInArrow(partial(_segments, segment), f"size long, ids array<{kind}>, {blobs}")
     segments = save(cut.withColumn("seg", F.monotonically_increasing_id()), "segments")
-    n_segments, tokens = segments.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("codes")), F.lit(0))).first()
-    # codes take four bytes a word at most
-    bits = max(0, int(tokens // 4 // shard_tokens).bit_length())
+    n_segments, tokens = segments.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    bits = int(tokens // shard_tokens).bit_length()
     fields = [f.strip().split(" ")[0] for f in f"{_SUMS}, ids a, {blobs}".split(",")]
     own = segments.withColumns({"kind": F.lit(-1), "n": F.lit(0), "shard": F.lit(0), "x": F.lit(None).cast("binary"), "y": F.lit(None).cast("binary")}).select(*fields)
     nothing = {"ids": F.lit(None).cast(f"array<{kind}>")} | {b.split(" ")[0]: F.lit(None).cast("binary") for b in blobs.split(", ")}
@@ -389,9 +430,13 @@ def score(docs: DataFrame, learn: Column, depth: int = DEPTH, segment: int = SEG
         return told.repartition(max(1, n_segments // 2), "seg").sortWithinPartitions("seg", "kind", "n", "shard")
 
     norm, total, done = PSEUDO, 0, []
-    # what is asked in a round needs the answers of those before
-    for r in range(1, depth + 4):
-        asked = [(k, r - step) for k, step, last in ((COUNT, 0, depth + 1), (LISTED, 2, depth), (GAIN, 3, depth)) if 1 <= r - step <= last]
+    # what is asked needs the answers to what is asked before it; few things at once, for less disk
+    rounds = [[(COUNT, n)] for n in range(1, depth + 2)]
+    rounds += [[(LISTED, n) for n in range(1, depth + 1)], *([(GAIN, n)] for n in range(1, depth + 1))]
+    if depth > 2:  # contexts of one word go with longer n-grams
+        rounds[2].append(rounds[depth + 1].pop(0))
+        rounds[3] += rounds.pop(depth + 2)
+    for r, asked in enumerate(rounds, 1):
         asks = (together() if done else own).mapInArrow(partial(_ask, asked, list(done), bits, norm), _ASKS)
         dealt = asks.repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("shard", "kind", "n", "seg")
         sums = save(dealt.mapInArrow(partial(_add, bits), _SUMS), f"sums-{r}")

@@ -58,34 +58,39 @@ def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 60)
 def linked_groups(
     members: DataFrame,
     verify: Callable[[DataFrame, bool], DataFrame],
-    alike: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame, Column]],
+    alike: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame, Column]] | None,
     scratch: Scratch,
 ) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) and components (node, root) of ``members(node, bucket)``; node is a long.
 
     verify: of pairs (a, b), those that are links; told whether they met the condition of alike. alike: gives two sides of rows (node, bucket,
-    root) what it needs and the condition, on ``x`` and ``y``, that a pair must meet to be verified.
+    root) what it needs and the condition, on ``x`` and ``y``, that a pair must meet to be verified. Without it a member is compared with
+    one member, the one of most reach, of every other component in its bucket.
     """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     shared = scratch.save(members.join(sizes, "bucket"), "shared")
     reach = shared.groupBy("node").agg(F.sum("n").alias("reach"))
     shared = shared.drop("n").join(reach, "node")
     hubs = shared.groupBy("bucket").agg(F.max_by("node", F.struct("reach", -F.col("node"))).alias("hub"))
-    placed = scratch.save(shared.select("node", "bucket").join(hubs, "bucket"), "placed")
+    placed = scratch.save(shared.join(hubs, "bucket"), "placed")
     scratch.drop("shared")
     stars = placed.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = scratch.save(verify(stars, False), "links")
     groups = components(links, scratch, "first")
     root = F.coalesce("root", "node")
-    rooted = placed.join(groups, "node", "left").select("node", "bucket", "hub", root.alias("root"))
+    rooted = placed.join(groups, "node", "left").select("node", "bucket", "hub", "reach", root.alias("root"))
     hub_roots = groups.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
     rooted = rooted.join(hub_roots, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
     rooted = scratch.save(rooted, "rooted")
     # a bucket whose other members are all alone has been tested in full only if it has two members
     apart = rooted.filter("root <> hub_root").select("node", "bucket", "hub", "root")
     open_ = apart.groupBy("bucket").agg(F.count("*").alias("apart"))
-    every = rooted.join(open_, "bucket").select("node", "bucket", "root")
-    x, y, condition = alike(apart, every)
+    every = rooted.join(open_, "bucket")
+    if alike is None:
+        condition = F.lit(True)
+        x, y = apart, every.groupBy("bucket", "root").agg(F.max_by("node", F.struct("reach", -F.col("node"))).alias("node"))
+    else:
+        x, y, condition = alike(apart, every.select("node", "bucket", "root"))
     x, y = x.alias("x"), y.alias("y")
     fresh = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & (F.col("y.node") != F.col("x.hub"))
     late = x.join(y, fresh & condition).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()

@@ -43,7 +43,7 @@ DEPTH = 3
 #: Occurrences an n-gram needs to be listed.
 LEAST_COUNT = 2
 #: Tokens of a segment, about; a longer text is a segment of its own.
-SEGMENT = 3 << 19
+SEGMENT = 1 << 20
 #: Tokens for each shard of the keys, about.
 SHARD_TOKENS = 1 << 21
 PSEUDO = 0.1
@@ -75,8 +75,8 @@ def ranked(keys: np.ndarray, shift: int = 0) -> tuple[np.ndarray, np.ndarray]:
         found = keys[order]
     new = np.ones(n, bool)
     new[1:] = found[1:] != found[:-1]
-    place = np.empty(n, np.int64)
-    place[order] = np.cumsum(new) - 1
+    place = np.empty(n, np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
     return found[new], place
 
 
@@ -138,14 +138,15 @@ class Segment:
         size = sizes.astype(np.int64) + 2
         first = np.cumsum(size) - size
         every = np.concatenate([vocabulary, [START, END]])
-        code = np.empty(int(size.sum()), np.int64)
+        code = np.empty(int(size.sum()), np.int32)
         inside = np.ones(len(code), bool)
         inside[first] = inside[first + size - 1] = False
         code[inside] = codes
         code[first], code[first + size - 1] = len(vocabulary), len(vocabulary) + 1
         keys, place = ranked(every)
-        rows = np.repeat(np.arange(len(size)), size)
-        out = cls(every[code], rows, np.arange(len(code)) - first[rows], learn[rows])
+        rows = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        before = (np.arange(len(code)) - np.repeat(first, size)).astype(np.int32)
+        out = cls(every[code], rows, before, np.repeat(learn, size))
         out.levels.append(Level(keys, place[code]))
         out.key = out.tokens
         return out
@@ -157,7 +158,7 @@ class Segment:
         at = np.flatnonzero(often[1:] & often[:-1] & (self.before[1:] >= n - 1)) + 1
         key = mix(self.key[at - 1] * _ODD + self.tokens[at] + np.uint64(n))
         keys, own = ranked(key)
-        place = np.full(len(self.tokens), -1)
+        place = np.full(len(self.tokens), -1, np.int32)
         place[at] = own
         self.key = np.zeros(len(self.tokens), np.uint64)
         self.key[at] = key
@@ -165,7 +166,7 @@ class Segment:
 
     def contexts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions of tokens after a frequent context of n words, and the contexts' places."""
-        before = np.concatenate([[-1], self.levels[n - 1].known[:-1]])
+        before = np.concatenate([np.array([-1], np.int32), self.levels[n - 1].known[:-1]])
         at = np.flatnonzero((before >= 0) & (self.before >= n))
         return at, before[at]
 
@@ -218,7 +219,7 @@ class Segment:
             level = self.levels[n - 1]
             level.count = x.astype(np.int64)
             frequent = np.append(level.count >= LEAST_COUNT, False)  # the last for places of -1
-            level.known = np.where(frequent[level.place], level.place, -1)
+            level.known = np.where(frequent[level.place], level.place, np.int32(-1))
             level.often, level.numbers = np.flatnonzero(frequent), y
             return
         level = self.levels[n - 1]

@@ -69,6 +69,36 @@ def test_near_copies_against_brute_force(spark, docs_of, odd_rows):
     assert kept[0].node == 1
 
 
+def bag(text):
+    import re
+    from collections import Counter
+
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+
+def probability_jaccard(x, y):
+    return sum(1 / sum(max(x[e] / x[d], y[e] / y[d]) for e in x.keys() | y.keys()) for d in x.keys() & y.keys())
+
+
+def test_repeated_lines_and_templates_against_brute_force(spark, docs_of):
+    """Texts that differ in how often lines are repeated, and pages of one template below the threshold."""
+    base, line = words(300, 9), words(12, 10)
+    texts = [base] + [f"{base} {' '.join([line] * n)}" for n in (1, 2, 3, 5, 8, 20, 400)]
+    texts += [" ".join([line] * n) for n in (1, 2, 30, 31)]
+    common = words(300, 11)
+    texts += [f"{common} {words(n, 900 + k)}" for k, n in enumerate([20, 30, 40, 60, 80, 100] * 6)]
+    bags = [bag(t) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if probability_jaccard(bags[a], bags[b]) >= 0.8 - 1e-9]
+    by_set = [(a, b) for a in range(len(texts)) for b in range(a) if len(bags[a].keys() & bags[b].keys()) >= 0.8 * len(bags[a].keys() | bags[b].keys())]
+    assert set(links) != set(by_set) and len(links) > 20
+    want = smallest_reachable(range(len(texts)), links)
+    found, linked = near_dedup.groups(docs_of([(i, t, "a") for i, t in enumerate(texts)]))
+    assert {r.doc_id: r.class_id for r in found.collect()} == want
+    for r in linked.collect():
+        assert abs(r.similarity - probability_jaccard(bags[r.a], bags[r.b])) < 1e-6
+
+
 def test_near_dedup_of_nothing(docs_of):
     assert near_dedup.dedup(docs_of([])).count() == 0
     assert near_dedup.groups(docs_of([]))[0].count() == 0

@@ -7,8 +7,13 @@ earliest arrival. A shingle stops as soon as its next arrival is later than the
 time, so after the first arrivals only few go on. Two texts agree in a register with the
 probability Jaccard similarity of their weights. All texts of a batch are run together in numpy.
 
-Bands of registers make buckets; see ``linking`` for how they are compared. A link is verified by
-the Jaccard similarity of the sets of shingles, hashed to 32 bits (two different shingles of a pair
+One similarity serves throughout, the probability Jaccard similarity of the counts of shingles:
+
+    J(x, y) = sum over common d of 1 / sum over all e of max(x[e] / x[d], y[e] / y[d])
+
+It is that of the two distributions, whatever the lengths of the texts, and the usual Jaccard similarity of the sets
+where no shingle is repeated. Bands of registers make buckets; see ``linking`` for how they are
+compared. A link is verified by J itself over the shingles, hashed to 32 bits (two different shingles of a pair
 of texts of 1,000 words meet by chance once in 4,000 pairs, which moves a similarity by 0.0005).
 """
 
@@ -31,8 +36,11 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 #: The bands take the first of them; all serve to estimate a similarity.
 REGISTERS = 384
-#: Three standard deviations below 0.8 of a similarity estimated from all registers.
-LEAST_ESTIMATE = SIMILARITY - 3 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
+#: Five standard deviations below 0.8 of a similarity estimated from all registers: of the pairs at exactly 0.8 that share a
+#: band, fewer than one in a million are estimated lower, against one in 14,000 that share no band.
+LEAST_ESTIMATE = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
+#: What rounding may take from a similarity.
+SLACK = 1e-9
 #: Up to so many keys (some 100 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 400_000
 
@@ -94,13 +102,44 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shingles, counts): as bytes, 32 bits each, the shingles in order."""
     for batch in batches:
         for a, b, data, offsets in _chunks(batch.column(1)):
-            hashes, rows, _ = weighted_shingles(data, offsets)
-            short = (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            bounds = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=b - a))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(bounds), pa.array(short))], ["node", "shingles"])
+            hashes, rows, counts = weighted_shingles(data, offsets)
+            short = (hashes >> np.uint64(32)).astype(np.uint32)
+            order = np.lexsort((short, rows))
+            short, counts, rows = short[order], counts[order], rows[order]
+            new = np.r_[True, (short[1:] != short[:-1]) | (rows[1:] != rows[:-1])] if len(rows) else np.zeros(0, bool)
+            counts = np.add.reduceat(counts, np.flatnonzero(new)).astype(np.uint32) if len(rows) else counts.astype(np.uint32)
+            short, bounds = short[new], np.searchsorted(rows[new], np.arange(b - a + 1)).tolist()
+            blobs = [[x[p:q].tobytes() for p, q in zip(bounds[:-1], bounds[1:], strict=True)] for x in (short, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(x, pa.binary()) for x in blobs)], ["node", "shingles", "counts"])
+
+
+def probability_jaccard(shingles_a: np.ndarray, counts_a: np.ndarray, shingles_b: np.ndarray, counts_b: np.ndarray) -> float:
+    """Of two bags: different shingles and their counts."""
+    _, i, j = np.intersect1d(shingles_a, shingles_b, assume_unique=True, return_indices=True)
+    if not len(i):
+        return 0.0
+    x, y = counts_a[i].astype(float), counts_b[j].astype(float)
+    rest_x, rest_y = counts_a.sum(dtype=float) - x.sum(), counts_b.sum(dtype=float) - y.sum()
+    if x.max() == x.min() and y.max() == y.min():  # as most texts are
+        return float(len(x) / (rest_x / x[0] + rest_y / y[0] + len(x)))
+    # common shingles of the same two counts are alike
+    (x, y), n = np.unique(np.stack([x, y]), axis=1, return_counts=True)
+    total = 0.0
+    for a in range(0, len(x), 512):
+        p, q = x[a : a + 512, None], y[a : a + 512, None]
+        total += float((n[a : a + 512] / (rest_x / p[:, 0] + rest_y / q[:, 0] + (n * np.maximum(x / p, y / q)).sum(1))).sum())
+    return total
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b, *bags = (c.to_pylist() for c in batch.columns)
+        found = [probability_jaccard(*(np.frombuffer(v, np.uint32) for v in four)) for four in zip(*bags, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
 
 def _key(text: Column) -> Column:
@@ -111,19 +150,14 @@ def _estimate(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v) / REGISTERS
 
 
-def _may_reach(a: str, b: str) -> Column:
-    """Of two set sizes: whether the similarity can be large enough."""
-    return F.least(a, b) >= F.greatest(a, b) * F.lit(SIMILARITY)
-
-
 def groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Of ``docs(doc_id, text)``: one row a document, and the links between different texts.
 
     First: doc_id, text_key, class_id (smallest doc_id of the group), copies (rows of the same text),
     kept (this id and text stand for the group). Second: (a, b, similarity) of smallest doc_ids.
-    Equal texts are one class and are compared once. A null text is empty; texts without words are
-    alike only if equal. Null ids count as larger than all others. Only doc_id and text are read;
-    an empty table gives empty ones.
+    Equal texts, repeated rows among them, are one class and are compared once; very long texts are compared whole. A null
+    text is empty; texts without words are alike only if equal. Null ids count as larger than all others. Only doc_id and
+    text are read; an empty table gives empty ones.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -141,33 +175,33 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     bands = [F.xxhash64(F.lit(b), F.slice("sign", b * ROWS + 1, ROWS)) for b in range(BANDS)]
     members = signed.select("node", F.explode(F.array(*bands)).alias("bucket"))
 
-    def verify(pairs: DataFrame, sized: bool) -> DataFrame:
+    least = LEAST_ESTIMATE - (SIMILARITY - similarity)
+
+    def verify(pairs: DataFrame, estimated: bool) -> DataFrame:
         name = f"pairs-{len(made)}"
         made.append(name)
-        if not sized:
-            sizes = signed.select("node", "size")
-            pairs = pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b").filter(_may_reach("size_a", "size_b"))
+        if not estimated:
+            signs = signed.select("node", "sign")
+            pairs = pairs.join(signs.toDF("a", "sign_a"), "a").join(signs.toDF("b", "sign_b"), "b")
+            pairs = pairs.filter(_estimate("sign_a", "sign_b") >= least).select("a", "b")
         pairs = scratch.save(pairs, name)
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = scratch.save(nodes.join(classes, "node").select("node", F.col("text_key").alias("its_key"), F.col("least_id").alias("its_id")), f"{name}-texts")
         few = wanted.count() <= BROADCAST_KEYS
         on = (F.col("text_key") == F.col("its_key")) & F.col("doc_id").eqNullSafe(F.col("its_id"))
         texts = keyed.join(F.broadcast(wanted) if few else wanted, on).select("node", "text")
-        sets = texts.mapInArrow(_shingle_sets, "node long, shingles array<int>")
-        sets = scratch.save(sets, f"{name}-sets")
-        first, second = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
-        common = F.size(F.array_intersect("set_a", "set_b"))
-        found = pairs.join(first, "a").join(second, "b").select("a", "b", (common / (F.size("set_a") + F.size("set_b") - common)).alias("similarity"))
-        found = scratch.save(found.filter(F.col("similarity") >= similarity).dropDuplicates(["a", "b"]), f"{name}-links")
-        scratch.drop(name, f"{name}-texts", f"{name}-sets")
+        bags = scratch.save(texts.mapInArrow(_shingle_counts, "node long, shingles binary, counts binary").dropDuplicates(["node"]), f"{name}-bags")
+        both = pairs.join(bags.toDF("a", "shingles_a", "counts_a"), "a").join(bags.toDF("b", "shingles_b", "counts_b"), "b")
+        found = both.select("a", "b", "shingles_a", "counts_a", "shingles_b", "counts_b").mapInArrow(_verify, "a long, b long, similarity double")
+        found = scratch.save(found.filter(F.col("similarity") >= similarity - SLACK), f"{name}-links")
+        scratch.drop(name, f"{name}-texts", f"{name}-bags")
         return found
 
     def alike(apart: DataFrame, every: DataFrame):
-        signs = signed.select("node", "sign", "size", F.array(*bands).alias("buckets"))
+        signs = signed.select("node", "sign", F.array(*bands).alias("buckets"))
         # a pair counts in the first bucket that it shares
         first = F.element_at(F.array_intersect("x.buckets", "y.buckets"), 1) == F.col("x.bucket")
-        enough = _estimate("x.sign", "y.sign") >= LEAST_ESTIMATE - (SIMILARITY - similarity)
-        return apart.join(signs, "node"), every.join(signs, "node"), _may_reach("x.size", "y.size") & first & enough
+        return apart.join(signs, "node"), every.join(signs, "node"), first & (_estimate("x.sign", "y.sign") >= least)
 
     made: list[str] = []
     links, roots = linked_groups(members, verify, alike, scratch)
@@ -190,7 +224,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates, all columns as they are.
 
     Rows that go are known by id and text. Where the row that stays is itself repeated, one of the
-    repeated rows stays.
+    repeated rows stays. A null text is empty, and all texts without characters are one group; null ids count as
+    larger than all others; other columns may have any names. An empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession, "near-dedup-rows")
     found, _ = groups(docs)
@@ -219,18 +254,26 @@ WITH RECURSIVE d AS (
 ), w AS (
   SELECT node, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d
 ), s AS (
-  SELECT DISTINCT node, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS s
-  FROM w WHERE len(w) > 0
+  SELECT node, s, count(*)::DOUBLE AS c FROM (
+    SELECT node, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS s
+    FROM w WHERE len(w) > 0
+  ) GROUP BY ALL
 ), n AS (
-  SELECT node, count(*) AS n FROM s GROUP BY node
+  SELECT node, sum(c) AS n FROM s GROUP BY node
 ), p AS (
-  SELECT x.node AS a, y.node AS b, count(*) AS common FROM s x JOIN s y ON x.s = y.s AND x.node <> y.node GROUP BY 1, 2
+  SELECT x.node AS a, y.node AS b, x.c AS cx, y.c AS cy, count(*) AS m FROM s x JOIN s y ON x.s = y.s AND x.node <> y.node GROUP BY ALL
+), c AS (
+  SELECT a, b, sum(m * cx) AS x, sum(m * cy) AS y FROM p GROUP BY ALL
+), q AS (
+  SELECT p.a, p.b, p.cx, p.cy, any_value(p.m) AS m, sum(o.m * greatest(o.cx / p.cx, o.cy / p.cy)) AS shared
+  FROM p JOIN p o ON p.a = o.a AND p.b = o.b GROUP BY ALL
 ), l AS (
-  SELECT a, b FROM p JOIN n x ON x.node = a JOIN n y ON y.node = b WHERE common >= 0.8 * (x.n + y.n - common)
+  SELECT a, b FROM q JOIN c USING (a, b) JOIN n x ON x.node = a JOIN n y ON y.node = b
+  GROUP BY a, b HAVING sum(m / ((x.n - c.x) / cx + (y.n - c.y) / cy + shared)) >= 0.8 - 1e-9
 ), r(node, root) AS (
   SELECT node, node FROM d UNION SELECT l.a, r.root FROM l JOIN r ON l.b = r.node
-), c AS (
+), g AS (
   SELECT node, min(root) AS class_id FROM r GROUP BY node
 )
-SELECT doc_id, class_id, copies, doc_id = class_id AS kept FROM documents JOIN d ON coalesce(text, '') = t JOIN c USING (node)
+SELECT doc_id, class_id, copies, doc_id = class_id AS kept FROM documents JOIN d ON coalesce(text, '') = t JOIN g USING (node)
 """

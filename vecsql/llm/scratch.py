@@ -6,6 +6,7 @@ again: a lost executor then costs only the running stage, and the plan is comput
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,19 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 from vecsql.storage import shared_dir
 
 
-#: Rows of an Arrow batch, at most, where rows hold texts or pictures.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch, at most, where rows hold texts or pictures.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """From now on this session's Arrow batches have at most ``BATCH_ROWS`` rows.
+    """From now on this session's Arrow batches have at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` bytes.
 
-    Spark counts rows, not bytes; at its usual 10,000 a batch of long texts takes hundreds of MB,
-    on the JVM and again in Python.
+    An operator's result is a plan that runs later, under the session's settings of that time, so they stay;
+    they only make batches smaller. At the usual 64 MB a batch stands a few times in the JVM and in Python.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        number, unit = re.fullmatch(r"(-?\d+)([kmg]?)b?", spark.conf.get(key).lower()).groups()
+        if not 0 < int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit] <= most:
+            spark.conf.set(key, str(most))
 
 
 def unused(name: str, *frames: DataFrame) -> str:

@@ -45,7 +45,7 @@ LEAST_COUNT = 2
 #: Tokens of a segment, about; a longer text is a segment of its own.
 SEGMENT = 1 << 20
 #: Tokens for each shard of the keys, about.
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 22
 PSEUDO = 0.1
 DISCOUNT = 0.75
 #: Natural logarithm's gain a token that a context must bring over its parent.
@@ -98,9 +98,11 @@ def _unpack(x: bytes) -> np.ndarray:
         return np.ascontiguousarray(planes.T).view(np.float32).ravel()
     if wide == 1:
         return planes[0]
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :wide] = planes.T
-    return out.view(np.uint64).ravel()
+    kind = np.uint32 if wide <= 4 else np.uint64
+    out = planes[0].astype(kind)
+    for k in range(1, wide):
+        out |= planes[k].astype(kind) << kind(8 * k)
+    return out
 
 
 def _gaps(x: np.ndarray, least: int = 0) -> np.ndarray:
@@ -155,8 +157,13 @@ class Segment:
         """The next length: only n-grams both of whose parts are frequent can be."""
         n = len(self.levels) + 1
         often = self.levels[-1].known >= 0
-        at = np.flatnonzero(often[1:] & often[:-1] & (self.before[1:] >= n - 1)) + 1
-        key = mix(self.key[at - 1] * _ODD + self.tokens[at] + np.uint64(n))
+        fits = often[1:] & often[:-1]
+        fits &= self.before[1:] >= n - 1
+        at = np.flatnonzero(fits) + 1
+        key = self.key[at - 1] * _ODD
+        key += self.tokens[at]
+        key += np.uint64(n)
+        key = mix(key)
         keys, own = ranked(key)
         place = np.full(len(self.tokens), -1, np.int32)
         place[at] = own
@@ -174,10 +181,9 @@ class Segment:
         """What the n-grams of n + 1 words that end there take of their contexts' probability."""
         longer = self.levels[n]
         pair = longer.known[at]
-        found = np.flatnonzero(pair >= 0)
-        out = np.zeros(len(at))
-        out[found] = (longer.count[pair[found]] - DISCOUNT) / self.levels[n - 1].count[context[found]]
-        return out
+        taken = np.append(np.maximum(longer.count - DISCOUNT, 0), 0.0)[pair]  # the last for n-grams that aren't listed
+        taken /= self.levels[n - 1].count[context]
+        return taken
 
     def probabilities(self, norm: float, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(n, positions, contexts, p) for contexts of n words; p is by position, of the token after all its suffixes so far."""
@@ -218,8 +224,9 @@ class Segment:
                 self.deepen()
             level = self.levels[n - 1]
             level.count = x.astype(np.int64)
-            frequent = np.append(level.count >= LEAST_COUNT, False)  # the last for places of -1
-            level.known = np.where(frequent[level.place], level.place, np.int32(-1))
+            frequent = level.count >= LEAST_COUNT
+            named = np.where(frequent, np.arange(len(frequent), dtype=np.int32), np.int32(-1))
+            level.known = np.append(named, np.int32(-1))[level.place]  # the last for places of -1
             level.often, level.numbers = np.flatnonzero(frequent), y
             return
         level = self.levels[n - 1]
@@ -431,12 +438,9 @@ def score(docs: DataFrame, learn: Column, depth: int = DEPTH, segment: int = SEG
         return told.repartition(max(1, n_segments // 2), "seg").sortWithinPartitions("seg", "kind", "n", "shard")
 
     norm, total, done = PSEUDO, 0, []
-    # what is asked needs the answers to what is asked before it; few things at once, for less disk
-    rounds = [[(COUNT, n)] for n in range(1, depth + 2)]
-    rounds += [[(LISTED, n) for n in range(1, depth + 1)], *([(GAIN, n)] for n in range(1, depth + 1))]
-    if depth > 2:  # contexts of one word go with longer n-grams
-        rounds[2].append(rounds[depth + 1].pop(0))
-        rounds[3] += rounds.pop(depth + 2)
+    # what is asked needs the answers to what is asked before it: counts of longer n-grams, what contexts list, their gains
+    last = {COUNT: depth + 1, LISTED: depth, GAIN: depth}
+    rounds = [[(kind, r - late) for kind, late in ((COUNT, 0), (LISTED, 2), (GAIN, 3)) if 1 <= r - late <= last[kind]] for r in range(1, depth + 4)]
     for r, asked in enumerate(rounds, 1):
         asks = (together() if done else own).mapInArrow(partial(_ask, asked, list(done), bits, norm), _ASKS)
         dealt = asks.repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("shard", "kind", "n", "seg")

@@ -135,3 +135,120 @@ def test_indexed_knn_join_over_all_cells_is_exact(catalog, data):
     d = np.sqrt(((x[:20, None] - x[None]) ** 2).sum(2))
     want = {(i, int(j)) for i in range(20) for j in np.argsort(d[i], kind="stable")[:3]}
     assert {(r.id, r.key) for r in got} == want
+
+
+def test_a_deleted_key_may_come_back(spark, catalog, data):
+    _, df = data
+    catalog.create("i", "t", df, "vec", "id")
+    catalog.delete("i", df.filter("id in (1, 2)").select("id"))
+    catalog.insert("i", df.filter("id = 1"))
+    assert catalog.contains("i", 1) and not catalog.contains("i", 2) and catalog.count("i") == 599
+    catalog.compact("i")
+    assert catalog.contains("i", 1) and not catalog.contains("i", 2) and catalog.count("i") == 599
+    catalog.delete("i", df.filter("id = 1").select("id"))
+    assert catalog.count("i") == 598 and catalog.isolate("i") == 1 and catalog.isolate("i") == 0 and catalog.count("i") == 598
+
+
+def test_a_change_that_broke_off_does_not_count(spark, catalog, data, monkeypatch):
+    _, df = data
+    catalog.create("i", "t", df.filter("id < 100"), "vec", "id")
+    with monkeypatch.context() as m:
+        m.setattr(catalog, "_save", lambda index: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            catalog.insert("i", df.filter("id >= 100"))
+    assert catalog.count("i") == 100 and sum(r.n for r in catalog._centroids(catalog.get("i"))) == 100
+    catalog.insert("i", df.filter("id between 100 and 102"))
+    assert catalog.count("i") == 103
+
+
+def test_neighbours_some_at_a_time(catalog, data):
+    x, df = data
+    catalog.create("i", "t", df, "vec", "id")
+    q = x[9] + 0.2
+    order = np.argsort(np.sqrt(((x - q) ** 2).sum(1)), kind="stable").tolist()
+    cursor, got = catalog.iterate("i", q), []
+    for n in (1, 7, 30, 600):
+        got += [k for k, _ in cursor.next(n)]
+    assert got == order and cursor.next(5) == []
+    cursor = catalog.iterate("i", q)
+    cursor.close()
+    assert cursor.next() == []
+
+
+def test_weighted_search_over_several_indexes(spark, catalog, data):
+    x, df = data
+    y = np.random.default_rng(4).normal(size=(600, 3))
+    catalog.create("a", "t", df, "vec", "id")
+    catalog.create("b", "t", spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "id long, w array<double>"), "w", "id")
+    p, q = x[4] + 0.1, y[8]
+    score = 0.3 * ((x - p) ** 2).sum(1) + 2.0 * ((y - q) ** 2).sum(1)
+    got = catalog.weighted([(0.3, "a", p.tolist()), (2.0, "b", q.tolist())], 5, wave=40)
+    assert [k for k, _ in got] == np.argsort(score, kind="stable")[:5].tolist()
+    assert len(catalog.weighted([(1.0, "a", p.tolist())], 3, wave=2, limit=2)) == 2
+    with pytest.raises(ValueError, match="weights"):
+        catalog.weighted([(-1.0, "a", p.tolist())], 3)
+
+
+def test_relaxed_reads_a_few_cells(catalog, data):
+    x, df = data
+    catalog.create("i", "t", df, "vec", "id", cells=20)
+    read = []
+    rows = catalog.rows
+    catalog.rows = lambda name, cells=None: (read.append(len(cells)), rows(name, cells))[1]
+    found = {r.key for r in catalog.relaxed("i", x[3], 0.5, patience=2).collect()}
+    assert found <= set(np.flatnonzero(np.sqrt(((x - x[3]) ** 2).sum(1)) < 0.5).tolist()) and 3 in found and max(read) < 20
+
+
+def test_clusters_forks_and_saved_indexes(spark, catalog, data, tmp_path):
+    x, df = data
+    catalog.create("i", "t", df, "vec", "id")
+    cells = catalog.clusters("i")
+    assert cells.count() == 600 and cells.select("cluster").distinct().count() <= catalog.get("i").cells
+    assert catalog.clusters("i", 3).select("cluster").distinct().count() == 3
+    cell = {r.key: r.cluster for r in cells.collect()}
+    assert catalog.nearest_cluster("i", x[5]) == cell[5]
+    catalog.fork("i", "f")
+    assert catalog.count("f") == 0 and catalog.get("f").cells == catalog.get("i").cells
+    catalog.insert("f", df.filter("id < 4"))
+    assert catalog.count("f") == 4
+    at = f"file://{tmp_path}/saved"
+    catalog.save("i", at)
+    assert catalog.peek(at)["dimensions"] == 8
+    catalog.view(at, "v")
+    catalog.load(at, "l")
+    q = (x[7] + 0.1).tolist()
+    want = [r.key for r in catalog.search("i", q, 5, exact=True).collect()]
+    catalog.drop("i")
+    for name in ("v", "l"):
+        assert [r.key for r in catalog.search(name, q, 5, exact=True).collect()] == want
+    catalog.drop("v")
+    assert catalog.peek(at)["dimensions"] == 8
+    with pytest.raises(StatementError, match="not found"):
+        catalog.peek(f"file://{tmp_path}/none")
+
+
+def test_estimates_without_reading_rows(spark, catalog, data):
+    _, df = data
+    catalog.create("i", "t", df, "vec", "id")
+    assert (catalog.estimate("i", 10), catalog.estimate("i", 10_000), catalog.estimate("i", ef=True)) == (10, 600, 64)
+
+
+def test_indexes_in_folders_can_be_forbidden(spark, catalog, data):
+    from vecsql.operators.index import PERSISTENCE
+
+    _, df = data
+    spark.conf.set(PERSISTENCE, "false")
+    try:
+        with pytest.raises(StatementError, match="in-memory databases"):
+            catalog.create("i", "t", df, "vec", "id")
+    finally:
+        spark.conf.unset(PERSISTENCE)
+
+
+def test_hints_name_the_index(catalog, data):
+    _, df = data
+    catalog.create("a", "t", df, "vec", "id")
+    catalog.create("b", "t", df, "vec", "id")
+    assert catalog.match("t", "vec", "<->", "b").name == "b"
+    with pytest.raises(StatementError, match="does not serve"):
+        catalog.match("t", "vec", "<=>", "b")

@@ -1,8 +1,12 @@
 """Approximate indexes as partitioned tables, and their catalog.
 
 An index is a folder: the vectors of its table, partitioned by the nearest of some centroids, the
-centroids with the radius of their cell, the keys that were deleted, and one small file that describes
-it. A search reads the cells nearest to the query. With ``exact=True`` a cell is read if the triangle
+centroids, rows and radius of each cell, the keys that were deleted, and one small file that describes
+it. Every change has a number and writes folders of that number; it counts once the description
+says so, which is one rename. A change that broke off is overwritten by the next one. A deleted key
+hides the rows of smaller numbers only, so a key may come back.
+
+A search reads the cells nearest to the query. With ``exact=True`` a cell is read if the triangle
 inequality does not rule it out, so nothing within the radius is lost; that holds for 'l2sq', for
 'cosine' on normalised vectors, and not for 'ip', whose searches then read every cell.
 """
@@ -28,7 +32,7 @@ _LEAST = {"ef_construction": 1, "ef_search": 1, "M": 2, "M0": 2}
 #: Rows that the centroids are fitted on, at most, and rounds of fitting.
 SAMPLE_ROWS = 20_000
 ROUNDS = 8
-#: Settings of a session, read at search time.
+#: Settings of a session: rows to look at, read at search time; whether indexes may be kept in folders, read when one is made.
 EF_SEARCH = "vecsql.ef_search"
 PERSISTENCE = "vecsql.enable_experimental_persistence"
 
@@ -100,7 +104,7 @@ class Files:
             stream.close()
 
     def write(self, path: str, text: str) -> None:
-        """Beside its place, then renamed onto it."""
+        """A new file: beside its place, then renamed onto it."""
         fs, p = self._at(path)
         other = self.jvm.org.apache.hadoop.fs.Path(f"{path}.new")
         out = fs.create(other, True)
@@ -108,10 +112,14 @@ class Files:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        fs.delete(p, False)
         if not fs.rename(other, p):
             raise OSError(f"can't rename {path}.new")
 
+    def copy(self, path: str, to: str) -> None:
+        (a, p), (b, q) = self._at(path), self._at(to)
+        if not self.jvm.org.apache.hadoop.fs.FileUtil.copy(a, p, b, q, False, self.spark._jsc.hadoopConfiguration()):
+            raise OSError(f"can't copy {path}")
+
     def names(self, path: str) -> list[str]:
         fs, p = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
@@ -150,6 +158,26 @@ def _nearest(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+class Cursor:
+    """Neighbours of a query in exact order, some at a time; between calls it holds the last one only."""
+
+    def __init__(self, catalog: Catalog, name: str, query: list[float]):
+        self.catalog, self.name, self.query, self.last, self.open = catalog, name, query, None, True
+
+    def next(self, n: int = 1) -> list[tuple]:
+        """The next (key, dist), n at most; none when all were given or after ``close``."""
+        if not self.open or n < 1:
+            return []
+        rows = [(r.key, r.dist) for r in self.catalog.search(self.name, self.query, n, exact=True, after=self.last).collect()]
+        if rows:
+            self.last = rows[-1][1], rows[-1][0]
+        self.open = len(rows) == n
+        return rows
+
+    def close(self) -> None:
+        self.open = False
+
+
 class Catalog:
     """Indexes below one folder. ``tables`` are named by the caller; an index keeps a copy of the vectors it was made from."""
 
@@ -158,17 +186,36 @@ class Catalog:
 
     # definitions
 
+    def _described(self, folder: str) -> list[str]:
+        return [n for n in self.files.names(folder) if n.startswith("index-") and n.endswith(".json")]
+
     def _save(self, index: Index) -> None:
-        self.files.write(f"{self.root}/{index.name}/index.json", json.dumps(asdict(index)))
+        """A next description; the one before stays for readers that have just looked for it."""
+        folder = f"{self.root}/{index.name}"
+        old = self._described(folder)
+        self.files.write(f"{folder}/index-{int(old[-1][6:-5]) + 1 if old else 0:010d}.json", json.dumps(asdict(index)))
+        for name in old[:-1]:
+            self.files.delete(f"{folder}/{name}")
+
+    def _load(self, folder: str) -> Index | None:
+        for _ in range(5):
+            names = self._described(folder)
+            if not names:
+                return None
+            text = self.files.read(f"{folder}/{names[-1]}")
+            if text is not None:
+                return Index(**json.loads(text))
+        raise OSError(f"the description of {folder} keeps changing")
 
     def get(self, name: str) -> Index:
-        text = self.files.read(f"{self.root}/{name}/index.json")
-        if text is None:
+        index = self._load(f"{self.root}/{name}")
+        if index is None:
             raise StatementError(f"Index {name} not found")
-        return Index(**json.loads(text))
+        return index
 
     def all(self) -> list[Index]:
-        return [self.get(n) for n in self.files.names(self.root) if self.files.read(f"{self.root}/{n}/index.json") is not None]
+        found = (self._load(f"{self.root}/{n}") for n in self.files.names(self.root))
+        return [i for i in found if i is not None]
 
     def note(self, name: str, **extra) -> None:
         """Facts to keep with an index."""
@@ -176,9 +223,14 @@ class Catalog:
         index.extra |= extra
         self._save(index)
 
-    def match(self, table: str, column: str, function: str) -> Index | None:
-        """An index of the column whose metric serves the function's order."""
+    def match(self, table: str, column: str, function: str, hint: str | None = None) -> Index | None:
+        """An index of the column whose metric serves the function's order; ``hint`` names the one to take."""
         metric = metric_of(function)
+        if hint is not None:
+            index = self.get(hint)
+            if (index.table, index.column, index.metric) != (table, column, metric):
+                raise StatementError(f"Index {hint} does not serve {function} on {table}.{column}")
+            return index
         return next((i for i in self.all() if (i.table, i.column, i.metric) == (table, column, metric)), None)
 
     # statements
@@ -187,11 +239,14 @@ class Catalog:
         """Rows with a NULL vector are left out; the centroids are fitted on a sample, all rows are assigned."""
         if unique:
             raise NotImplementedError("HNSW indexes do not support unique or primary key constraints")
+        if self.spark.conf.get(PERSISTENCE, "true").lower() not in ("true", "on", "1"):
+            # fixed text, but for the name of the setting
+            raise StatementError(f"HNSW indexes can only be created in in-memory databases, or when the configuration option '{PERSISTENCE}' is set to true.")
         kind = df.schema[column].dataType
         if not isinstance(kind, T.ArrayType) or not isinstance(kind.elementType, T.FloatType | T.DoubleType):
             raise StatementError("HNSW index can only be created over FLOAT[N] keys.")
         chosen = check_options(options)
-        if self.files.read(f"{self.root}/{name}/index.json") is not None:
+        if self._load(f"{self.root}/{name}") is not None:
             raise StatementError(f'Index with name "{name}" already exists')
         rows = df.select(F.col(key).alias("key"), F.col(column).cast("array<double>").alias("vector")).filter("vector is not null")
         n = rows.count()
@@ -205,10 +260,20 @@ class Catalog:
         dimensions = dimensions or first.lo or 0
         centroids = _fit(_prepared(chosen["metric"], np.stack([np.asarray(v, float) for v in sample])), cells) if len(sample) else np.zeros((1, dimensions))
         index = Index(name, table, column, key, dimensions, chosen, f"{self.root}/{name}", len(centroids), extra={"key_type": df.schema[key].dataType.simpleString()})
-        self._write(index, rows, centroids, "overwrite")
+        self._begin(index, centroids)
+        self._write(index, rows, centroids)
         self._save(index)
         return index
 
+    def _begin(self, index: Index, centroids: np.ndarray) -> None:
+        """A version's centroids, and its first change to come."""
+        index.extra |= {"change": -1, "deletes": False}
+        rows = [(c, [float(x) for x in v]) for c, v in enumerate(centroids)]
+        self.spark.createDataFrame(rows, "cell int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{self._folder(index)}/centroids")
+
+    def _folder(self, index: Index) -> str:
+        return f"{index.path}/v{index.version}"
+
     def _assigned(self, index: Index, rows: DataFrame, centroids: np.ndarray) -> DataFrame:
         shared, metric = self.spark.sparkContext.broadcast(centroids), index.metric
 
@@ -225,62 +290,64 @@ class Catalog:
 
         return rows.mapInArrow(run, f"key {index.extra['key_type']}, vector array<double>, away double, cell int")
 
-    def _write(self, index: Index, rows: DataFrame, centroids: np.ndarray, mode: str) -> None:
-        at = f"{index.path}/v{index.version}"
-        self._assigned(index, rows, centroids).repartition("cell").write.mode(mode).partitionBy("cell").parquet(f"{at}/cells")
-        self._measure(index, centroids)
-
-    def _measure(self, index: Index, centroids: np.ndarray) -> None:
-        """Rows and radius of each cell, beside its centroid: one row a cell."""
-        at = f"{index.path}/v{index.version}"
-        radii = {r.cell: (r.n, r.radius) for r in self.spark.read.schema(self._schema(index)).parquet(f"{at}/cells").groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}
-        rows = [(c, [float(x) for x in v], *radii.get(c, (0, 0.0))) for c, v in enumerate(centroids)]
-        made = index.extra.get("made", 0) + 1
-        self.spark.createDataFrame(rows, "cell int, centroid array<double>, n long, radius double").coalesce(1).write.mode("overwrite").parquet(f"{at}/centroids-{made}")
-        index.extra["made"] = made
+    def _write(self, index: Index, rows: DataFrame, centroids: np.ndarray) -> None:
+        """Rows as the index's next change: written by cells, large ones by several tasks, and counted by cells."""
+        index.extra["change"] += 1
+        at, change = self._folder(index), f"change={index.extra['change']}"
+        assigned = self._assigned(index, rows, centroids).hint("rebalance", "cell")
+        assigned.write.mode("overwrite").partitionBy("cell").parquet(f"{at}/cells/{change}")
+        written = self.spark.read.schema(f"{self._schema(index)}, cell int").parquet(f"{at}/cells/{change}")
+        written.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).coalesce(1).write.mode("overwrite").parquet(f"{at}/stats/{change}")
 
     def _schema(self, index: Index) -> str:
-        return f"key {index.extra['key_type']}, vector array<double>, away double, cell int"
+        return f"key {index.extra['key_type']}, vector array<double>, away double"
 
     def _centroids(self, index: Index) -> list:
-        at = f"{index.path}/v{index.version}/centroids-{index.extra['made']}"
-        return sorted(self.spark.read.parquet(at).collect(), key=lambda r: r.cell)
-
-    def insert(self, name: str, df: DataFrame) -> None:
-        """Rows that the table got since; they are assigned to the cells there are."""
+        """(cell, centroid, n, radius): as many as cells, 4,096 at most."""
+        at = self._folder(index)
+        stats = self.spark.read.schema("cell int, n long, radius double, change long").parquet(f"{at}/stats").filter(F.col("change") <= index.extra["change"])
+        stats = stats.groupBy("cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"))
+        found = self.spark.read.schema("cell int, centroid array<double>").parquet(f"{at}/centroids").join(stats, "cell", "left").fillna(0, ["n", "radius"])
+        return sorted(found.collect(), key=lambda r: r.cell)
+
+    def insert(self, name: str, df: DataFrame, **facts) -> None:
+        """Rows that the table got since; they are assigned to the cells there are. ``facts`` are noted together with them."""
         index = self.get(name)
         rows = df.select(F.col(index.key).alias("key"), F.col(index.column).cast("array<double>").alias("vector")).filter("vector is not null")
         if not index.dimensions:  # made over an empty table: fitted with the first rows
+            kept = {k: v for k, v in index.extra.items() if k not in ("change", "deletes", "key_type")}
             self.drop(name)
             self.create(name, index.table, df, index.column, index.key, **index.options)
-            self.note(name, **{k: v for k, v in index.extra.items() if k not in ("made", "deletes", "key_type")})
+            self.note(name, **kept, **facts)
             return
         rows = rows.withColumn("vector", F.when(F.size("vector") == index.dimensions, F.col("vector")).otherwise(F.raise_error(F.lit(f"vectors must have {index.dimensions} dimensions")).cast("array<double>")))
-        centroids = np.array([r.centroid for r in self._centroids(index)])
-        self._write(index, rows, centroids, "append")
+        self._write(index, rows, np.array([r.centroid for r in self._centroids(index)]))
+        index.extra |= facts
         self._save(index)
 
-    def delete(self, name: str, keys: DataFrame) -> None:
-        """Keys to leave out from now on; their rows go when the index is compacted."""
+    def delete(self, name: str, keys: DataFrame, **facts) -> None:
+        """Keys whose rows are left out from now on; the rows go when the index is compacted. Later rows of a key are seen again."""
         index = self.get(name)
-        keys.select(F.col(keys.columns[0]).cast(index.extra["key_type"]).alias("key")).distinct().write.mode("append").parquet(f"{index.path}/v{index.version}/deleted")
-        index.extra["deletes"] = True
+        index.extra["change"] += 1
+        gone = keys.select(F.col(keys.columns[0]).cast(index.extra["key_type"]).alias("key")).distinct()
+        gone.write.mode("overwrite").parquet(f"{self._folder(index)}/deleted/change={index.extra['change']}")
+        index.extra |= {"deletes": True} | facts
         self._save(index)
 
     def compact(self, name: str) -> None:
         """The cells written anew without deleted rows, as a next version; readers of the old one are not disturbed until it goes."""
         index = self.get(name)
         live, centroids = self.rows(name), np.array([r.centroid for r in self._centroids(index)])
-        old = index.version
+        old = self._folder(index)
         index.version += 1
-        index.extra |= {"deletes": False, "made": 0}
-        if len(centroids):
-            self._write(index, live.select("key", "vector"), centroids, "overwrite")
+        self._begin(index, centroids)
+        self._write(index, live.select("key", "vector"), centroids)
         self._save(index)
-        self.files.delete(f"{index.path}/v{old}")
+        self.files.delete(old)
 
     def drop(self, name: str) -> None:
-        self.files.delete(self.get(name).path)
+        self.get(name)
+        self.files.delete(f"{self.root}/{name}")
 
     def rename_key(self, name: str, old, new) -> None:
         """One key for another, as a delete and an insert."""
@@ -295,6 +362,56 @@ class Catalog:
         rows = self.rows(name).select(F.col("key").alias(index.key), F.col("vector").alias(index.column))
         return self.create(new, index.table, rows, index.column, index.key, **index.options)
 
+    def fork(self, name: str, new: str) -> Index:
+        """An index of the same options and cells without rows."""
+        index = self.get(name)
+        if self._load(f"{self.root}/{new}") is not None:
+            raise StatementError(f'Index with name "{new}" already exists')
+        centroids = np.array([r.centroid for r in self._centroids(index)])
+        other = Index(new, index.table, index.column, index.key, index.dimensions, dict(index.options), f"{self.root}/{new}", index.cells, extra={"key_type": index.extra["key_type"]})
+        self._begin(other, centroids)
+        self._write(other, self.spark.createDataFrame([], f"key {index.extra['key_type']}, vector array<double>"), centroids)
+        self._save(other)
+        return other
+
+    def isolate(self, name: str) -> int:
+        """How many rows of deleted keys still stand in cells; they go, so that nothing leads to them."""
+        index = self.get(name)
+        hidden = sum(r.n for r in self._centroids(index)) - self.count(name) if index.extra.get("deletes") else 0
+        if hidden:
+            self.compact(name)
+        return hidden
+
+    def save(self, name: str, path: str) -> None:
+        """The index as one folder elsewhere."""
+        index = self.get(name)
+        self.files.delete(path)
+        self.files.copy(self._folder(index), f"{path}/v{index.version}")
+        self.files.write(f"{path}/index-0000000000.json", json.dumps(asdict(index) | {"path": path}))
+
+    def peek(self, path: str) -> dict:
+        """What a saved index is, without its rows."""
+        index = self._load(path.rstrip("/"))
+        if index is None:
+            raise StatementError(f"Index {path} not found")
+        return asdict(index)
+
+    def load(self, path: str, name: str) -> Index:
+        """A saved index under a name, copied."""
+        index = self.view(path, name)
+        self.files.copy(f"{index.path}/v{index.version}", f"{self.root}/{name}/v{index.version}")
+        index.path = f"{self.root}/{name}"
+        self._save(index)
+        return index
+
+    def view(self, path: str, name: str) -> Index:
+        """A saved index under a name, read where it is."""
+        if self._load(f"{self.root}/{name}") is not None:
+            raise StatementError(f'Index with name "{name}" already exists')
+        index = Index(**self.peek(path) | {"name": name, "path": path.rstrip("/")})
+        self._save(index)
+        return index
+
     def merge(self, *_):
         raise NotImplementedError("HNSWIndex::MergeIndexes() not implemented")
 
@@ -306,10 +423,14 @@ class Catalog:
     def rows(self, name: str, cells: Sequence[int] | None = None) -> DataFrame:
         """(key, vector, away, cell) of the live rows; only the folders of the given cells are read."""
         index = self.get(name)
-        at = f"{index.path}/v{index.version}"
-        df = self.spark.read.schema(self._schema(index)).parquet(f"{at}/cells")
+        at = self._folder(index)
+        df = self.spark.read.schema(f"{self._schema(index)}, change long, cell int").parquet(f"{at}/cells").filter(F.col("change") <= index.extra["change"])
         df = df if cells is None else df.filter(F.col("cell").isin([int(c) for c in cells]))
-        return df.join(self.spark.read.parquet(f"{at}/deleted"), "key", "left_anti") if index.extra.get("deletes") else df
+        if index.extra.get("deletes"):
+            gone = self.spark.read.schema(f"key {index.extra['key_type']}, change long").parquet(f"{at}/deleted").filter(F.col("change") <= index.extra["change"])
+            gone = gone.groupBy(F.col("key").alias("gone")).agg(F.max("change").alias("last"))
+            df = df.join(gone, (F.col("key") == F.col("gone")) & (F.col("change") < F.col("last")), "left_anti")
+        return df.select("key", "vector", "away", "cell")
 
     def contains(self, name: str, key) -> bool:
         return bool(self.rows(name).filter(F.col("key") == F.lit(key)).take(1))
@@ -341,11 +462,20 @@ class Catalog:
 
     def probes(self, index: Index) -> int:
         """Cells that a search reads: those that hold ``ef_search`` rows many times over, at least an eighth."""
-        ef = int(self.spark.conf.get(EF_SEARCH, str(index.options["ef_search"])))
-        return max(1, min(index.cells, max(index.cells // 8, -(-ef // 16))))
+        return max(1, min(index.cells, max(index.cells // 8, -(-self.ef(index) // 16))))
 
-    def search(self, name: str, query: Sequence[float], k: int, where: Column | None = None, cells: int | None = None, exact: bool = False) -> DataFrame:
-        """(key, dist) of the k nearest; ``where`` is on key and applies before."""
+    def estimate(self, name: str, k: int | None = None, ef: bool = False) -> int:
+        """Rows that a search gives: k or, without a limit, as many as ``ef_search``, of those there are. Nothing is read but counts."""
+        index = self.get(name)
+        rows = sum(r.n for r in self._centroids(index)) if not index.extra.get("deletes") else self.count(name)
+        most = [rows] + ([] if k is None else [k]) + ([self.ef(index)] if ef else [])
+        return min(most)
+
+    def ef(self, index: Index) -> int:
+        return int(self.spark.conf.get(EF_SEARCH, str(index.options["ef_search"])))
+
+    def search(self, name: str, query: Sequence[float], k: int, where: Column | None = None, cells: int | None = None, exact: bool = False, after: tuple | None = None) -> DataFrame:
+        """(key, dist) of the k nearest; ``where`` is on key and applies before. ``after``: only what follows this (dist, key)."""
         index = self.get(name)
         query = np.asarray(query, float)
         if index.dimensions and len(query) != index.dimensions:
@@ -355,7 +485,10 @@ class Catalog:
         def ranked(probed: Sequence[int] | None) -> DataFrame:
             rows = self.rows(name, probed)
             rows = rows if where is None else rows.filter(where)
-            return rows.select("key", distance(function, "vector", query.tolist()).alias("dist")).orderBy("dist", "key").limit(k)
+            scored = rows.select("key", distance(function, "vector", query.tolist()).alias("dist"))
+            if after is not None:
+                scored = scored.filter((F.col("dist") > after[0]) | (F.col("dist") == after[0]) & (F.col("key") > F.lit(after[1])))
+            return scored.orderBy("dist", "key").limit(k)
 
         if not exact:
             return ranked(self._probed(index, query, cells or self.probes(index), None))
@@ -371,19 +504,78 @@ class Catalog:
         return found.filter(F.col("dist") <= radius if inclusive else F.col("dist") < radius)
 
     def relaxed(self, name: str, query: Sequence[float], radius: float, patience: int = 4) -> DataFrame:
-        """Cells are read in the order of their centroids until ``patience`` of them in a row, after one that held a match, held none."""
+        """Cells are read in the order of their centroids until ``patience`` of them in a row, after one that held a match, held none.
+
+        They are looked at in waves, each twice as wide as the one before, so no more than about twice
+        the cells that the rule takes are read.
+        """
         index = self.get(name)
         order = self._probed(index, np.asarray(query, float), index.cells, None)
-        counted = self.rows(name).select("cell", distance(METRICS[index.metric], "vector", list(query)).alias("dist")).filter(F.col("dist") < radius).groupBy("cell").count()
-        hits = {r.cell: r["count"] for r in counted.collect()}
-        taken, dry = [], 0
-        for cell in order:
-            taken.append(cell)
-            dry = 0 if hits.get(cell) else dry + 1
-            if dry >= patience and any(hits.get(c) for c in taken):
+
+        def matching(cells: Sequence[int]) -> DataFrame:
+            rows = self.rows(name, cells).select("key", "cell", distance(METRICS[index.metric], "vector", list(query)).alias("dist"))
+            return rows.filter(F.col("dist") < radius)
+
+        taken, dry, met, at, wide = [], 0, False, 0, max(1, patience)
+        while at < len(order):
+            hits = {r.cell for r in matching(order[at : at + wide]).select("cell").distinct().collect()}
+            for cell in order[at : at + wide]:
+                taken.append(cell)
+                met |= cell in hits
+                dry = 0 if cell in hits else dry + 1
+                if met and dry >= patience:
+                    return matching(taken).select("key", "dist")
+            at, wide = at + wide, 2 * wide
+        return matching(taken).select("key", "dist")
+
+    def iterate(self, name: str, query: Sequence[float]) -> Cursor:
+        """Neighbours in order, some at a time."""
+        return Cursor(self, name, [float(x) for x in query])
+
+    def weighted(self, terms: Sequence[tuple[float, str, Sequence[float]]], k: int, wave: int = 50, limit: int | None = None) -> list[tuple]:
+        """(key, score) of the k smallest weighted sums of squared distances over several 'l2sq' indexes of the same keys.
+
+        terms: weight (0 or more), index, query. In turn, each index gives its next ``wave`` neighbours; their
+        distances in the other indexes are looked up. It stops when no key not yet seen can be better than the k-th, as the sum at
+        the indexes' last distances bounds it from below, or after ``limit`` keys. A key that an index lacks is left out.
+        """
+        if any(w < 0 or self.get(n).metric != "l2sq" for w, n, _ in terms):
+            raise ValueError("weighted searches need weights of 0 or more and 'l2sq' indexes")
+        cursors, seen, reach, best = [self.iterate(n, q) for _, n, q in terms], set(), [0.0] * len(terms), []
+        while k:
+            fresh, ended = set(), False
+            for i, cursor in enumerate(cursors):
+                rows = cursor.next(wave)
+                ended |= len(rows) < wave
+                reach[i] = rows[-1][1] if rows else reach[i]
+                fresh |= {key for key, _ in rows} - seen
+            if fresh:
+                seen |= fresh
+                wanted = self.spark.createDataFrame([(x,) for x in fresh], f"key {self.get(terms[0][1]).extra['key_type']}")
+                score, joined = F.lit(0.0), wanted
+                for i, (weight, name, query) in enumerate(terms):
+                    part = self.rows(name).join(F.broadcast(wanted), "key", "left_semi").select("key", distance("l2sq", "vector", list(query)).alias(f"d{i}"))
+                    joined, score = joined.join(part, "key"), score + F.lit(float(weight)) * F.col(f"d{i}")
+                best = sorted([*best, *((r.key, r.score) for r in joined.select("key", score.alias("score")).orderBy("score", "key").limit(k).collect())], key=lambda r: (r[1], r[0]))[:k]
+            bound = sum(w * d * d for (w, _, _), d in zip(terms, reach, strict=True))
+            if ended or (limit is not None and len(seen) >= limit) or (len(best) == k and best[-1][1] < bound):
                 break
-        rows = self.rows(name, taken)
-        return rows.select("key", distance(METRICS[index.metric], "vector", list(query)).alias("dist")).filter(F.col("dist") < radius)
+        return best
+
+    def clusters(self, name: str, n: int | None = None) -> DataFrame:
+        """(key, cluster) of all live rows: their cells or, with n, groups of cells by Lloyd's method over the centroids."""
+        index = self.get(name)
+        info = self._centroids(index)
+        if n is None or n >= len(info):
+            return self.rows(name).select("key", F.col("cell").alias("cluster"))
+        centroids = _prepared(index.metric, np.array([r.centroid for r in info]))
+        group = _nearest(centroids, _fit(centroids.copy(), n))
+        return self.rows(name).select("key", F.element_at(F.array(*[F.lit(int(g)) for g in group]), F.col("cell") + 1).alias("cluster"))
+
+    def nearest_cluster(self, name: str, query: Sequence[float]) -> int | None:
+        """The non-empty cell whose centroid is nearest."""
+        found = self._probed(self.get(name), np.asarray(query, float), 1, None)
+        return found[0] if found else None
 
     def recall(self, name: str, queries: Sequence[Sequence[float]], k: int, cells: int | None = None) -> float:
         """Share of the exact k nearest that the pruned search finds, over the queries."""

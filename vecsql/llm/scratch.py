@@ -16,6 +16,8 @@ from vecsql.storage import shared_dir
 
 #: Rows and bytes of an Arrow batch, at most, where rows hold texts or pictures.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: Whether shuffle files go when their query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -47,7 +49,13 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}", compression=compression)
+        """The frame as a table; Spark deletes the shuffle files behind it as soon as it is written."""
+        conf, before = self.spark.conf, self.spark.conf.get(CLEANUP)
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(f"{self.root}/{name}", compression=compression)
+        finally:
+            conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:

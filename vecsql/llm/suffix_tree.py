@@ -14,7 +14,7 @@ A context is a state if over its training occurrences the mean of log p(t | c) /
 
 How it stays distributed. Texts are cut into tokens once and written as *segments* of about
 ``SEGMENT`` tokens. Whatever concerns a context or n-gram of the whole corpus is a sum over its
-occurrences: its count; how many n-grams a context lists (an occurrence adds 1 / N) and how often;
+occurrences: its count; how many n-grams a context lists (an occurrence adds 1 / N) and how often others follow;
 the logarithms of the divergence test. So the work is a few rounds of one exchange: each segment
 adds up its own part for each different key, sends sorted keys and sums to the shards that own
 these ranges of keys, and gets the sums of all segments back in the order of its keys. A key, however
@@ -206,10 +206,9 @@ class Segment:
         level = self.levels[n - 1]
         if kind == LISTED:
             at, context = self.contexts(n)
-            pair = self.levels[n].known[at]
-            found = np.flatnonzero((pair >= 0) & self.learn[at])
-            context, pair = context[found], pair[found]
-            sums = np.bincount(context, 1 / self.levels[n].count[pair], len(level.keys)), np.bincount(context, minlength=len(level.keys))
+            pair, learn = self.levels[n].known[at], self.learn[at]
+            found, other = np.flatnonzero((pair >= 0) & learn), context[(pair < 0) & learn]
+            sums = np.bincount(context[found], 1 / self.levels[n].count[pair[found]], len(level.keys)), np.bincount(other, minlength=len(level.keys))
         else:
             *_, (_, _, _, above), (_, at, context, p) = self.probabilities(norm, n)
             own = self.learn[at]
@@ -232,7 +231,7 @@ class Segment:
         level = self.levels[n - 1]
         if kind == LISTED:
             level.left = np.ones(len(level.keys))
-            level.left[level.often] = 1 - (y - DISCOUNT * x) / level.count[level.often]
+            level.left[level.often] = (y + DISCOUNT * x) / level.count[level.often]  # occurrences that aren't listed, and what listed n-grams give up
         else:
             level.state = np.zeros(len(level.keys), bool)
             level.state[level.often] = x > 0
@@ -340,11 +339,11 @@ def _ask(asked: list[tuple[int, int]], done: list[tuple[int, int]], bits: int, n
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *same, *(pa.array(p, pa.binary()) for p in (sent, *parts))], names)
 
 
-def _add(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _add(bits: int, longest: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each ask the sums of all segments in the order of what it asks for; for the counts of words a row of no segment with how many there are, too.
 
     Counts come with the numbers of the frequent n-grams: dense and ascending within a shard, and all
-    that later rounds need to send.
+    that later rounds need to send. The longest n-grams are no contexts and need none.
     """
     names = ["seg", "kind", "n", "shard", "x", "y"]
     now, held = None, []
@@ -367,9 +366,9 @@ def _add(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for at in range(0, len(held), 64):
             some = range(at, min(at + 64, len(held)))
             parts = [[_pack(s[place[own[i]]]) for i in some] for s in sums]
-            if kind == COUNT:
+            if kind == COUNT and n < longest:
                 parts.append([_pack(_gaps(numbers[p[frequent[p]]])) for p in (place[own[i]] for i in some)])
-            elif kind == GAIN:
+            elif kind != LISTED:
                 parts.append([_pack(np.zeros(0, np.uint8))] * len(some))
             same = [pa.array([v] * len(some), pa.int32()) for v in (kind, n, shard)]
             yield pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in some], pa.int64()), *same, *(pa.array(p, pa.binary()) for p in parts)], names)
@@ -400,17 +399,6 @@ def _score(done: list[tuple[int, int]], norm: float, total: int, depth: int, bat
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def _save(scratch: Scratch, df: DataFrame, name: str) -> DataFrame:
-    """scratch.save, compressed well; Spark deletes the shuffle files of the written table at once, for less disk."""
-    key, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", scratch.spark.conf
-    before = conf.get(key)
-    conf.set(key, "true")
-    try:
-        return scratch.save(df, name, compression="zstd")
-    finally:
-        conf.set(key, before)
-
-
 def score(docs: DataFrame, learn: Column, depth: int = DEPTH, segment: int = SEGMENT, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """doc_id and the scores of ``docs(doc_id, text)`` by a model of those of them for which ``learn`` is true.
 
@@ -422,7 +410,7 @@ def score(docs: DataFrame, learn: Column, depth: int = DEPTH, segment: int = SEG
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "suffix-tree")
-    save = partial(_save, scratch)
+    save = partial(scratch.save, compression="zstd")
     kind = docs.schema["doc_id"].dataType.simpleString()
     blobs = "learn binary, sizes binary, vocabulary binary, codes binary"
     cut = docs.select("doc_id", "text", learn.alias("learn")).mapInArrow(partial(_segments, segment), f"size long, ids array<{kind}>, {blobs}")
@@ -444,7 +432,7 @@ def score(docs: DataFrame, learn: Column, depth: int = DEPTH, segment: int = SEG
     for r, asked in enumerate(rounds, 1):
         asks = (together() if done else own).mapInArrow(partial(_ask, asked, list(done), bits, norm), _ASKS)
         dealt = asks.repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("shard", "kind", "n", "seg")
-        sums = save(dealt.mapInArrow(partial(_add, bits), _SUMS), f"sums-{r}")
+        sums = save(dealt.mapInArrow(partial(_add, bits, depth + 1), _SUMS), f"sums-{r}")
         if r == 1:
             whole = [F.coalesce(F.sum(F.col(c).cast("string").cast("long")), F.lit(0)) for c in ("x", "y")]
             total, distinct = sums.filter("seg < 0").agg(*whole).first()

@@ -4,7 +4,8 @@ Members that share a bucket may be alike. Each member is compared with its bucke
 member whose buckets are the largest, which in a group of edited copies is the text closest to all
 the others. The links found make components. Members that are then in another component than
 their bucket's hub - few, as a rule - are compared with every member of the bucket that belongs to
-another component, so no pair of a bucket between two components stays untested.
+another component, so no pair of a bucket between two components stays untested; or, where that is
+not asked for, one member of each such component with one of each other.
 """
 
 from __future__ import annotations
@@ -64,8 +65,8 @@ def linked_groups(
     """Links (a, b) and components (node, root) of ``members(node, bucket)``; node is a long.
 
     verify: of pairs (a, b), those that are links; told whether they met the condition of alike. alike: gives two sides of rows (node, bucket,
-    root) what it needs and the condition, on ``x`` and ``y``, that a pair must meet to be verified. Without it a member is compared with
-    one member, the one of most reach, of every other component in its bucket.
+    root) what it needs and the condition, on ``x`` and ``y``, that a pair must meet to be verified. Without it the components of a bucket
+    that its hub does not belong to are compared by their members of most reach; each of their members has met the hub before.
     """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     shared = scratch.save(members.join(sizes, "bucket"), "shared")
@@ -84,16 +85,16 @@ def linked_groups(
     rooted = scratch.save(rooted, "rooted")
     # a bucket whose other members are all alone has been tested in full only if it has two members
     apart = rooted.filter("root <> hub_root").select("node", "bucket", "hub", "root")
-    open_ = apart.groupBy("bucket").agg(F.count("*").alias("apart"))
-    every = rooted.join(open_, "bucket")
     if alike is None:
-        condition = F.lit(True)
-        x, y = apart, every.groupBy("bucket", "root").agg(F.max_by("node", F.struct("reach", -F.col("node"))).alias("node"))
+        x = rooted.filter("root <> hub_root").groupBy("bucket", "root").agg(F.max_by("node", F.struct("reach", -F.col("node"))).alias("node"))
+        x, y = x.alias("x"), x.alias("y")
+        fresh = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root"))
     else:
-        x, y, condition = alike(apart, every.select("node", "bucket", "root"))
-    x, y = x.alias("x"), y.alias("y")
-    fresh = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & (F.col("y.node") != F.col("x.hub"))
-    late = x.join(y, fresh & condition).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        open_ = apart.groupBy("bucket").agg(F.count("*").alias("apart"))
+        x, y, condition = alike(apart, rooted.join(open_, "bucket").select("node", "bucket", "root"))
+        x, y = x.alias("x"), y.alias("y")
+        fresh = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & (F.col("y.node") != F.col("x.hub")) & condition
+    late = x.join(y, fresh).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     more = scratch.save(verify(late, True), "more")
     scratch.drop("rooted", "placed")
     links = links.union(more)

@@ -150,3 +150,11 @@ def test_range_computes_the_distance_once(grid):
 def test_tags(spark):
     df = spark.createDataFrame([(1, [1, 2]), (2, [2, 3]), (3, None)], "id int, tags array<int>")
     assert [r.id for r in search.with_tags(df, "tags", [2], [3, 4]).collect()] == [2]
+
+
+def test_half_precision(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=300), rng.normal(size=100) * 1e-6, 2.0 ** np.arange(-26, 17), -(2.0 ** np.arange(-26, 17)) * 1.0005, [0.0, -0.0, 65504, 65519.9, 65520, 1e9, -1e9, 2049, 2051, np.inf, -np.inf]])
+    got = np.array(spark.createDataFrame([(x.tolist(),)], "v array<double>").select(D.to_f16("v")).first()[0])
+    with np.errstate(over="ignore"):
+        assert (got == x.astype(np.float16).astype(float)).all()

@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecsql.plans import estimate, planner, sqlfront, tpch
+from vecsql.operators.index import Catalog, StatementError
+from vecsql.plans import estimate, planner, sqlfront, tpcds, tpch
 from vecsql.plans.estimate import State, States, q_error
-from vecsql.schema import needed, vector_field, with_clause
+from vecsql.schema import derived, needed, query_vector, vector_field, views, with_clause
 from vecsql.sources import loaders
 
 SF = "/root/testdata/sf0.001"
@@ -133,9 +134,98 @@ def test_feedback(spark, suite):
     assert states.states[("ps", "ps_embedding")].recent_qerrors == [2]
 
 
+def test_an_index_is_counted_and_read(spark, tmp_path):
+    catalog = Catalog(spark, f"file://{tmp_path}/indexes")
+    catalog.create("it", "item", derived(spark, SF, "item"), "i_embedding", "i_item_sk")
+    scanned = tpcds.planned(spark, SF, "q98")
+    for mode in ("probe", "sample", "off"):
+        found = tpcds.planned(spark, SF, "q98", mode=mode, catalog=catalog)
+        assert found.index == "it" and (mode == "off" or "vector side, index it" in found.explain())
+        assert sorted(map(str, found.frame.select("i.i_item_id", "d.d_date").collect())) == sorted(map(str, scanned.frame.select("i.i_item_id", "d.d_date").collect()))
+    assert found.vector_rows is None and scanned.index is None and scanned.vector_rows == tpcds.planned(spark, SF, "q98", catalog=catalog).vector_rows
+    query = tpcds.describe(spark, SF, "q98")
+    with pytest.raises(StatementError, match="not found"):
+        planner.plan(query, catalog=catalog, index="other")
+
+
+def test_rows_of_a_limit(spark):
+    a = spark.createDataFrame([(i, i % 5, [float(i)]) for i in range(50)], "id int, k int, v array<double>")
+    b = spark.createDataFrame([(i, i) for i in range(5)], "b int, c int")
+    c = spark.createDataFrame([(i,) for i in range(5)], "d int")
+    joins = [planner.Join("a", "b", (("k", "b"),)), planner.Join("b", "c", (("c", "d"),))]
+    query = planner.VectorQuery({"a": a, "b": b, "c": c}, joins, planner.VectorPredicate("a", "v", (0.0,), None, key="id", k=7))
+    for mode in ("probe", "sample"):
+        found = planner.plan(query, mode)
+        assert found.vector_rows == 7 and sorted(r.id for r in found.frame.collect()) == list(range(7))
+
+
+def test_estimates_are_learned_from(spark, suite):
+    states = States()
+    found = planner.plan(tpcds.describe(spark, SF, "q42"), "sample", states)
+    found.collect()
+    state = states.states[("i", "i_embedding")]
+    true = planner.plan(tpcds.describe(spark, SF, "q42")).vector_rows
+    assert state.recent_qerrors == [q_error(found.vector_rows, true)]
+    probed = planner.plan(tpcds.describe(spark, SF, "q42"))
+    assert probed.learn() is None
+    probed.release()
+    assert not probed.kept.is_cached
+
+
+def test_descriptions_as_sql():
+    text = tpcds.duckdb_sql("q72")
+    assert "LEFT JOIN catalog_returns back ON sale.cs_item_sk = back.cr_item_sk AND sale.cs_order_number = back.cr_order_number" in text
+    assert "shipped.d_date > sold.d_date" in text
+
+
 # SQL front end
 
 
+@pytest.fixture
+def star(spark):
+    views(spark, SF, "item", "date_dim", "catalog_sales", "promotion", "catalog_returns")
+    return str(query_vector(spark, SF))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT i_item_id, d.d_year FROM catalog_sales cs, item i, date_dim AS d WHERE cs_item_sk = i_item_sk AND cs.cs_sold_date_sk = d.d_date_sk AND i_embedding <-> {q} < 1.25 AND d_year BETWEEN 1995 AND 1996",
+        "select d.d_year as y, count(*) as n, min(i.i_embedding <-> {q}) as least from catalog_sales cs join item i on cs_item_sk = i.i_item_sk join date_dim d on cs_sold_date_sk = d_date_sk "
+        "where i.i_embedding <-> {q} <= 1.25 and i_category <> 'it''s and' group by d.d_year having count(*) > 1 order by n desc, y limit 3",
+        "SELECT i.i_item_id, p_promo_sk, cr_order_number, cs_quantity + 1 AS q FROM catalog_sales cs JOIN item i ON cs.cs_item_sk = i.i_item_sk LEFT JOIN promotion p ON cs_promo_sk = p.p_promo_sk "
+        "LEFT OUTER JOIN catalog_returns cr ON cr_item_sk = cs_item_sk AND cr.cr_order_number = cs.cs_order_number WHERE i.i_embedding <<->> [1.44, {bare}] AND cs_quantity > i_manager_id * 5",
+        "SELECT a.d_year, b.d_moy, i.* FROM catalog_sales, item i, date_dim a, date_dim b WHERE cs_item_sk = i.i_item_sk AND cs_sold_date_sk = a.d_date_sk AND cs_ship_date_sk = b.d_date_sk AND b.d_date > a.d_date AND array_distance(i.i_embedding, {q}) < 1.2",
+    ],
+)
+def test_planned_statements_give_what_catalyst_gives(spark, star, text):
+    text = text.replace("{q}", f"'{star}'").replace("{bare}", star[1:-1])
+    found, how = sqlfront.planned(spark, text)
+    plain = spark.sql(sqlfront.rewrite(text))
+    assert how.order[0] in ("i", "cs", "catalog_sales") and how.vector_rows is not None
+    assert found.columns == plain.columns
+    got, want = (sorted(map(str, df.collect())) for df in (found, plain))
+    assert got == want and got
+    assert sorted(map(str, sqlfront.run(spark, text).collect())) == want
+
+
+def test_statements_that_are_left_to_catalyst(spark, star):
+    two = f"SELECT i_item_id FROM item i, catalog_sales WHERE cs_item_sk = i_item_sk AND i_embedding <-> '{star}' < 1.2"
+    assert sqlfront.relations_of(spark, two) == 2 and sqlfront.planned(spark, two) is None and sqlfront.run(spark, two).count() > 0
+    nested = f"SELECT count(*) AS n FROM item WHERE i_embedding <-> '{star}' < 1.2 AND i_item_sk IN (SELECT cs_item_sk FROM catalog_sales, date_dim WHERE cs_sold_date_sk = d_date_sk)"
+    assert sqlfront.is_vector_query(spark, nested) and sqlfront.describe(spark, nested) is None and sqlfront.run(spark, nested).first().n > 0
+    assert not sqlfront.is_vector_query(spark, "SELECT 1 FROM item, date_dim, promotion WHERE i_category = 'a <-> b < 3'")
+
+
+def test_hints_in_text(spark, star, tmp_path):
+    catalog = Catalog(spark, f"file://{tmp_path}/indexes")
+    for name in ("one", "two"):
+        catalog.create(name, "item", derived(spark, SF, "item"), "i_embedding", "i_item_sk")
+    text = f"SELECT /*+ indexscan(item two) */ i_item_id FROM catalog_sales, item, date_dim WHERE cs_item_sk = i_item_sk AND cs_sold_date_sk = d_date_sk AND i_embedding <-> '{star}' < 1.25"
+    found, how = sqlfront.planned(spark, text, catalog=catalog, key="i_item_sk")
+    assert how.index == "two" and sorted(map(str, found.collect())) == sorted(map(str, spark.sql(sqlfront.rewrite(sqlfront._HINT.sub("", text))).collect()))
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rows = [(1, [1.0, 0.0], [0.0, 0.0]), (2, [0.0, 2.0], [1.0, 1.0]), (3, None, [5.0, 5.0])]

@@ -12,10 +12,11 @@ from vecsql.functions import distance as D
 from vecsql.operators import search
 from vecsql.operators.index import Catalog, knn_join_indexed
 from vecsql.plans import sqlfront, tpcds, tpch
-from vecsql.plans.estimate import State, probe, q_error, sampled
+from vecsql.plans.estimate import State, States, probe, q_error, sampled
+from vecsql.plans.planner import plan
 from vecsql.schema import derived, query_vector, table, views, with_clause
 from vecsql.sources import loaders
-from vecsql.storage import shared_dir
+from vecsql.storage import remember, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -318,7 +319,7 @@ for _q, _sql in tpch.SQL.items():
 
     query(f"qh{int(_q[1:]):02d}", f"{with_clause(('partsupp',))} {_sql.format(d=tpch.DUCK_DISTANCE, r=tpch.RADIUS)}")(_suite)
 
-for _q in tpcds.QUERIES:
+for _q in tpcds.STARS:
 
     def _star(spark, sf_dir, name=_q):
         return tpcds.run(spark, sf_dir, name)
@@ -326,6 +327,44 @@ for _q in tpcds.QUERIES:
     query(f"qd{int(_q[1:]):02d}", tpcds.duckdb_sql(_q))(_star)
 
 
+_THREE = """FROM web_sales ws JOIN item i ON ws.ws_item_sk = i.i_item_sk JOIN date_dim d ON ws.ws_sold_date_sk = d.d_date_sk
+  WHERE i.i_manager_id = 2 AND d.d_year = 1997 AND {d} < 1.3"""
+
+
+@query("sql_planned", f"{with_clause(('web_sales', 'item', 'date_dim'))} SELECT i_item_id, d_moy, count(*) AS n, round(min(d), 6) AS least FROM (SELECT i.*, d.d_moy, list_distance(i_embedding::DOUBLE[], {Q}) AS d {_THREE.format(d=f'list_distance(i_embedding::DOUBLE[], {Q})')}) GROUP BY i_item_id, d_moy")
+def sql_planned(spark, sf_dir):
+    views(spark, sf_dir, "web_sales", "item", "date_dim")
+    near = f"i.i_embedding <-> '{query_vector(spark, sf_dir)}'"
+    found, _ = sqlfront.planned(spark, f"SELECT i.i_item_id, d_moy, count(*) AS n, round(min({near}), 6) AS least {_THREE.format(d=near)} GROUP BY i.i_item_id, d_moy")
+    return found
+
+
+@query("e02_detection", "SELECT 3 AS relations, true AS planned, 3 AS nested, false AS without_range")
+def e02(spark, sf_dir):
+    views(spark, sf_dir, "web_sales", "item", "date_dim")
+    near = "i.i_embedding <-> '[1, 2]'"
+    text = f"SELECT i.i_item_id {_THREE.format(d=near)}"
+    nested = "WITH a AS (SELECT * FROM item) SELECT * FROM a WHERE EXISTS (SELECT 1 FROM date_dim) AND i_item_sk IN (SELECT ws_item_sk FROM web_sales)"
+    row = sqlfront.relations_of(spark, text), sqlfront.is_vector_query(spark, text), sqlfront.relations_of(spark, nested), sqlfront.is_vector_query(spark, nested)
+    return spark.createDataFrame([row], "relations int, planned boolean, nested int, without_range boolean")
+
+
+@query("e06_index_probe", tpcds.duckdb_sql("q98"))
+def e06(spark, sf_dir):
+    catalog = Catalog(spark, remember(spark, f"{shared_dir(spark)}/indexes-{uuid.uuid4().hex}"))
+    catalog.create("it", "item", derived(spark, sf_dir, "item"), "i_embedding", "i_item_sk")
+    return tpcds.run(spark, sf_dir, "q98", catalog=catalog)
+
+
+@query("e09_feedback", "SELECT 1 AS learned, true AS known")
+def e09(spark, sf_dir):
+    states = States()
+    found = plan(tpcds.describe(spark, sf_dir, "q42"), "sample", states)
+    found.collect()
+    learned = states.states[("i", "i_embedding")].recent_qerrors
+    return spark.createDataFrame([(len(learned), learned[0] >= 1)], "learned int, known boolean")
+
+
 # estimates
 
 
@@ -353,7 +392,7 @@ def e08(spark, sf_dir):
 
 
 def _indexed(spark: SparkSession, sf_dir: str, metric: str = "l2sq") -> Catalog:
-    catalog = Catalog(spark, f"{shared_dir(spark)}/indexes-{uuid.uuid4().hex}")
+    catalog = Catalog(spark, remember(spark, f"{shared_dir(spark)}/indexes-{uuid.uuid4().hex}"))
     catalog.create("idx", "embeddings", table(spark, sf_dir, "embeddings"), "embedding", "vec_id", metric=metric)
     return catalog
 
@@ -370,20 +409,96 @@ def s04(spark, sf_dir):
     return found.select(F.col("key").alias("vec_id"), (F.round("dist", 6) + F.lit(0.0)).alias("dist"))
 
 
-@query("s02_index_search")
+_TOP = "SELECT vec_id, round(d, 6) AS dist FROM (SELECT vec_id, list_distance(embedding::DOUBLE[], {q}) AS d FROM embeddings {where} ORDER BY d, vec_id LIMIT {k})"
+
+
+@query("s02_index_search", _TOP.format(q=Q, where="", k=10))
 def s02(spark, sf_dir):
-    return _indexed(spark, sf_dir).search("idx", query_vector(spark, sf_dir), 10)
+    catalog = _indexed(spark, sf_dir)  # every cell: what a search finds when it may look everywhere
+    found = catalog.search("idx", query_vector(spark, sf_dir), 10, cells=catalog.get("idx").cells)
+    return found.select(F.col("key").alias("vec_id"), F.round("dist", 6).alias("dist"))
+
+
+@query("s02_index_search_recall", "SELECT true AS enough")
+def s02_recall(spark, sf_dir):
+    catalog = _indexed(spark, sf_dir)
+    share = catalog.recall("idx", [query_vector(spark, sf_dir, n) for n in range(5)], 10)
+    return spark.createDataFrame([(share >= 0.5,)], "enough boolean")
+
 
+@query("s03_estimates", "SELECT least(10, count(*))::BIGINT AS of_limit, count(*) AS of_table, least(64, count(*))::BIGINT AS of_search FROM embeddings")
+def s03(spark, sf_dir):
+    catalog = _indexed(spark, sf_dir)
+    return spark.createDataFrame([(catalog.estimate("idx", 10), catalog.estimate("idx"), catalog.estimate("idx", ef=True))], "of_limit long, of_table long, of_search long")
 
-@query("s05_relaxed_range")
+
+@query("s05_relaxed_range", f"SELECT vec_id, round(d, 6) AS dist FROM (SELECT vec_id, list_distance(embedding::DOUBLE[], {Q}) AS d FROM embeddings) WHERE d < 1.3")
 def s05(spark, sf_dir):
-    return _indexed(spark, sf_dir).relaxed("idx", query_vector(spark, sf_dir), 1.3)
+    catalog = _indexed(spark, sf_dir)  # with as much patience as there are cells nothing is missed
+    found = catalog.relaxed("idx", query_vector(spark, sf_dir), 1.3, patience=catalog.get("idx").cells)
+    return found.select(F.col("key").alias("vec_id"), F.round("dist", 6).alias("dist"))
 
 
-@query("t09_index_knn_join")
+@query("s06_iterator", _TOP.format(q=Q, where="", k=30))
+def s06(spark, sf_dir):
+    cursor = _indexed(spark, sf_dir).iterate("idx", query_vector(spark, sf_dir))
+    rows = [r for n in (1, 9, 20) for r in cursor.next(n)]
+    cursor.close()
+    return spark.createDataFrame(rows, "vec_id long, dist double").withColumn("dist", F.round("dist", 6))
+
+
+@query(
+    "s07_multi_index",
+    f"""SELECT a.vec_id, round(0.7 * list_distance(a.embedding::DOUBLE[], {Q}) ** 2 + 0.3 * list_distance(b.embedding::DOUBLE[], {Q1}) ** 2, 6) AS score
+      FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id + 7) % (SELECT count(*) FROM embeddings) ORDER BY 2, 1 LIMIT 10""",
+)
+def s07(spark, sf_dir):
+    catalog, e = _indexed(spark, sf_dir), table(spark, sf_dir, "embeddings")
+    n = e.count()
+    second = e.select(((F.col("vec_id") - 7 + n) % n).alias("vec_id"), F.col("embedding").alias("other"))
+    catalog.create("second", "embeddings", second, "other", "vec_id")
+    best = catalog.weighted([(0.7, "idx", query_vector(spark, sf_dir)), (0.3, "second", query_vector(spark, sf_dir, 1))], 10)
+    return spark.createDataFrame(best, "vec_id long, score double").withColumn("score", F.round("score", 6))
+
+
+@query("s17_saved_index", _TOP.format(q=Q, where="", k=10))
+def s17(spark, sf_dir):
+    catalog = _indexed(spark, sf_dir)
+    catalog.save("idx", f"{catalog.root}-saved")
+    catalog.view(remember(spark, f"{catalog.root}-saved"), "seen")
+    catalog.drop("idx")
+    found = catalog.search("seen", query_vector(spark, sf_dir), 10, exact=True)
+    return found.select(F.col("key").alias("vec_id"), F.round("dist", 6).alias("dist"))
+
+
+@query("t09_index_knn_join", f"SELECT left_id, right_id, round(d, 6) AS dist, n::INT AS rank FROM ({_knn(3)})")
 def t09(spark, sf_dir):
     catalog = _indexed(spark, sf_dir)
-    return knn_join_indexed(catalog, "idx", table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 3)
+    near = knn_join_indexed(catalog, "idx", table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 3, cells=catalog.get("idx").cells)
+    return near.select(F.col("vec_id").alias("left_id"), F.col("key").alias("right_id"), F.round("dist", 6).alias("dist"), "rank")
+
+
+@query("t14_clusters", "SELECT count(*) AS n, count(DISTINCT vec_id) AS keys, 4 AS clusters FROM embeddings")
+def t14(spark, sf_dir):
+    found = _indexed(spark, sf_dir).clusters("idx", 4)
+    return found.agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"), F.countDistinct("cluster").cast("int").alias("clusters"))
+
+
+@query("t15_fork_and_isolate", "SELECT 0::BIGINT AS forked, count(*) AS gone, (SELECT count(*) FROM embeddings WHERE label <> 0) AS \"left\" FROM embeddings WHERE label = 0")
+def t15_fork(spark, sf_dir):
+    catalog = _indexed(spark, sf_dir)
+    catalog.fork("idx", "empty")
+    catalog.delete("idx", table(spark, sf_dir, "embeddings").filter("label = 0").select("vec_id"))
+    return spark.createDataFrame([(catalog.count("empty"), catalog.isolate("idx"), catalog.count("idx"))], "forked long, gone long, left long")
+
+
+@query("x04_delete_and_insert", "SELECT vec_id FROM embeddings WHERE label <> 0 OR vec_id % 2 = 0")
+def x04(spark, sf_dir):
+    catalog, e = _indexed(spark, sf_dir), table(spark, sf_dir, "embeddings")
+    catalog.delete("idx", e.filter("label = 0").select("vec_id"))
+    catalog.insert("idx", e.filter("label = 0 and vec_id % 2 = 0"))
+    catalog.compact("idx")
+    return catalog.rows("idx").select(F.col("key").alias("vec_id"))
 
 
 @query("x05_delete_and_compact", "SELECT count(*) AS n, min(vec_id) AS least FROM embeddings WHERE label <> 0")
@@ -394,9 +509,10 @@ def x05(spark, sf_dir):
     return catalog.rows("idx").agg(F.count("*").alias("n"), F.min("key").alias("least"))
 
 
-@query("x08_index_info")
+@query("x08_index_info", "SELECT 'idx' AS index_name, 'embeddings' AS table_name, 'l2sq' AS metric, max(len(embedding))::INT AS dimensions, count(*) AS n, count(*) AS capacity FROM embeddings")
 def x08(spark, sf_dir):
-    return _indexed(spark, sf_dir).info()
+    info = _indexed(spark, sf_dir).info()
+    return info.select("index_name", "table_name", "metric", "dimensions", F.col("count").alias("n"), "capacity")
 
 
 # loaders

@@ -157,6 +157,20 @@ def cosine_i8(a: Vector, b: Vector) -> Column:
     return F.when(dot == 0, F.lit(0.0)).otherwise(1 - dot / (F.sqrt(p.cast("double")) * F.sqrt(q.cast("double"))))
 
 
+def to_f16(a: Vector) -> Column:
+    """Each number as half precision holds it: 11 bits, ties to even, infinite from 65,520 on."""
+
+    def one(x: Column) -> Column:
+        size = F.abs(x)
+        rough = F.floor(F.log2(size))
+        power = F.when(F.pow(F.lit(2.0), rough + 1) <= size, rough + 1).when(F.pow(F.lit(2.0), rough) > size, rough - 1).otherwise(rough)
+        step = F.pow(F.lit(2.0), F.greatest(power, F.lit(-14)) - 10)
+        near = F.rint(x / step) * step
+        return F.when((size == 0) | F.isnan(x) | (size == float("inf")), x).when(size >= 65520, F.signum(x) * float("inf")).otherwise(near)
+
+    return F.transform(vector(a), one).cast("array<float>")
+
+
 def to_bits(a: Vector) -> Column:
     """64-bit words in which a bit says whether a component is positive, the first component lowest."""
     v = vector(a)

@@ -40,11 +40,10 @@ DERIVED = {
                e.embedding AS i_embedding
         FROM part p JOIN embeddings e ON e.vec_id = (p.p_partkey * 7) % (SELECT count(*) FROM embeddings)""",
     "date_dim": """
-        SELECT DISTINCT CAST(l_shipdate AS DATE) AS d_date,
-               year(l_shipdate) * 10000 + month(l_shipdate) * 100 + day(l_shipdate) AS d_date_sk,
-               CAST(year(l_shipdate) AS INT) AS d_year, CAST(month(l_shipdate) AS INT) AS d_moy,
-               CAST(year(l_shipdate) * 53 + floor((dayofyear(l_shipdate) - 1) / 7.0) AS INT) AS d_week_seq
-        FROM lineitem""",
+        SELECT DISTINCT CAST(t AS DATE) AS d_date, year(t) * 10000 + month(t) * 100 + day(t) AS d_date_sk,
+               CAST(year(t) AS INT) AS d_year, CAST(month(t) AS INT) AS d_moy,
+               CAST(year(t) * 53 + floor((dayofyear(t) - 1) / 7.0) AS INT) AS d_week_seq
+        FROM (SELECT l_shipdate AS t FROM lineitem UNION SELECT o_orderdate AS t FROM orders) days""",
     "store_sales": """
         SELECT l_partkey AS ss_item_sk, year(l_shipdate) * 10000 + month(l_shipdate) * 100 + day(l_shipdate) AS ss_sold_date_sk,
                o_custkey AS ss_cdemo_sk, l_suppkey % 30 AS ss_promo_sk, o_custkey AS ss_customer_sk,
@@ -52,8 +51,8 @@ DERIVED = {
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "catalog_sales": """
         SELECT l_partkey AS cs_item_sk, l_orderkey AS cs_order_number, CAST(l_quantity AS INT) AS cs_quantity,
-               year(l_shipdate) * 10000 + month(l_shipdate) * 100 + day(l_shipdate) AS cs_sold_date_sk,
-               year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS cs_ship_date_sk,
+               year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS cs_sold_date_sk,
+               year(l_shipdate) * 10000 + month(l_shipdate) * 100 + day(l_shipdate) AS cs_ship_date_sk,
                o_custkey AS cs_bill_cdemo_sk, o_custkey AS cs_bill_hdemo_sk,
                CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE l_suppkey % 30 END AS cs_promo_sk
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",

@@ -9,6 +9,26 @@ import tempfile
 from pyspark.sql import SparkSession
 
 _own: list[str] = []
+#: Folders of intermediate tables and of indexes that queries made for themselves, by session.
+_made: list[tuple[SparkSession, str]] = []
+
+
+def remember(spark: SparkSession, path: str) -> str:
+    """A folder that goes when the session's program ends, or with ``clean``."""
+    if not _made:
+        atexit.register(clean)
+    _made.append((spark, path))
+    return path
+
+
+def clean() -> None:
+    """Delete all remembered folders; frames that still read them can't be used any more."""
+    while _made:
+        spark, path = _made.pop()
+        if spark.sparkContext._jsc is None:  # stopped before
+            continue
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -126,7 +126,8 @@ def test_structures_confirm_and_lookalikes_do_not():
     cut = base64.b64encode(rsa[:-3]).decode()
     assert not [k for k, *_ in secrets.find_spans(f"x {cut} y")[1]]
     assert "der" in [k for k, *_ in secrets.find_spans(rsa.hex())[1]]
-    ssh = base64.b64encode(b"\0\0\0\x0bssh-ed25519" + b"\0\0\0\x20" + bytes(range(32))).decode()
+    part = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = base64.b64encode(b"openssh-key-v1\0" + part(b"none") + part(b"none") + part(b"") + b"\0\0\0\1" + part(bytes(51))).decode()
     assert [k for k, *_ in secrets.find_spans(ssh)[1]] == ["ssh"]
     url = lambda d: base64.urlsafe_b64encode(json.dumps(d).encode()).decode().rstrip("=")
     assert [k for k, *_ in secrets.find_spans(f"{url({'alg': 'HS256'})}.{url({'sub': '1'})}.abc")[1]] == ["jwt"]
@@ -137,6 +138,28 @@ def test_structures_confirm_and_lookalikes_do_not():
     assert secrets.find_spans(words) == ([], [])
 
 
+def test_what_is_public_is_no_secret():
+    number = der(2, b"\0" + bytes(range(100, 228)))
+    rsa_oid = der(0x30, der(6, bytes.fromhex("2a864886f70d010101")) + der(5, b""))
+    spki = der(0x30, rsa_oid + der(3, b"\0" + der(0x30, number + der(2, b"\1\0\1"))))
+    pkcs1 = der(0x30, number + der(2, b"\1\0\1"))
+    signature = der(0x30, der(2, bytes([1]) * 66) + der(2, bytes([2]) * 66))
+    ssh = b"\0\0\0\x0bssh-ed25519" + b"\0\0\0\x20" + bytes(range(32))
+    for data in (spki, pkcs1, signature, ssh):
+        assert secrets.find_spans(f"x {base64.b64encode(data).decode()} y")[1] == [], data[:8]
+    pkcs8 = der(0x30, der(2, b"\0") + rsa_oid + der(4, bytes(range(120))))
+    assert [k for k, *_ in secrets.find_spans(base64.b64encode(pkcs8).decode())[1]] == ["der"]
+
+
+def test_encrypted_tokens():
+    url = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    head = url(json.dumps({"alg": "RSA-OAEP", "enc": "A256GCM"}).encode())
+    token = f"{head}.{url(bytes(256))}.{url(bytes(12))}.{url(bytes(40))}.{url(bytes(16))}"
+    assert secrets.find_spans(f"see {token} there")[1] == [("jwt", 4, 4 + len(token))]
+    assert secrets.find_spans(token.replace(head, head[:-2]))[1] == []
+    assert secrets.find_spans(f"{url(json.dumps({'alg': 'x'}).encode())}.{url(bytes(9))}.{url(bytes(12))}.{url(bytes(40))}.{url(bytes(16))}")[1] == []
+
+
 def test_other_encodings_of_keys():
     wrap = lambda b, n=64: "\n".join(b[i : i + n] for i in range(0, len(b), n))
     rsa = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([1]) * 130) for _ in range(8)))
@@ -144,7 +167,8 @@ def test_other_encodings_of_keys():
     for text in (wrap(body), wrap(body, 76).replace("\n", "\r\n  "), f"key: {wrap(body)}\nand so on"):
         found = [(text[a:b], k) for k, a, b in secrets.find_spans(text)[1]]
         assert [("".join(x.split()), k) for x, k in found] == [(body, "der")]
-    ssh = base64.b64encode(b"\0\0\0\x07ssh-rsa" + b"\0\0\0\x03\1\0\1" + b"\0\0\1\0" + bytes(range(256))).decode()
+    part = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = base64.b64encode(b"openssh-key-v1\0" + part(b"none") + part(b"none") + part(b"") + b"\0\0\0\1" + part(bytes(range(200)))).decode()
     assert [k for k, *_ in secrets.find_spans(wrap(ssh))[1]] == ["ssh"]
     pbes2 = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, der(4, b"salt"))) + der(4, bytes(range(160))))
     pem = f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{wrap(base64.b64encode(pbes2).decode())}\n-----END ENCRYPTED PRIVATE KEY-----"

@@ -2,15 +2,14 @@
 
 Three patterns give the base findings. Beyond them, runs of base64 or hex digits are candidates
 only: each is decoded and its structure parsed - DER with nested lengths that add up and the
-shape of a key, an OpenSSH or SSH wire encoding, a signed token whose header is JSON with an
-algorithm - and is reported only when that succeeds.
+shape of a private key, OpenSSH's private container, a signed or encrypted token whose header is JSON with
+an algorithm - and is reported only when that succeeds. Public keys, certificates and signatures are not secret.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -32,6 +31,7 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(rb"[0-9a-f]{32,}")
 
 _JWT = re.compile(rb"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+_FIVE_PARTS = re.compile(rb"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]{16,})(?![A-Za-z0-9_.-])")
 _PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:\s*[A-Za-z0-9-]+:[^\n]*\n)*)([A-Za-z0-9+/=\s]+?)-----END \1-----")
 _BASE64 = re.compile(rb"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
 _NEXT_LINE = re.compile(rb"\r?\n[ \t]*([A-Za-z0-9+/]+={0,2})(?![A-Za-z0-9+/=])")
@@ -73,7 +73,7 @@ def der_items(data: bytes, at: int = 0, end: int | None = None) -> list[tuple[in
 
 
 def is_der_key(data: bytes) -> bool:
-    """A sequence that fills the data and has the inner shape of a private or public key."""
+    """A sequence that fills the data and has the inner shape of a private key, plain or encrypted."""
     top = der_items(data) if data[:1] == b"\x30" else None
     if not top or len(top) != 1:
         return False
@@ -83,35 +83,26 @@ def is_der_key(data: bytes) -> bool:
     tags = [t for t, _, _ in inner]
     if len(tags) >= 9 and set(tags[:9]) == {2}:  # RSA: version, modulus and seven more integers
         return True
-    if len(tags) == 2 and tags == [2, 2] and inner[0][2] - inner[0][1] >= 64:  # RSA public: modulus, exponent
-        return True
     if len(tags) >= 2 and tags[:2] == [2, 4] and inner[0][2] - inner[0][1] == 1 and 16 <= inner[1][2] - inner[1][1] <= 66:
         return True  # elliptic curve: version 1 and the private number
-    for n, (tag, a, b) in enumerate(inner[:2]):  # PKCS 8, or a public key: an algorithm, then octets or bits
-        if tag == 0x30 and n + 1 < len(inner) and inner[n + 1][0] in (3, 4):
-            named = der_items(data, a, b)
-            return bool(named) and named[0][0] == 6 and data[named[0][1] : named[0][2]] in KEY_OIDS
-    return False
+    # PKCS 8: a version, an algorithm, then octets; encrypted it has no version. Bits after an algorithm are a public key
+    at = 1 if tags[:1] == [2] else 0
+    if tags[at : at + 2] != [0x30, 4]:
+        return False
+    named = der_items(data, *inner[at][1:])
+    return bool(named) and named[0][0] == 6 and data[named[0][1] : named[0][2]] in KEY_OIDS
 
 
 def is_ssh_key(data: bytes) -> bool:
-    """OpenSSH's private container, or a wire encoding whose nested lengths fill the data."""
-    if data.startswith(b"openssh-key-v1\x00"):
-        data = data[15:]
-        at = 0
-        for _ in range(3):  # cipher, derivation, its options
-            if at + 4 > len(data):
-                return False
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        return at + 4 <= len(data)
-    at, parts = 0, []
-    while at + 4 <= len(data) and len(parts) < 16:
-        size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + size > len(data):
+    """OpenSSH's private container: a cipher, a derivation and its options whose lengths fit, and a number of keys."""
+    if not data.startswith(b"openssh-key-v1\x00"):
+        return False
+    at = 15
+    for _ in range(3):
+        if at + 4 > len(data):
             return False
-        parts.append(data[at + 4 : at + 4 + size])
-        at += 4 + size
-    return at == len(data) and len(parts) >= 2 and parts[0].startswith((b"ssh-", b"ecdsa-sha2-", b"sk-ssh-"))
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at + 4 <= len(data)
 
 
 def _decoded(run: bytes, url: bool = False) -> bytes:
@@ -130,6 +121,16 @@ def is_token_header(part: bytes) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str)
 
 
+def is_locked_token(parts: tuple[bytes, ...]) -> bool:
+    """Five parts: a header that names how key and content are encrypted, and a nonce and a tag of usual lengths."""
+    try:
+        header = json.loads(_decoded(parts[0], url=True))
+    except ValueError:
+        return False
+    named = isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(header.get("enc"), str)
+    return named and len(_decoded(parts[2], url=True)) in (12, 16) and len(_decoded(parts[4], url=True)) in (16, 24, 32)
+
+
 def base_spans(text: bytes) -> list[tuple[str, int, int]]:
     """(kind, start, end) in bytes."""
     out = []
@@ -156,6 +157,7 @@ def confirmed_spans(text: bytes) -> list[tuple[str, int, int]]:
     out = []
     if b"eyJ" in text:
         out += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_token_header(m[1]) and _decoded(m[2], url=True)[:1] == b"{"]
+        out += [("jwt", *m.span()) for m in _FIVE_PARTS.finditer(text) if is_locked_token(m.groups())]
     if b"PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
             body = _decoded(b"".join(m[3].split()))
@@ -165,7 +167,7 @@ def confirmed_spans(text: bytes) -> list[tuple[str, int, int]]:
                 out.append(("pem", *m.span()))
     for m in _BASE64.finditer(text):
         kind, check = ("der", is_der_key) if m[0][:1] == b"M" else ("ssh", is_ssh_key)  # 0x30 is M in base64
-        if kind == "der" or m[0][:4] == b"AAAA" or m[0][:12] == b"b3BlbnNzaC1r":
+        if kind == "der" or m[0][:12] == b"b3BlbnNzaC1r":
             ends = _wrapped(text, m)
             found = next((end for run, end in ends if check(_decoded(run))), None)
             if found is not None:
@@ -217,7 +219,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with ``base_spans`` and ``spans``, arrays of (kind, start, end) in code points.
 
-    A null text is empty and has none. All other columns stay (these two are replaced); equal rows
+    A null text is empty and has none, null ids stay, very long texts are scanned whole; spans of one start are listed by kind. All other columns stay (these two are replaced); equal rows
     get equal spans; an empty table stays empty. One pass without a shuffle: a lost executor's
     tasks are run again on their part of the input.
     """
@@ -256,7 +258,11 @@ def union_of(spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with each span of the text replaced by ``[SECRET]``; other texts, and null ones, stay as they are."""
+    """``docs`` with each span of the text replaced by ``[SECRET]``; overlapping spans are one.
+
+    Texts without spans, null ones among them, and all other columns stay as they are, whatever their names; equal rows
+    stay equal, very long texts are scanned whole, an empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     return docs.mapInArrow(_redact, docs.schema)
 
@@ -271,7 +277,3 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(_joined(F.col("base_spans")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans")
     )
-
-
-def sha_of(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()

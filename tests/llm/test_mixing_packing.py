@@ -108,3 +108,22 @@ def test_packing_keeps_all_words_and_the_constraints(spark, docs_of, odd_rows):
             pieces = sorted({(r.piece, r.text) for r in whole[doc_id]})
             assert "".join(t for _, t in pieces) == (text or "")
         assert len({r.bin_id for r in whole[1] + whole[2]}) == len(whole[1]) + len(whole[2]) == 3  # equal texts apart
+
+
+def test_repeated_rows_are_dealt_to_all_shards(spark, docs_of):
+    text = " ".join(f"w{i}" for i in range(100))
+    got = packing.pack(docs_of([(1, text, "a")] * 600).coalesce(2), capacity=400, shard_bytes=4000).collect()
+    shards = Counter(r.bin_id >> 32 for r in got)
+    assert len(got) == 600 and len(shards) > 30 and max(shards.values()) < 30
+    assert len({r.bin_id for r in got}) == 600  # of one cluster
+
+
+def test_clusters_may_be_given(spark):
+    rows = [(i, f"text number {i} of the lot", "s", i // 2 if i < 8 else None) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, class_id long")
+    packed = packing.pack(df, per_source=12, cluster="class_id")
+    bin_of = {r.doc_id: r.bin_id for r in packed.collect()}
+    assert all(bin_of[2 * i] != bin_of[2 * i + 1] for i in range(4)) and len(set(bin_of.values())) == 2
+    whole = packing.fill(packed).first()
+    assert whole.bins == 2 and whole.words == 72 and abs(whole.fill - 72 / 4096) < 1e-12
+    assert packing.fill(packing.pack(df.limit(0))).first().fill == 0

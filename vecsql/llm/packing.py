@@ -1,7 +1,7 @@
 """Conflict-constrained best-fit packing of texts into training sequences.
 
 Texts are cut into pieces of at most ``capacity`` words. The pieces are dealt by a hash into shards
-of a fixed expected size, each packed by itself, largest piece first. Open bins are ordered by
+of a fixed expected size, each packed by itself, largest piece first; repeated rows go to different shards. Open bins are ordered by
 what is left in them. A bin carries a bitmap of its sources (``per_source`` bits each) and one of its
 duplicate clusters; the search starts at the tightest bin that holds the piece and goes on to the
 next until one has room for the source and none of the cluster; if none has, a bin is opened.
@@ -10,6 +10,7 @@ next until one has room for the source and none of the cluster; if none has, a b
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from math import ceil
 
@@ -61,9 +62,17 @@ def best_fit(sizes: Sequence[int], sources: Sequence, clusters: Sequence, capaci
 
 
 def _cut(capacity: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of each text: they begin with a word and end before the next piece's, and make up the text."""
+    """Pieces of each text: they begin with a word and end before the next piece's, and make up the text.
+
+    again: how often the task had the row before, so that a row that is repeated without end is dealt to all shards.
+    """
+    seen: Counter = Counter()
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("text"))
+        again = []
+        for key in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "cluster")), strict=True):
+            again.append(seen[key])
+            seen[key] += 1
         data, offsets = text_buffer(column)
         for a, b in row_chunks(offsets):
             own = offsets[a : b + 1]
@@ -83,10 +92,10 @@ def _cut(capacity: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(k).slice(a, b - a).take(pa.array(row)) for k, name in enumerate(batch.schema.names) if name != "text"),
-                    *map(pa.array, (piece.astype(np.int32), first, size)),
+                    *map(pa.array, (piece.astype(np.int32), first, size, np.array(again, np.int64)[a:b][row])),
                     cut.cast(pa.string()),
                 ],
-                [*(name for name in batch.schema.names if name != "text"), "piece", "first_word", "n_words", "text"],
+                [*(name for name in batch.schema.names if name != "text"), "piece", "first_word", "n_words", "again", "text"],
             )
 
 
@@ -105,34 +114,44 @@ def _pack(capacity: int, per_source: int, table: pa.Table) -> pa.Table:
         "slot": pa.array((np.arange(len(bins)) - first).astype(np.int32)),
         "position": pa.array(before - before[first]),
     }
-    out |= {name: table.column(name) for name in table.column_names if name not in ("shard", "cluster")}
+    out |= {name: table.column(name) for name in table.column_names if name not in ("shard", "cluster", "again")}
     return pa.table(out)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, with_text: bool = True, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def pack(
+    docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, with_text: bool = True, shard_bytes: int = SHARD_BYTES, cluster: str | None = None
+) -> DataFrame:
     """One row a piece: bin_id, slot and position (in words) in the bin, doc_id, source, piece, first_word, n_words (and text).
 
     Every text is packed whole. A null text is empty; an empty text is one piece of no words. A
-    null source is a source of its own. Equal texts are one duplicate cluster, whose members
-    never share a bin; so are the pieces of one text. Repeated rows are packed each. Only
-    doc_id, text and source are read; an empty table gives an empty one.
+    null source is a source of its own. Equal texts are one duplicate cluster, or the rows of equal values of the column
+    ``cluster`` if it is named (a class of near-duplicates, say; a null is the cluster of its text); its members never share a
+    bin, nor do the pieces of one text. Repeated rows are packed each. Very long texts give as many pieces as they need; ties of size go by
+    cluster, id and piece. Only these columns are read, null ids stay, an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     shards = max(1, ceil(total / shard_bytes))
-    whole = docs.select("doc_id", "source", F.xxhash64(text).alias("cluster"), text.alias("text"))
+    own = F.xxhash64(text) if cluster is None else F.when(F.col(cluster).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(F.lit("cluster"), cluster))
+    whole = docs.select("doc_id", "source", own.alias("cluster"), text.alias("text"))
     kind = {f.name: f.dataType.simpleString() for f in whole.schema}
-    own = f"doc_id {kind['doc_id']}, source {kind['source']}, cluster long, piece int, first_word long, n_words long, text string"
+    own = f"doc_id {kind['doc_id']}, source {kind['source']}, cluster long, piece int, first_word long, n_words long, again long, text string"
     pieces = whole.mapInArrow(lambda batches: _cut(capacity, batches), own)
     pieces = pieces if with_text else pieces.drop("text")
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "piece"), F.lit(shards)).cast("int"))
-    result = f"bin_id long, slot int, position long, {own.replace('cluster long, ', '')}"
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "piece", "again"), F.lit(shards)).cast("int"))
+    result = f"bin_id long, slot int, position long, {own.replace('cluster long, ', '').replace('again long, ', '')}"
     if not with_text:
         result = result.replace(", text string", "")
     return dealt.groupBy("shard").applyInArrow(lambda table: _pack(capacity, per_source, table), result)
 
 
+def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: bins, words in them, and the share of all bins' capacity that these take."""
+    whole = packed.agg(F.countDistinct("bin_id").alias("bins"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"))
+    return whole.withColumn("fill", F.col("words") / F.greatest(F.col("bins") * capacity, F.lit(1)))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return pack(docs, with_text=False)

@@ -176,6 +176,27 @@ def test_vectors_against_brute_force(spark, cloud):
     assert vector_dedup.linked(spark, df.limit(0)).count() == 0
 
 
+def test_recall_of_audits(cloud):
+    v = (cloud / np.linalg.norm(cloud, axis=1, keepdims=True)).astype(np.float32)
+    graph = build(v)
+    own = np.array([int(np.flatnonzero((graph.vectors == x).all(1))[0]) for x in v])
+    links, beam, recall = vector_dedup.audited_links(graph, v, 0.9, own)
+    true = v @ graph.vectors.T >= 0.9
+    true[np.arange(len(v)), own] = False
+    shares = [np.isin(np.flatnonzero(t), f).mean() for t, f in zip(true, links, strict=True) if t.any()]
+    assert recall >= 0.99 and np.mean(shares) >= 0.98 and beam >= 0
+
+
+def test_forests_of_links():
+    r = random.Random(3)
+    links = [(r.randrange(200), r.randrange(200)) for _ in range(150)]
+    root = np.arange(200)
+    for part in (links[:70], links[70:]):
+        root = vector_dedup.spanning(*(np.array(x) for x in zip(*part, strict=True)), root)
+    want = smallest_reachable(range(200), links)
+    assert root.tolist() == [want[n] for n in range(200)]
+
+
 def test_images(spark):
     rng = np.random.default_rng(9)
     vectors = rng.normal(size=(12, 64))

@@ -87,7 +87,10 @@ def mixed(
 
 
 def emit_copies(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Each document as often as its ``copies`` say; those taken no time go."""
+    """Each document as often as its ``copies`` say; those taken no time, or whose ``copies`` are null, go.
+
+    Nulls elsewhere, very long texts and repeated rows are emitted as they are; an empty table stays empty.
+    """
     repeated = docs.filter(F.col("copies") > 0).withColumn(unused("copy", docs), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return repeated.select(*columns)
 

@@ -118,7 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score``: the probability that the text is good.
 
-    Only the text is used, whole; a null text is empty. Other columns stay (a column ``score`` is
+    Only the text is used, whole, however long; a null text is empty, null ids stay. Equal texts, of repeated rows
+    too, get equal scores; an empty table stays empty. Other columns stay (a column ``score`` is
     replaced). One pass without a shuffle. The model, two dictionaries of fixed size, goes out once
     as a broadcast variable.
     """

@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecsql.storage import shared_dir
+from vecsql.storage import remember, shared_dir
 
 
 #: Rows and bytes of an Arrow batch, at most, where rows hold texts or pictures.
@@ -42,11 +42,11 @@ def unused(name: str, *frames: DataFrame) -> str:
 
 
 class Scratch:
-    """Named tables of one operator call; a unique folder keeps concurrent calls apart."""
+    """Named tables of one operator call; a unique folder keeps concurrent calls apart. They go when the program ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = remember(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
 
     def save(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         """The frame as a table; Spark deletes the shuffle files behind it as soon as it is written."""

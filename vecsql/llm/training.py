@@ -29,7 +29,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
 
     The bound makes what the driver collects independent of the corpus. The ids are chosen from
     ``labels`` alone and then joined, so one scan reads the texts of the chosen documents only.
-    A document with two different labels is left out, as are null ids, labels and texts.
+    A document with two different labels is left out, as are null ids, labels and texts. Of the texts of a
+    repeated id the smallest stands. Ids are of any type; those of ``labels`` are cast to that of ``docs``.
     """
     clean = usable_labels(labels, label, folds).withColumn("h", F.xxhash64(F.lit(label), "doc_id"))
     chosen = clean.filter("label = 0").orderBy("h", "doc_id").limit(rows_per_class)
@@ -37,7 +38,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
     rows = [(r.doc_id, r.label, r.h) for r in chosen.collect()]
     if not rows:
         return []
-    wanted = docs.sparkSession.createDataFrame(rows, "doc_id long, label int, h long")
+    types = {f.name: f.dataType.simpleString() for f in clean.schema}
+    wanted = docs.sparkSession.createDataFrame(rows, f"doc_id {types['doc_id']}, label {types['label']}, h long")
+    wanted = wanted.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
     found = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
     texts = found.groupBy("doc_id", "label", "h").agg(F.min("text").alias("text")).collect()
     return [(r.text, r.label) for r in sorted(texts, key=lambda r: (r.h, r.doc_id))]

@@ -3,10 +3,12 @@
 Equal vectors are one node. Nodes are dealt into shards by a hash, a navigable small-world graph
 is built for each, and blocks of nodes are searched in every shard. Beams widen in two ways: a
 query whose whole beam is linked is searched again with twice the beam until it isn't, and a block
-whose audit - the exact links of some of its queries - finds too few of them is searched again. A
+whose audit - the exact links of some of its queries, the query itself left out, each query that has links weighing
+as much - finds too few of them is searched again. A
 block that fails with the widest beam is compared with the shard as a whole, so no audit stays
 failed. Links are verified in double precision. A block returns counts and a spanning forest of
 its links, not the links, so a group of n copies costs n rows, and its forests make the components.
+A link counts for the side that found it; both sides of a pair are searched for.
 """
 
 from __future__ import annotations
@@ -23,13 +25,16 @@ from .linking import components
 from .scratch import Scratch
 
 COSINE = 0.9
-#: Shards at least, and nodes that a shard holds at most, about.
-SHARDS, SHARD_NODES = 6, 50_000
+#: Shards at least, and nodes and bytes that a shard holds at most, about. A node takes 12 bytes a dimension and a row of its graph.
+SHARDS, SHARD_NODES, SHARD_BYTES, GRAPH_BYTES = 6, 50_000, 64 << 20, 256
 #: Queries that a task searches for in one shard.
 BLOCK_NODES = 16_384
 BATCH = 256
 FIRST_BEAM, LAST_BEAM = 32, 512
+#: Queries with and without found links that an audit takes, and the mean recall that it asks for.
 AUDITED, LEAST_RECALL = 64, 0.99
+#: Links that are made into a forest at once.
+FOREST_LINKS = 1 << 20
 #: What single precision may take from a cosine.
 SLACK = 1e-5
 
@@ -58,23 +63,17 @@ def _build(table: pa.Table) -> pa.Table:
     return pa.table({c: table.column(c)[:1] for c in ("dim", "shard")} | {k: pa.array([v], pa.binary()) for k, v in parts.items()})
 
 
-class _Forest:
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while (y := up.setdefault(x, x)) != x:
-            up[x] = up[y]
-            x = up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
+def spanning(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's component, after more links (a, b); root: before them."""
+    while True:
+        x, y = root[a], root[b]
+        apart = np.flatnonzero(x != y)
+        if not len(apart):
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
 
 
 def found_links(graph: Graph, queries: np.ndarray, beam: int, cosine: float) -> list[np.ndarray]:
@@ -102,28 +101,35 @@ def found_links(graph: Graph, queries: np.ndarray, beam: int, cosine: float) ->
     return out
 
 
-def audited_links(graph: Graph, queries: np.ndarray, cosine: float, seed: int = 3) -> tuple[list[np.ndarray], int]:
-    """Links of all queries whose audit passed, and the beam it took (0: the shard as a whole)."""
+def audited_links(graph: Graph, queries: np.ndarray, cosine: float, own: np.ndarray | None = None, seed: int = 3) -> tuple[list[np.ndarray], int, float]:
+    """Links of all queries whose audit passed, the beam it took (0: the shard as a whole) and the recall it found.
+
+    own: for each query its own number in the graph, or -1; finding oneself doesn't count.
+    """
     rng = np.random.default_rng(seed)
     beam = FIRST_BEAM
+    own = np.full(len(queries), -1) if own is None else own
     while beam <= LAST_BEAM:
         links = found_links(graph, queries, beam, cosine)
-        linked = np.flatnonzero([len(x) > 0 for x in links])
-        some = np.unique(np.concatenate([rng.permutation(len(queries))[:AUDITED], rng.permutation(linked)[:AUDITED]]))
+        linked = np.array([len(x) > int(o >= 0) for x, o in zip(links, own.tolist(), strict=True)], bool)
+        some = np.concatenate([rng.permutation(np.flatnonzero(kind))[:AUDITED] for kind in (linked, ~linked)])
         true = queries[some] @ graph.vectors.T >= cosine + SLACK
-        found = sum(np.isin(np.flatnonzero(t), links[q]).sum() for q, t in zip(some.tolist(), true, strict=True))
-        if found >= LEAST_RECALL * true.sum():
-            return links, beam
+        at = np.flatnonzero(own[some] >= 0)
+        true[at, own[some][at]] = False
+        shares = [np.isin(np.flatnonzero(t), links[q]).mean() for q, t in zip(some.tolist(), true, strict=True) if t.any()]
+        recall = float(np.mean(shares)) if shares else 1.0
+        if recall >= LEAST_RECALL:
+            return links, beam, recall
         beam *= 2
     out = []
     for a in range(0, len(queries), BATCH):
         out += [np.flatnonzero(h) for h in queries[a : a + BATCH] @ graph.vectors.T >= cosine - SLACK]
-    return out, 0
+    return out, 0, 1.0
 
 
 def _search(cosine: float, queries: pa.Table, graphs: pa.Table) -> pa.Table:
-    """Rows (node, other, copies, beam): counts where other is null, else edges of the forest."""
-    schema = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("copies", pa.int64()), ("beam", pa.int32())])
+    """Rows (node, other, copies, beam, recall): counts where other is null, else edges of a forest of the links."""
+    schema = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("copies", pa.int64()), ("beam", pa.int32()), ("recall", pa.float64())])
     if not len(queries) or not len(graphs):
         return schema.empty_table()
     graph = Graph.loads(graphs.column("graph")[0].as_py())
@@ -131,18 +137,41 @@ def _search(cosine: float, queries: pa.Table, graphs: pa.Table) -> pa.Table:
     copies = np.frombuffer(graphs.column("copies")[0].as_py(), np.int64)
     mine = queries.column("node").to_numpy()
     exact = _unit(_matrix(queries.column("vector")))
-    links, beam = audited_links(graph, exact.astype(np.float32), cosine)
+    order = np.argsort(nodes)
+    place = order[np.minimum(np.searchsorted(nodes[order], mine), len(nodes) - 1)]
+    own = np.where(nodes[place] == mine, place, -1)
+    links, beam, recall = audited_links(graph, exact.astype(np.float32), cosine, own)
     theirs = np.frombuffer(graphs.column("exact")[0].as_py(), np.float64).reshape(len(nodes), -1)
-    forest, edges, counts = _Forest(), [], []
+    every, numbers = np.unique(np.concatenate([nodes, mine]), return_inverse=True)
+    root = np.arange(len(every))
+    counts = np.zeros(len(mine), np.int64)
+    held: list[tuple[int, np.ndarray]] = []
+    waiting = 0
+
+    def settle(root: np.ndarray) -> np.ndarray:
+        a, b = np.repeat([q for q, _ in held], [len(f) for _, f in held]), np.concatenate([f for _, f in held])
+        return spanning(numbers[len(nodes) + a], numbers[b], root)
+
     for q, found in enumerate(links):
         found = found[nodes[found] != mine[q]]
         if len(found):
             found = found[theirs[found] @ exact[q] >= cosine]
         if len(found):
-            counts.append((int(mine[q]), None, int(copies[found].sum()), beam))
-            edges += [(int(mine[q]), int(o), None, None) for o in nodes[found].tolist() if forest.join(int(mine[q]), int(o))]
-    rows = counts + edges
-    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
+            counts[q] = copies[found].sum()
+            held.append((q, found))
+            waiting += len(found)
+            if waiting >= FOREST_LINKS:
+                root, held, waiting = settle(root), [], 0
+    if held:
+        root = settle(root)
+    some, edges = np.flatnonzero(counts), np.flatnonzero(root != np.arange(len(every)))
+    none = lambda n, kind: pa.nulls(n, kind)
+    return pa.concat_tables(
+        [
+            pa.table([pa.array(mine[some]), none(len(some), pa.int64()), pa.array(counts[some]), pa.array(np.full(len(some), beam, np.int32)), pa.array(np.full(len(some), recall))], schema=schema),
+            pa.table([pa.array(every[edges]), pa.array(every[root[edges]]), *(none(len(edges), f.type) for f in list(schema)[2:])], schema=schema),
+        ]
+    )
 
 
 def usable(vector: Column) -> Column:
@@ -164,12 +193,17 @@ def linked(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE, bloc
     kind = vectors.schema["vec_id"].dataType.simpleString()
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
     rows = rows.withColumn("vector", F.when(usable(F.col("vector")), F.col("vector")))
-    same = rows.filter("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
+    # 128 bits stand for a vector, so that vectors are shuffled once
+    hashes = [F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(n), "vector")).alias(f"hash_{n}") for n in (0, 1)]
+    hashed = rows.select("vec_id", *hashes, "vector")
+    same = hashed.filter("vector is not null").groupBy("hash_0", "hash_1")
+    same = same.agg(F.first("vector").alias("vector"), F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
     # equal vectors share a row from here on; the number of a node is fixed by writing it
     nodes = scratch.save(same.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("vector")), "nodes")
-    n = nodes.count()
+    n, numbers = nodes.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0))).first()
     # so few shards that each search is long enough, as many as tasks can hold
-    shards, blocks = max(SHARDS, ceil(n / SHARD_NODES)), max(1, ceil(n / block_nodes))
+    shards = max(SHARDS, ceil(n / SHARD_NODES), ceil((12 * numbers + GRAPH_BYTES * n) / SHARD_BYTES))
+    blocks = max(1, ceil(n / block_nodes))
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
     built = dealt.select("dim", "shard", "node", "copies", "vector").groupBy("dim", "shard")
     graphs = scratch.save(built.applyInArrow(_build, "dim int, shard int, nodes binary, copies binary, graph binary, exact binary"), "graphs")
@@ -178,22 +212,21 @@ def linked(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE, bloc
     offered = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ("dim", "shard", "block")
     searched = asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(
-        lambda queries, graph: _search(cosine, queries, graph), "node long, other long, copies long, beam int"
+        lambda queries, graph: _search(cosine, queries, graph), "node long, other long, copies long, beam int, recall double"
     )
     searched = scratch.save(searched, "searched")
     counts = searched.filter("other is null").groupBy("node").agg(F.sum("copies").alias("others"))
     roots = components(searched.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), scratch, "groups")
-    known = nodes.select("vector", "least_id", "copies", "node").join(counts, "node", "left").join(roots, "node", "left")
+    known = nodes.select("hash_0", "hash_1", "least_id", "copies", "node").join(counts, "node", "left").join(roots, "node", "left")
     known = known.withColumn("root", F.coalesce("root", "node"))
     heads = known.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    known = known.join(heads, "root").select(
-        F.col("vector").alias("its_vector"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
-    )
-    whole = rows.join(known, F.col("vector") == F.col("its_vector"), "left")
+    n_links = F.coalesce("others", F.lit(0)) + F.col("copies") - 1
+    known = known.join(heads, "root").select("hash_0", "hash_1", F.lit(True).alias("known"), n_links.alias("n_links"), "component_id")
+    whole = hashed.drop("vector").join(known, ["hash_0", "hash_1"], "left")
     out = whole.select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("vector").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).cast("long").alias("component_id"),
+        F.when(F.col("known").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).cast("long").alias("component_id"),
     )
     return out.select(F.col("vec_id").cast(kind), "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

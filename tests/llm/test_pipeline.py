@@ -70,6 +70,40 @@ def test_packed_words_are_those_that_were_mixed(stages):
     assert max(bins.values()) <= 2048
 
 
+ODD = [
+    (1, "the same text of some length and then some", "en", "a", 42),
+    (1, "the same text of some length and then some", "en", "a", 42),
+    (2, None, "en", "a", None),
+    (3, "", None, None, 0),
+    (None, "no id here but words all the same", "de", "b", 7),
+    (4, "word " * 60_000, "en", None, 300_000),
+    (5, "token = abcdefghijkl and more", "en", "b", 29),
+]
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_stages_on_odd_rows(spark, name, stage):
+    """Nulls in any column, empty and very long texts, repeated rows, and columns whose names clash with those inside."""
+    extra = "size string, source_size int, copies string, score string, spans string, its_id int, its_key string, shard string, cluster int, node int"
+    rows = [(*r, "x", 1, "y", "z", "w", 2, "v", "u", 3, 4) for r in ODD]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    out = stage(spark, df, SF)
+    got = out.collect()
+    if name == "best-fit packing":
+        assert sum(r.n_words for r in got) == sum(len((t or "").split()) for _, t, *_ in ODD)
+        return
+    assert out.columns == list(corpus_pipeline.COLUMNS)
+    texts = Counter(r.text for r in got)
+    if name == "quality classifier":
+        assert set(texts) <= {r[1] for r in ODD}
+    elif name == "MinHash near-dedup":
+        assert len(got) == 5 and texts[ODD[0][1]] == 1  # null and empty text are one class
+    elif name == "secret scans":
+        assert len(got) == len(ODD) and texts["[SECRET] and more"] == 1 and texts[None] == 1
+    else:
+        assert set(texts) <= {r[1] for r in ODD} and max(Counter(r.doc_id for r in got if r.doc_id == 4).values(), default=0) <= 3
+
+
 def test_stage_on_no_documents(spark):
     none = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

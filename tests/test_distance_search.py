@@ -158,3 +158,21 @@ def test_half_precision(spark):
     got = np.array(spark.createDataFrame([(x.tolist(),)], "v array<double>").select(D.to_f16("v")).first()[0])
     with np.errstate(over="ignore"):
         assert (got == x.astype(np.float16).astype(float)).all()
+
+
+def test_distances_between_large_selections(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(70, 4)), rng.normal(size=(50, 4))
+    a, b = (spark.createDataFrame([(v.tolist(),) for v in m] + [(None,)], "v array<double>") for m in (x, y))
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+    for most in (search.BROADCAST_BYTES, 0):
+        got = search.distance_between(a, b, "v", broadcast_bytes=most).first()
+        assert np.allclose([got.min, got.mean, got.max], [d.min(), d.mean(), d.max()])
+    assert search.distance_between(a, b.limit(0), "v", broadcast_bytes=0).first().min is None
+
+
+def test_joins_without_keys_give_each_row_its_own(spark):
+    rows = [(f"n{i}", [float(i), 0.0]) for i in range(40)]
+    left = spark.createDataFrame(rows, "name string, v array<double>").repartition(5).orderBy(F.rand(3))
+    got = search.vss_join(left, left, "v", "v", 1).collect()
+    assert len(got) == 40 and all(r.left_tbl.name == r.right_tbl.name and r.score == 0 for r in got)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecsql.functions.distance import DISTANCES, METRICS, batch_distances, distance
+from vecsql.storage import fixed
 
 #: The right side of a join goes to all tasks up to so many bytes; beyond it the join is done by blocks.
 BROADCAST_BYTES = 64 << 20
@@ -74,9 +75,10 @@ def _check_k(k: int) -> None:
         raise ValueError("k must be a whole number of at least 0")
 
 
-def _size(df: DataFrame) -> int:
-    """Bytes that Spark expects of a plan; very large where nothing is known."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def _bytes(df: DataFrame, vector: str) -> int:
+    """Bytes of a side's vectors as numbers: counted rows times the largest dimension."""
+    found = df.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size(vector)), F.lit(1)).alias("dims")).first()
+    return found.n * 8 * max(1, found.dims)
 
 
 def knn_join(left: DataFrame, right: DataFrame, left_key: str, left_vector: str, right_key: str, right_vector: str, k: int, function: str = "array_distance", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -96,7 +98,7 @@ def knn_join(left: DataFrame, right: DataFrame, left_key: str, left_vector: str,
     schema = T.StructType([T.StructField("_l", l.schema["_l"].dataType), T.StructField("_r", r.schema["_r"].dataType), T.StructField("_d", T.DoubleType())])
     if k == 0:
         best = left.sparkSession.createDataFrame([], schema)
-    elif _size(r) <= broadcast_bytes:
+    elif _bytes(r, "_w") <= broadcast_bytes:
         rows = r.collect()
         shared = left.sparkSession.sparkContext.broadcast(_side([x[0] for x in rows], [x[1] for x in rows]))
 
@@ -130,43 +132,37 @@ def _side(keys: list, vectors: list) -> tuple[list, np.ndarray, np.ndarray]:
 
 def _block(left: pd.DataFrame, right: tuple[list, np.ndarray, np.ndarray], k: int, function: str) -> pd.DataFrame:
     keys, has, matrix = right
-    out: list[tuple] = []
     real, without = np.flatnonzero(has), np.flatnonzero(~has)
-    known = [v is not None and not any(x is None for x in v) for v in left["_v"]]
-    if len(matrix) and any(known):
+    known = np.array([v is not None and not any(x is None for x in v) for v in left["_v"]], bool)
+    # parts of the result: left row, right row, distance
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    near = 0
+    if len(matrix) and known.any():
         queries = np.stack([np.asarray(v, float) for v, ok in zip(left["_v"], known, strict=True) if ok])
         if queries.shape[1] != matrix.shape[1]:
             raise ValueError(f"vectors have different dimensions: {queries.shape[1]} and {matrix.shape[1]}")
-        near = _exact(function, queries, matrix, min(k, len(matrix)))
-    at = 0
-    for key, ok in zip(left["_l"], known, strict=True):
-        if ok and len(matrix):
-            ids, dist = near[at]
-            picked = [(key, keys[real[i]], d) for i, d in zip(ids, dist, strict=True)]
-        else:
-            picked = []
-        at += ok
-        if len(picked) < k:
-            rest = without if ok else range(len(keys))
-            picked += [(key, keys[i], None) for i in list(rest)[: k - len(picked)]]
-        out += picked
-    return pd.DataFrame(out, columns=["_l", "_r", "_d"])
-
-
-def _exact(function: str, queries: np.ndarray, matrix: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The k nearest of each query, ties in the matrix's order. The product only picks; what it picks is computed anew."""
+        near = min(k, len(matrix))
+        row, column, dist = _exact(function, queries, matrix, near)
+        parts.append((np.flatnonzero(known)[row], real[column], dist))
+    for rows, rest in ((np.flatnonzero(known), without[: k - near]), (np.flatnonzero(~known), np.arange(min(k, len(keys))))):
+        parts.append((np.repeat(rows, len(rest)), np.tile(rest, len(rows)), np.full(len(rows) * len(rest), np.nan)))
+    rows, columns, dist = (np.concatenate(p) for p in zip(*parts, strict=True))
+    order = np.argsort(rows, kind="stable")
+    picked = pd.Series(keys, dtype=object).to_numpy()[columns[order]] if len(keys) else np.zeros(0, object)
+    distances = pd.Series(dist[order]).astype(object).where(~np.isnan(dist[order]), None)
+    return pd.DataFrame({"_l": left["_l"].to_numpy()[rows[order]], "_r": pd.Series(picked).infer_objects(), "_d": distances})
+
+
+def _exact(function: str, queries: np.ndarray, matrix: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of the k nearest of each query, ties in the matrix's order. The product only picks; what it picks is computed anew."""
     rough = batch_distances(function, queries, matrix)
-    out = []
-    for q, row in zip(queries, rough, strict=True):
-        limit = np.partition(row, k - 1)[k - 1]
-        ids = np.flatnonzero(row <= limit + 1e-6 * (1 + abs(limit)))
-        if function == "array_distance":
-            exact = np.sqrt(((matrix[ids] - q) ** 2).sum(1))
-        else:
-            exact = row[ids]
-        best = np.lexsort((ids, exact))[:k]
-        out.append((ids[best], exact[best]))
-    return out
+    limit = np.partition(rough, k - 1, axis=1)[:, k - 1]
+    query, row = np.nonzero(rough <= (limit + 1e-6 * (1 + np.abs(limit)))[:, None])
+    exact = np.sqrt(((matrix[row] - queries[query]) ** 2).sum(1)) if function == "array_distance" else rough[query, row]
+    order = np.lexsort((row, exact, query))
+    query, row, exact = query[order], row[order], exact[order]
+    best = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[best], row[best], exact[best]
 
 
 #: For each metric of the table macros: what scores a pair, and whether larger scores come first.
@@ -177,7 +173,7 @@ def vss_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str, k
     """(score, left_tbl, right_tbl): for each left row the k best right rows, both as structs.
 
     With 'l2sq' the score is the distance, smallest first; with 'cosine' and 'ip' the similarity,
-    largest first. The keys must identify rows; without them the rows are numbered.
+    largest first. The keys must identify rows; without them the rows are written once with numbers.
     """
     if metric not in _MACRO:
         raise ValueError("Unknown metric")
@@ -193,7 +189,7 @@ def vss_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str, k
 
 
 def _numbered(df: DataFrame, key: str | None, name: str) -> tuple[DataFrame, str]:
-    return (df, key) if key else (df.withColumn(name, F.monotonically_increasing_id()), name)
+    return (df, key) if key else (fixed(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name)
 
 
 def vss_match(left: DataFrame, right: DataFrame, left_col: str, right_col: str, k: int, metric: str = "l2sq", left_key: str | None = None, right_key: str | None = None) -> DataFrame:
@@ -217,11 +213,28 @@ def mutual_matches(left: DataFrame, right: DataFrame, left_key: str, left_vector
     return ahead.join(back, ["a", "b"]).filter("dist is not null").select(F.col("a").alias(left_key), F.col("b").alias(right_key if right_key != left_key else f"right_{right_key}"), "dist")
 
 
-def distance_between(a: DataFrame, b: DataFrame, column: str, function: str = "array_distance") -> DataFrame:
-    """One row with min, mean and max of the distances between the vectors of two selections of few keys."""
-    x, y = a.select(F.col(column).alias("_a")), b.select(F.col(column).alias("_b"))
-    d = distance(function, F.col("_a"), F.col("_b"))
-    return x.join(F.broadcast(y) if _size(y) <= BROADCAST_BYTES else y).select(d.alias("d")).agg(F.min("d").alias("min"), F.avg("d").alias("mean"), F.max("d").alias("max"))
+def distance_between(a: DataFrame, b: DataFrame, column: str, function: str = "array_distance", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """One row with min, mean and max of the distances between the vectors of two selections; null vectors have none.
+
+    A small second side goes to all tasks. Of two large ones blocks meet blocks, and a pair of blocks gives one row.
+    """
+    x, y = (d.select(F.col(column).cast("array<double>").alias(n)).filter(F.col(n).isNotNull()) for d, n in ((a, "_a"), (b, "_b")))
+    if _bytes(y, "_b") <= broadcast_bytes:
+        d = distance(function, F.col("_a"), F.col("_b"))
+        return x.join(F.broadcast(y)).select(d.alias("d")).agg(F.min("d").alias("min"), F.avg("d").alias("mean"), F.max("d").alias("max"))
+    name = METRICS.get(function, function)
+    n_x, n_y = (max(1, -(-d.count() // BLOCK_ROWS)) for d in (x, y))
+    xb = x.withColumn("_x", F.pmod(F.xxhash64("_a"), F.lit(n_x))).withColumn("_y", F.explode(F.sequence(F.lit(0), F.lit(n_y - 1)).cast("array<bigint>")))
+    yb = y.withColumn("_y", F.pmod(F.xxhash64("_b"), F.lit(n_y))).withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(n_x - 1)).cast("array<bigint>")))
+
+    def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(q):
+            return pd.DataFrame({"least": [], "total": [], "n": [], "most": []})
+        d = batch_distances(name, np.stack(p["_a"].to_numpy()), np.stack(q["_b"].to_numpy()))
+        return pd.DataFrame({"least": [d.min()], "total": [d.sum()], "n": [d.size], "most": [d.max()]})
+
+    met = xb.groupBy("_x", "_y").cogroup(yb.groupBy("_x", "_y")).applyInPandas(run, "least double, total double, n long, most double")
+    return met.agg(F.min("least").alias("min"), (F.sum("total") / F.sum("n")).alias("mean"), F.max("most").alias("max"))
 
 
 def with_tags(df: DataFrame, column: str, every: Sequence[int] = (), some: Sequence[int] = ()) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vecsql.storage import fixed
+
 #: By suffix: type of an element in the file. Each file begins with two int32: rows and dimensions.
 VECTOR_FILES = {"fbin": "<f4", "u8bin": "u1", "i8bin": "i1", "ibin": "<i4"}
 #: Bytes of vectors that one task reads.
@@ -101,17 +103,17 @@ def read_delimited(spark: SparkSession, path: str, schema: str | T.StructType, s
 def zip_rows(table: DataFrame, vectors: DataFrame, order: Sequence[str], name: str = "vector", ordinal: str = "ordinal") -> DataFrame:
     """Row i of the table, in the given order, with vector i.
 
-    Ordinals come from the rows of each range of a sort and the sums of the ranges before it: a
-    distributed sort, not one task that numbers everything.
+    The sorted rows are written once with the number of their range and their place in it; ordinals add the
+    rows of the ranges before: a distributed sort, not one task that numbers everything.
     """
-    from pyspark.sql import Row
-
-    ordered = table.orderBy(*order)
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: Row(*x[0], x[1]))
-    schema = T.StructType([*table.schema.fields, T.StructField("_ordinal", T.LongType())])
-    numbered = table.sparkSession.createDataFrame(numbered, schema)
+    placed = fixed(table.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()), "ordered")
+    placed = placed.withColumn("_part", F.shiftright("_place", 33))
+    counts = placed.groupBy("_part").count().orderBy("_part").collect()  # a number a range
+    sums = np.cumsum([0, *(r["count"] for r in counts)]).tolist()
+    before = table.sparkSession.createDataFrame([(r["_part"], n) for r, n in zip(counts, sums, strict=False)], "_part long, _before long")
+    numbered = placed.join(F.broadcast(before), "_part").withColumn("_ordinal", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before"))
     right = vectors.select(F.col(ordinal).alias("_ordinal"), F.col("vector").alias(name))
-    return numbered.join(right, "_ordinal", "left").drop("_ordinal")
+    return numbered.drop("_place", "_part", "_before").join(right, "_ordinal", "left").drop("_ordinal")
 
 
 def read_tags(spark: SparkSession, path: str) -> DataFrame:
@@ -120,8 +122,12 @@ def read_tags(spark: SparkSession, path: str) -> DataFrame:
     if first is None or first.value.lstrip().startswith("[["):
         found = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<array<int>>")).alias("ordinal", "tags"))
         return found.select(F.col("ordinal").cast("long"), "tags")
-    lines = spark.read.text(path).rdd.map(lambda r: r.value).zipWithIndex()
-    numbered = spark.createDataFrame(lines, "value string, ordinal long")
+    # lines are numbered by the blocks that a file is read in
+    lines = spark.read.text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    blocks = lines.groupBy("block").agg(F.min("place").alias("first"), F.count("*").alias("count")).orderBy("block").collect()
+    sums = np.cumsum([0, *(b["count"] for b in blocks)]).tolist()
+    table = spark.createDataFrame([(tuple(b["block"]), b["first"], n) for b, n in zip(blocks, sums, strict=False)], "block struct<file_path:string,file_block_start:long>, first long, before long")
+    numbered = lines.join(F.broadcast(table), "block").withColumn("ordinal", F.col("place") - F.col("first") + F.col("before"))
     return numbered.select("ordinal", F.from_json("value", "array<int>").alias("tags"))
 
 
@@ -144,19 +150,26 @@ def index_lists(entries: DataFrame, rows: int | None = None, threshold: float |
     return every.join(lists, "row", "left").withColumn("indices", F.coalesce("indices", F.array().cast("array<int>")))
 
 
-def _triples(indptr: np.ndarray, indices: np.ndarray, data: np.ndarray) -> list[tuple[int, int, float]]:
-    row = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
-    return list(zip(row.tolist(), indices.tolist(), np.asarray(data, float).tolist(), strict=True))
+#: Rows of a sparse matrix that one task takes from a raw file.
+SPARSE_ROWS = 1 << 20
+_ENTRY = "row long, col long, val double"
+
+
+def _entries(first: int, indptr: np.ndarray, indices: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of the entries of CSR parts, some at a time; first: number of the first row."""
+    row = np.repeat(np.arange(first, first + len(indptr) - 1), np.diff(indptr))
+    for a in range(0, len(row), 100_000):
+        columns = row[a : a + 100_000], np.asarray(indices[a : a + 100_000], np.int64), np.asarray(data[a : a + 100_000], float)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "col", "val"])
 
 
 def read_sparse(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[int, int]]:
     """Entries (row, col, val) and shape of a sparse matrix: .npz (CSR parts), .npy (a pickled matrix or
     a dense array), .mtx (MatrixMarket) or raw CSR (.spmat: int64 rows, columns, entries; int64 pointers; int32 columns; float32 values).
 
-    A .mtx file is read in parallel by lines, the binary kinds by one task each. A pickle runs code
-    when it is loaded: read only files of one's own.
+    A .mtx file is read in parallel by lines, a raw one by ranges of rows, the other kinds by a task each; no matrix comes to the driver.
+    A pickle runs code when it is loaded: read only files of one's own.
     """
-    schema = "row long, col long, val double"
     if path.endswith(".mtx"):
         lines = spark.read.text(path).filter(~F.col("value").startswith("%") & (F.trim("value") != ""))
         head = lines.first().value.split()
@@ -164,39 +177,59 @@ def read_sparse(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[int, i
         body = lines.filter(F.trim("value") != " ".join(head)) if len(head) == 3 else lines
         entries = body.select((parts[0].cast("long") - 1).alias("row"), (parts[1].cast("long") - 1).alias("col"), F.coalesce(F.try_element_at(parts, F.lit(3)).cast("double"), F.lit(1.0)).alias("val"))
         return entries, (int(head[0]), int(head[1]))
-    content = bytes(spark.read.format("binaryFile").load(path).select("content").first().content)
-    triples, shape = parse_sparse(content, path.rsplit(".", 1)[-1])
-    return spark.createDataFrame(triples, schema), shape
+    kind = path.rsplit(".", 1)[-1]
+    whole = spark.read.format("binaryFile").load(path).select("content")
+
+    def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                found = parse_sparse(content.as_buffer(), kind)[0]
+                yield pa.RecordBatch.from_arrays([pa.array([int(n)]) for n in found], ["rows", "columns"])
+
+    def whole_matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                yield from _entries(0, *parse_sparse(content.as_buffer(), kind)[1])
+
+    def some_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                _, (indptr, indices, data) = parse_sparse(content.as_buffer(), kind)
+                own = indptr[first : first + SPARSE_ROWS + 1]
+                yield from _entries(first, own - own[0], indices[own[0] : own[-1]], data[own[0] : own[-1]])
+
+    rows, columns = whole.mapInArrow(shape, "rows long, columns long").first()
+    if kind in ("npz", "npy", "pkl"):
+        return whole.mapInArrow(whole_matrix, _ENTRY), (rows, columns)
+    parts = max(1, -(-rows // SPARSE_ROWS))
+    firsts = spark.range(0, parts, 1, parts).select((F.col("id") * SPARSE_ROWS).alias("first"))
+    return firsts.join(F.broadcast(whole)).mapInArrow(some_rows, _ENTRY), (rows, columns)
 
 
-def parse_sparse(content: bytes, kind: str) -> tuple[list[tuple[int, int, float]], tuple[int, int]]:
+def parse_sparse(content: bytes | pa.Buffer, kind: str) -> tuple[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Shape, and row pointers, columns and values."""
     if kind == "npz":
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             part = {n[:-4]: np.load(io.BytesIO(z.read(n)), allow_pickle=False) for n in z.namelist()}
-        shape = tuple(int(x) for x in part["shape"])
-        return _triples(part["indptr"], part["indices"], part["data"]), shape
+        return tuple(int(x) for x in part["shape"]), (part["indptr"], part["indices"], part["data"])
     if kind == "npy":
         matrix = np.load(io.BytesIO(content), allow_pickle=True)
-        matrix = matrix.item() if matrix.dtype == object and matrix.ndim == 0 else matrix
-        if hasattr(matrix, "tocsr"):
-            matrix = matrix.tocsr()
-            return _triples(matrix.indptr, matrix.indices, matrix.data), matrix.shape
-        if isinstance(matrix, dict):
-            return _triples(matrix["indptr"], matrix["indices"], matrix["data"]), tuple(matrix["shape"])
-        r, c = np.nonzero(matrix)
-        return list(zip(r.tolist(), c.tolist(), matrix[r, c].astype(float).tolist(), strict=True)), matrix.shape
+        return _csr(matrix.item() if matrix.dtype == object and matrix.ndim == 0 else matrix)
     if kind == "pkl":
-        return parse_sparse(_npy(pickle.loads(content)), "npy")
-    rows, columns, n = np.frombuffer(content, "<i8", 3)
-    indptr = np.frombuffer(content, "<i8", rows + 1, 24)
+        return _csr(pickle.loads(bytes(content)))
+    rows, columns, n = (int(x) for x in np.frombuffer(content, "<i8", 3))
     at = 24 + 8 * (rows + 1)
-    return _triples(indptr, np.frombuffer(content, "<i4", n, at), np.frombuffer(content, "<f4", n, at + 4 * n)), (int(rows), int(columns))
+    return (rows, columns), (np.frombuffer(content, "<i8", rows + 1, 24), np.frombuffer(content, "<i4", n, at), np.frombuffer(content, "<f4", n, at + 4 * n))
 
 
-def _npy(x) -> bytes:
-    out = io.BytesIO()
-    np.save(out, np.array(x, dtype=object) if isinstance(x, dict) else x, allow_pickle=True)
-    return out.getvalue()
+def _csr(matrix) -> tuple[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    if hasattr(matrix, "tocsr"):
+        matrix = matrix.tocsr()
+        return matrix.shape, (matrix.indptr, matrix.indices, matrix.data)
+    if isinstance(matrix, dict):
+        return tuple(matrix["shape"]), (matrix["indptr"], matrix["indices"], matrix["data"])
+    row, column = np.nonzero(matrix)
+    return matrix.shape, (np.searchsorted(row, np.arange(matrix.shape[0] + 1)), column, matrix[row, column])
 
 
 def write_lists(lists: DataFrame, path: str, kind: str = "jsonl") -> None:

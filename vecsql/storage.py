@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 #: Folders of intermediate tables and of indexes that queries made for themselves, by session.
@@ -43,3 +44,11 @@ def shared_dir(spark: SparkSession) -> str:
         _own.append(tempfile.mkdtemp(prefix="vecsql-"))
         atexit.register(shutil.rmtree, _own[0], True)
     return f"file://{_own[0]}"
+
+
+def fixed(df: DataFrame, name: str = "table") -> DataFrame:
+    """The frame written once below the shared folder and read from there: numbers made from its order stay as they are."""
+    spark = df.sparkSession
+    path = remember(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -534,5 +535,45 @@ def s13(spark, sf_dir):
     return loaders.index_lists(entries, threshold=25.0).select("row", F.array_join(F.col("indices").cast("array<string>"), ",").alias("indices"))
 
 
+def _file(spark: SparkSession, name: str) -> str:
+    return remember(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}-{name}")
+
+
+@query("s08_vector_file", "SELECT vec_id AS ordinal, round(list_sum(embedding::DOUBLE[]), 5) + 0.0::DOUBLE AS total FROM embeddings")
+def s08(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").orderBy("vec_id").select("embedding").toPandas()["embedding"]
+    path, jvm = _file(spark, "vectors.fbin"), spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(np.array([len(rows), len(rows[0])], "<i4").tobytes() + np.stack(rows).astype("<f4").tobytes()))
+    out.close()
+    return loaders.read_vectors(spark, path).select("ordinal", (F.round(F.aggregate(D.vector("vector"), F.lit(0.0), lambda s, x: s + x), 5) + F.lit(0.0)).alias("total"))
+
+
+@query("s10_delimited", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def s10(spark, sf_dir):
+    path = _file(spark, "nation.tbl")
+    table(spark, sf_dir, "nation").select(F.concat_ws("|", "n_nationkey", "n_name", "n_regionkey", F.lit("")).alias("value")).write.text(path)
+    return loaders.read_delimited(spark, path, "n_nationkey int, n_name string, n_regionkey int")
+
+
+@query("s12_tags", "SELECT vec_id AS ordinal, label AS first_tag, (vec_id % 5)::INT AS second_tag FROM embeddings")
+def s12(spark, sf_dir):
+    path = _file(spark, "tags.jsonl")
+    lists = table(spark, sf_dir, "embeddings").orderBy("vec_id").select(F.to_json(F.array(F.col("label").cast("int"), (F.col("vec_id") % 5).cast("int"))).alias("value"))
+    lists.coalesce(1).write.text(path)
+    return loaders.read_tags(spark, path).select("ordinal", F.col("tags")[0].alias("first_tag"), F.col("tags")[1].alias("second_tag"))
+
+
+@query("s13_matrix_market", "SELECT vec_id AS \"row\", label::BIGINT AS col, round(list_sum(embedding::DOUBLE[]), 6) AS val FROM embeddings")
+def s13_mtx(spark, sf_dir):
+    path, e = _file(spark, "matrix.mtx"), table(spark, sf_dir, "embeddings")
+    total = F.round(F.aggregate(D.vector("embedding"), F.lit(0.0), lambda s, x: s + x), 6)
+    lines = e.select(F.concat_ws(" ", F.col("vec_id") + 1, F.col("label") + 1, total.cast("string")).alias("value"), F.lit(1).alias("at"))
+    head = e.agg(F.concat_ws(" ", F.max("vec_id") + 1, F.max("label") + 1, F.count("*")).alias("value")).withColumn("at", F.lit(0))
+    lines.union(head).orderBy("at").select("value").coalesce(1).write.text(path)
+    return loaders.read_sparse(spark, path)[0]
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["qh03"](spark, sf_dir)

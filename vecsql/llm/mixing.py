@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, unused
@@ -25,35 +25,38 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def targets(sources: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
-    """Targets of the sources in ``(source, source_size)``.
+def targets(sources: DataFrame, weights: Sequence[int], most: int, scratch: Scratch) -> DataFrame:
+    """Targets of the sources in ``(source, source_size)``, one row each; there may be as many as web hosts.
 
-    Sources in the order of their names (by code point, null last) take the weights in turn. A
-    target stops at ``most`` times its source's size and what it leaves is shared by weight among
-    the others until none is above. In ascending order of size for its weight, the sources that
-    stop are the first ones, so the level of the rest follows from running sums: the highest level that fits
-    its own source is the right one. There is one row a source here, and one task ranks them.
+    Sources in the order of their names (by code point, null last) take the weights in turn: they are sorted by
+    ranges and written with their place, and ranks add the rows of the ranges before. A target stops at ``most`` times its
+    source's size and what it leaves is shared by weight among the others until none is above: the level at which the
+    rest is shared rises as sources stop, so a few sums over all of them, each with those that stop at the level
+    so far, find it.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("rn") % len(weights) + 1).cast("int"))
-    ranked = sources.withColumn("rn", F.row_number().over(by_name) - 1).withColumn("weight", weight.cast("long"))
-    ranked = ranked.withColumn("most", F.col("source_size") * F.lit(int(most)))
-    by_need = Window.orderBy(F.col("most") / F.col("weight"), "rn").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    levels = (
-        ranked.withColumn("stopped", F.coalesce(F.sum("most").over(by_need), F.lit(0)))
-        .withColumn("gone", F.coalesce(F.sum("weight").over(by_need), F.lit(0)))
-        .withColumn("total", F.sum("source_size").over(every))
-        .withColumn("all_weight", F.sum("weight").over(every))
-        .withColumn("level", (F.col("total") - F.col("stopped")) / (F.col("all_weight") - F.col("gone")))
-    )
-    fits = F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level"))
-    level = F.max(fits).over(every)
-    return levels.select(
-        "source",
-        "source_size",
-        F.least(F.coalesce(level * F.col("weight"), F.col("most").cast("double")), F.col("most").cast("double")).alias("target"),
-    )
+    placed = scratch.save(sources.orderBy(F.col("source").asc_nulls_last()).withColumn("place", F.monotonically_increasing_id()), "placed")
+    placed = placed.withColumn("part", F.shiftright("place", 33))
+    counts = placed.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()  # a number a range
+    before = [(r["part"], sum(x.n for x in counts[:i])) for i, r in enumerate(counts)]
+    before = placed.sparkSession.createDataFrame(before, "part long, before long")
+    rank = F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    ranked = placed.join(F.broadcast(before), "part").withColumn("rank", rank).withColumn("weight", weight.cast("long"))
+    ranked = ranked.select("source", "source_size", "weight", (F.col("source_size") * F.lit(int(most))).alias("most"))
+    ranked = scratch.save(ranked, "ranked")
+    level, stopping = 0.0, -1
+    while True:
+        stops = F.col("most") < F.lit(level) * F.col("weight")
+        sums = ranked.agg(
+            F.coalesce(F.sum("source_size"), F.lit(0)).alias("total"),
+            F.coalesce(F.sum(F.when(stops, F.col("most"))), F.lit(0)).alias("stopped"),
+            F.coalesce(F.sum(F.when(~stops, F.col("weight"))), F.lit(0)).alias("sharing"),
+            F.count(F.when(stops, True)).alias("stopping"),
+        ).first()
+        if sums.stopping == stopping or not sums.sharing:
+            break
+        level, stopping = (sums.total - sums.stopped) / sums.sharing, sums.stopping
+    return ranked.select("source", "source_size", F.least(F.lit(level) * F.col("weight"), F.col("most").cast("double")).alias("target"))
 
 
 def draw(seed: str, *keys: Column) -> Column:
@@ -75,7 +78,7 @@ def mixed(
     docs = docs.drop("size", "source_size", "target", "copies").withColumn("size", n_words(F.col("text")))
     scratch = Scratch(spark, "mixing")
     sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    table = scratch.save(targets(sums, weights, most), "targets")
+    table = scratch.save(targets(sums, weights, most, scratch), "targets")
     few = table.count() <= BROADCAST_SOURCES
     its_source = unused("its_source", docs)
     table = table.withColumnRenamed("source", its_source)

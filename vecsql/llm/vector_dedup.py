@@ -2,10 +2,10 @@
 
 Equal vectors are one node. Nodes are dealt into shards by a hash, a navigable small-world graph
 is built for each, and blocks of nodes are searched in every shard. Beams widen in two ways: a
-query whose whole beam is linked is searched again with twice the beam until it isn't, and a block
-whose audit - the exact links of some of its queries, the query itself left out, each query that has links weighing
-as much - finds too few of them is searched again. A
-block that fails with the widest beam is compared with the shard as a whole, so no audit stays
+query whose whole beam is linked is searched again with twice the beam until it isn't, and a block is
+audited first: some of its queries that have links, by exact comparison and not counting themselves, are searched for with
+wider and wider beams until on average nearly all links of a query are found; the whole block then gets that beam. A
+block that fails with the widest one is compared with the shard as a whole, so no audit stays
 failed. Links are verified in double precision. A block returns counts and a spanning forest of
 its links, not the links, so a group of n copies costs n rows, and its forests make the components.
 A link counts for the side that found it; both sides of a pair are searched for.
@@ -30,9 +30,10 @@ SHARDS, SHARD_NODES, SHARD_BYTES, GRAPH_BYTES = 6, 50_000, 64 << 20, 256
 #: Queries that a task searches for in one shard.
 BLOCK_NODES = 16_384
 BATCH = 256
-FIRST_BEAM, LAST_BEAM = 32, 512
-#: Queries with and without found links that an audit takes, and the mean recall that it asks for.
-AUDITED, LEAST_RECALL = 64, 0.99
+#: Beyond the last beam, comparing a query with a whole shard takes less time than the search.
+FIRST_BEAM, LAST_BEAM = 32, 128
+#: Queries with links that an audit takes, those it draws to find them, and the mean recall that it asks for.
+AUDITED, DRAWN, LEAST_RECALL = 64, 4096, 0.99
 #: Links that are made into a forest at once.
 FOREST_LINKS = 1 << 20
 #: What single precision may take from a cosine.
@@ -86,7 +87,7 @@ def found_links(graph: Graph, queries: np.ndarray, beam: int, cosine: float) ->
         again = []
         for a in range(0, len(todo), BATCH):
             own = todo[a : a + BATCH]
-            if wide >= n or wide > 4 * LAST_BEAM:  # as wide as a group: the shard as a whole is cheaper
+            if wide >= n or wide > LAST_BEAM:  # as wide as a group: the shard as a whole is cheaper
                 hit = queries[own] @ graph.vectors.T >= cosine - SLACK
                 for q, h in zip(own.tolist(), hit, strict=True):
                     out[q] = np.flatnonzero(h)
@@ -102,24 +103,30 @@ def found_links(graph: Graph, queries: np.ndarray, beam: int, cosine: float) ->
 
 
 def audited_links(graph: Graph, queries: np.ndarray, cosine: float, own: np.ndarray | None = None, seed: int = 3) -> tuple[list[np.ndarray], int, float]:
-    """Links of all queries whose audit passed, the beam it took (0: the shard as a whole) and the recall it found.
+    """Links of all queries with the beam that passed the audit, that beam (0: the shard as a whole) and its recall.
 
     own: for each query its own number in the graph, or -1; finding oneself doesn't count.
     """
-    rng = np.random.default_rng(seed)
-    beam = FIRST_BEAM
     own = np.full(len(queries), -1) if own is None else own
+    drawn = np.random.default_rng(seed).permutation(len(queries))[:DRAWN]
+    some: list[int] = []
+    truth: list[np.ndarray] = []
+    for a in range(0, len(drawn), BATCH):
+        part = drawn[a : a + BATCH]
+        true = queries[part] @ graph.vectors.T >= cosine + SLACK
+        at = np.flatnonzero(own[part] >= 0)
+        true[at, own[part][at]] = False
+        linked = np.flatnonzero(true.any(1))
+        some += part[linked].tolist()
+        truth += [np.flatnonzero(true[i]) for i in linked]
+        if len(some) >= AUDITED:
+            break
+    beam = FIRST_BEAM
     while beam <= LAST_BEAM:
-        links = found_links(graph, queries, beam, cosine)
-        linked = np.array([len(x) > int(o >= 0) for x, o in zip(links, own.tolist(), strict=True)], bool)
-        some = np.concatenate([rng.permutation(np.flatnonzero(kind))[:AUDITED] for kind in (linked, ~linked)])
-        true = queries[some] @ graph.vectors.T >= cosine + SLACK
-        at = np.flatnonzero(own[some] >= 0)
-        true[at, own[some][at]] = False
-        shares = [np.isin(np.flatnonzero(t), links[q]).mean() for q, t in zip(some.tolist(), true, strict=True) if t.any()]
-        recall = float(np.mean(shares)) if shares else 1.0
+        found = found_links(graph, queries[some], beam, cosine)
+        recall = float(np.mean([np.isin(t, f).mean() for t, f in zip(truth, found, strict=True)])) if some else 1.0
         if recall >= LEAST_RECALL:
-            return links, beam, recall
+            return found_links(graph, queries, beam, cosine), beam, recall
         beam *= 2
     out = []
     for a in range(0, len(queries), BATCH):

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from vecsql.functions import distance as D
 from vecsql.operators import search
-from vecsql.operators.index import Catalog, knn_join_indexed
+from vecsql.operators.index import EF_SEARCH, Catalog, knn_join_indexed
 from vecsql.plans import sqlfront, tpcds, tpch
-from vecsql.plans.estimate import State, States, probe, q_error, sampled
+from vecsql.plans.estimate import State, States, probe, q_error, sampled, setting
 from vecsql.plans.planner import plan
 from vecsql.schema import derived, query_vector, table, views, with_clause
 from vecsql.sources import loaders
@@ -535,6 +535,123 @@ def s13(spark, sf_dir):
     return loaders.index_lists(entries, threshold=25.0).select("row", F.array_join(F.col("indices").cast("array<string>"), ",").alias("indices"))
 
 
+# aggregates, functions and settings around the searches
+
+
+@query("a07_any_value", "SELECT label, any_value(label % 3)::INT AS any_mod FROM embeddings GROUP BY label")
+def a07(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.any_value(F.col("label") % 3).cast("int").alias("any_mod"))
+
+
+@query("a08_bool_and", f"SELECT label, bool_and(list_distance(embedding::DOUBLE[], {Q}) < 1.5) AS all_near FROM embeddings GROUP BY label")
+def a08(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.bool_and(D.euclidean("embedding", query_vector(spark, sf_dir)) < 1.5).alias("all_near"))
+
+
+@query("f08_table_by_name", "SELECT count(*) AS n FROM nation")
+def f08(spark, sf_dir):
+    table(spark, sf_dir, "nation").createOrReplaceTempView("nation")
+    return sqlfront.run(spark, "SELECT count(*) AS n FROM IDENTIFIER('na' || 'tion')")
+
+
+@query(
+    "f11_grid",
+    """SELECT x, y, z, round(d, 6) AS dist FROM (SELECT a.range AS x, b.range AS y, c.range AS z, list_distance([a.range, b.range, c.range]::DOUBLE[], [1, 2, 3]::DOUBLE[]) AS d
+      FROM range(1, 10) a, range(1, 10) b, range(1, 10) c) ORDER BY d, x, y, z LIMIT 7""",
+)
+def f11(spark, sf_dir):
+    grid = spark.range(729).select(*((F.floor(F.col("id") / 9**n) % 9 + 1).cast("long").alias(c) for n, c in enumerate("zyx")))
+    grid = grid.withColumn("id", F.col("x") * 100 + F.col("y") * 10 + F.col("z")).withColumn("vec", F.array("x", "y", "z").cast("array<double>"))
+    return search.top_k(grid, "vec", [1, 2, 3], 7, "id").select("x", "y", "z", F.round("dist", 6).alias("dist"))
+
+
+@query("f12_q_error", "SELECT event_id, round(greatest(greatest(value, 1) / greatest(user_id, 1), greatest(user_id, 1) / greatest(value, 1)), 6) AS q_error FROM events WHERE event_id < 500")
+def f12(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").filter("event_id < 500").select("event_id", "value", "user_id").collect()
+    return spark.createDataFrame([(r.event_id, q_error(float(r.value), float(r.user_id))) for r in rows], "event_id long, q_error double").withColumn("q_error", F.round("q_error", 6))
+
+
+@query("e10_update_rule", "SELECT round(385 + 0.1 * g, 6) AS sample_size, round(0.1 * g, 6) AS v_grad, 0.099 AS learning_rate FROM (SELECT 50 * (1.45 - 1.5) - 50 * (385.0 / count(*)) AS g FROM embeddings)")
+def e10(spark, sf_dir):
+    state, rows = State("embeddings", "embedding", 385.0), table(spark, sf_dir, "embeddings").count()
+    for i in range(50):
+        state.learn(1 + 0.1 * (i % 10), rows)
+    return spark.createDataFrame([(round(state.sample_size, 6), round(state.v_grad, 6), round(state.learning_rate, 6))], "sample_size double, v_grad double, learning_rate double")
+
+
+@query("e12_settings", "SELECT 385.0::DOUBLE AS sample_size, 50 AS cycle, true AS updates, true AS out_of_range")
+def e12(spark, sf_dir):
+    found = [setting(spark.newSession(), f"vecsql.{n}") for n in ("sample_size", "sample_update_cycle", "update_sample_size")]
+    other = spark.newSession()
+    other.conf.set("vecsql.sample_update_cycle", "1001")
+    try:
+        setting(other, "vecsql.sample_update_cycle")
+        wrong = False
+    except ValueError:
+        wrong = True
+    return spark.createDataFrame([(*found, wrong)], "sample_size double, cycle int, updates boolean, out_of_range boolean")
+
+
+@query("x07_drop", "SELECT 1 AS before, 0 AS after")
+def x07(spark, sf_dir):
+    catalog = _indexed(spark, sf_dir)
+    before = len(catalog.all())
+    catalog.drop("idx")
+    return spark.createDataFrame([(before, len(catalog.all()))], "before int, after int")
+
+
+@query("x09_search_setting", "SELECT true AS wider, count(*) AS found FROM embeddings")
+def x09(spark, sf_dir):
+    catalog = _indexed(spark, sf_dir)
+    index, other = catalog.get("idx"), spark.newSession()
+    other.conf.set(EF_SEARCH, "100000")
+    wide = Catalog(other, catalog.root)
+    found = wide.search("idx", query_vector(spark, sf_dir), 100_000).count()
+    return spark.createDataFrame([(wide.probes(index) == index.cells > catalog.probes(index), found)], "wider boolean, found long")
+
+
+@query("x10_keys", "SELECT true AS there, false AS renamed, true AS new_name, count(*) AS n FROM embeddings")
+def x10(spark, sf_dir):
+    catalog = _indexed(spark, sf_dir)
+    there = catalog.contains("idx", 3)
+    catalog.rename_key("idx", 3, -3)
+    return spark.createDataFrame([(there, catalog.contains("idx", 3), catalog.contains("idx", -3), catalog.count("idx"))], "there boolean, renamed boolean, new_name boolean, n long")
+
+
+@query("x11_index_by_function", "SELECT 'i_l2sq' AS of_distance, 'i_cosine' AS of_cosine, 'i_ip' AS of_product, 'i_l2sq' AS hinted")
+def x11(spark, sf_dir):
+    catalog = Catalog(spark, remember(spark, f"{shared_dir(spark)}/indexes-{uuid.uuid4().hex}"))
+    for metric in ("ip", "cosine", "l2sq"):
+        catalog.create(f"i_{metric}", "embeddings", table(spark, sf_dir, "embeddings"), "embedding", "vec_id", metric=metric)
+    names = [catalog.match("embeddings", "embedding", f).name for f in ("<->", "<=>", "<#>")]
+    return spark.createDataFrame([(*names, catalog.match("embeddings", "embedding", "<->", "i_l2sq").name)], "of_distance string, of_cosine string, of_product string, hinted string")
+
+
+@query("s16_reopened_index", _TOP.format(q=Q, where="", k=10))
+def s16(spark, sf_dir):
+    again = Catalog(spark, _indexed(spark, sf_dir).root)
+    found = again.search("idx", query_vector(spark, sf_dir), 10, exact=True)
+    return found.select(F.col("key").alias("vec_id"), F.round("dist", 6).alias("dist"))
+
+
+@query(
+    "u02_own_ranking",
+    f"""SELECT vec_id, round(greatest(p, q), 6) AS score FROM (SELECT vec_id, list_distance(embedding::DOUBLE[], {Q}) ** 2 AS p, list_distance(embedding::DOUBLE[], {Q1}) ** 2 AS q FROM embeddings)
+      ORDER BY greatest(p, q), vec_id LIMIT 10""",
+)
+def u02(spark, sf_dir):
+    terms = [(1.0, "embedding", query_vector(spark, sf_dir, n)) for n in (0, 1)]
+    out = search.weighted_top_k(table(spark, sf_dir, "embeddings"), terms, 10, "vec_id", combine=F.greatest)
+    return out.select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("u03_own_distance", f"SELECT vec_id, round({_total('abs(a[i] - b[i]) ** 3')}, 6) + 0.0::DOUBLE AS value FROM (SELECT vec_id, embedding::DOUBLE[] AS a, {Q} AS b FROM embeddings)")
+def u03(spark, sf_dir):
+    if "cubes" not in D.DISTANCES:
+        D.register("cubes", lambda a, b: F.aggregate(F.zip_with(D.vector(a), D.vector(b), lambda x, y: F.pow(F.abs(x - y), F.lit(3))), F.lit(0.0), lambda s, x: s + x))
+    return table(spark, sf_dir, "embeddings").select("vec_id", (F.round(D.distance("cubes", "embedding", query_vector(spark, sf_dir)), 6) + F.lit(0.0)).alias("value"))
+
+
 def _file(spark: SparkSession, name: str) -> str:
     return remember(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}-{name}")
 

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
@@ -28,8 +29,11 @@ def clean() -> None:
         spark, path = _made.pop()
         if spark.sparkContext._jsc is None:  # stopped before
             continue
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except (Py4JError, OSError):  # the JVM has gone already, and with it the way to the folders
+            _made.clear()
 
 
 def shared_dir(spark: SparkSession) -> str:

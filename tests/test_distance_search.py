@@ -176,3 +176,16 @@ def test_joins_without_keys_give_each_row_its_own(spark):
     left = spark.createDataFrame(rows, "name string, v array<double>").repartition(5).orderBy(F.rand(3))
     got = search.vss_join(left, left, "v", "v", 1).collect()
     assert len(got) == 40 and all(r.left_tbl.name == r.right_tbl.name and r.score == 0 for r in got)
+
+
+@pytest.mark.parametrize("name", ["array_distance", "l2sq", "l1", "array_inner_product", "array_negative_inner_product", "ip", "array_cosine_similarity", "array_cosine_distance", "<->"])
+def test_scans_in_batches(spark, name):
+    rng = np.random.default_rng(7)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 20)))] + [(100, None), (101, [0.0] * 20), (102, [None, *[1.0] * 19])]
+    df = spark.createDataFrame(rows, "id int, v array<float>").repartition(3)
+    for q in (rng.normal(size=20).tolist(), [0.0] * 20):
+        got = df.select("id", D.scan(name, "v", q).alias("a"), D.distance(name, "v", q).alias("b")).collect()
+        assert all((r.a is None) == (r.b is None) and (r.a is None or abs(r.a - r.b) < 1e-9) for r in got) and sum(r.a is None for r in got) == 2
+    with pytest.raises(Exception, match="different dimensions: 20 and 17"):
+        df.select(D.scan(name, "v", [1.0] * 17)).collect()
+    assert df.limit(0).select(D.scan(name, "v", [1.0] * 20)).count() == 0

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecsql.functions.distance import METRICS, distance, metric_of
+from vecsql.functions.distance import METRICS, distance, metric_of, scan
 
 #: The options and their defaults.
 DEFAULTS = {"metric": "l2sq", "ef_construction": 128, "ef_search": 64, "M": 16, "M0": 32}
@@ -485,7 +485,7 @@ class Catalog:
         def ranked(probed: Sequence[int] | None) -> DataFrame:
             rows = self.rows(name, probed)
             rows = rows if where is None else rows.filter(where)
-            scored = rows.select("key", distance(function, "vector", query.tolist()).alias("dist"))
+            scored = rows.select("key", scan(function, "vector", query.tolist()).alias("dist"))
             if after is not None:
                 scored = scored.filter((F.col("dist") > after[0]) | (F.col("dist") == after[0]) & (F.col("key") > F.lit(after[1])))
             return scored.orderBy("dist", "key").limit(k)
@@ -500,7 +500,7 @@ class Catalog:
         """(key, dist) of all rows within the radius: cells are ruled out, rows are not missed."""
         index = self.get(name)
         query = np.asarray(query, float)
-        found = self.rows(name, self._probed(index, query, None, radius)).select("key", distance(METRICS[index.metric], "vector", query.tolist()).alias("dist"))
+        found = self.rows(name, self._probed(index, query, None, radius)).select("key", F.explode(F.array(scan(METRICS[index.metric], "vector", query.tolist()))).alias("dist"))
         return found.filter(F.col("dist") <= radius if inclusive else F.col("dist") < radius)
 
     def relaxed(self, name: str, query: Sequence[float], radius: float, patience: int = 4) -> DataFrame:

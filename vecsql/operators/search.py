@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecsql.functions.distance import DISTANCES, METRICS, batch_distances, distance
+from vecsql.functions.distance import DISTANCES, METRICS, batch_distances, distance, scan
 from vecsql.storage import fixed
 
 #: The right side of a join goes to all tasks up to so many bytes; beyond it the join is done by blocks.
@@ -25,13 +25,13 @@ def top_k(df: DataFrame, column: str, query: Sequence[float], k: int, key: str,
     """The k rows nearest to a constant: one pass, each task keeps k rows."""
     _check_k(k)
     df = df if where is None else df.filter(where)
-    return df.withColumn(name, distance(function, column, query)).orderBy(F.col(name).asc_nulls_last(), key).limit(k)
+    return df.withColumn(name, scan(function, column, query)).orderBy(F.col(name).asc_nulls_last(), key).limit(k)
 
 
 def range_search(df: DataFrame, column: str, query: Sequence[float], radius: float, function: str = "array_distance", inclusive: bool = False, name: str = "dist") -> DataFrame:
     """Rows with a distance below (or up to) the radius; the distance is computed once."""
     # a projection that Catalyst does not merge with the filter: the array's only element
-    found = df.withColumn(name, F.explode(F.array(distance(function, column, query))))
+    found = df.withColumn(name, F.explode(F.array(scan(function, column, query))))
     return found.filter(F.col(name) <= radius if inclusive else F.col(name) < radius)
 
 
@@ -64,7 +64,7 @@ def weighted_top_k(df: DataFrame, terms: Sequence[tuple[float, str, Sequence[flo
     combine: takes the distances, in the order of the terms, and gives what to rank by instead.
     """
     _check_k(k)
-    parts = [distance(function, column, query) for _, column, query in terms]
+    parts = [scan(function, column, query) for _, column, query in terms]
     score = combine(*parts) if combine else sum((F.lit(float(w)) * p for (w, _, _), p in zip(terms, parts, strict=True)), F.lit(0.0))
     df = df if where is None else df.filter(where)
     return df.withColumn(name, score).orderBy(F.col(name).asc_nulls_last(), key).limit(k)

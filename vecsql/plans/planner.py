@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from vecsql.functions.distance import METRICS, distance
+from vecsql.functions.distance import METRICS, distance, scan
 from vecsql.operators.index import Catalog
 
 from .estimate import States, observed, probe, q_error, sampled, setting
@@ -206,7 +206,7 @@ def _by_index(side: DataFrame, p: VectorPredicate, catalog: Catalog, name: str,
 
 
 def _by_scan(side: DataFrame, p: VectorPredicate, dist: str, keep_vector: bool) -> DataFrame:
-    scored = side.withColumn(dist, F.explode(F.array(distance(p.function, p.column, p.query))))  # computed once
+    scored = side.withColumn(dist, F.explode(F.array(scan(p.function, p.column, p.query))))  # computed once
     if p.k is not None:
         found = scored.orderBy(F.col(dist).asc_nulls_last(), *([p.key] if p.key else [])).limit(p.k)
     else:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vecsql.schema import derived, query_vector, table
 
-from .planner import Join, VectorPredicate, VectorQuery, plan
+from .planner import Join, Plan, VectorPredicate, VectorQuery, plan
 
 RADIUS = 1.3
 
@@ -36,6 +36,16 @@ class Suite:
         self.spark, self.sf_dir, self.mode = spark, sf_dir, mode
         self.query = tuple(query or query_vector(spark, sf_dir))
         self.radius = radius
+        self.plans: list[Plan] = []
+
+    def plan(self, query: VectorQuery) -> Plan:
+        self.plans.append(plan(query, self.mode))
+        return self.plans[-1]
+
+    def release(self) -> None:
+        """Rows that were kept for the queries so far go."""
+        while self.plans:
+            self.plans.pop().release()
 
     def table(self, name: str) -> DataFrame:
         return derived(self.spark, self.sf_dir, name) if name == "partsupp" else table(self.spark, self.sf_dir, name)
@@ -47,7 +57,7 @@ class Suite:
         return VectorQuery(frames, joins, VectorPredicate("ps", "ps_embedding", self.query, self.radius), filters or {}, residual, columns)
 
     def joined(self, *args, **kwargs) -> DataFrame:
-        return plan(self.describe(*args, **kwargs), self.mode).frame
+        return self.plan(self.describe(*args, **kwargs)).frame
 
     @property
     def _dist(self):
@@ -173,7 +183,7 @@ class Suite:
             [Join("c", "o", (("c_custkey", "o_custkey"),)), Join("l", "o", (("l_orderkey", "o_orderkey"),)), Join("l", "ps", _PS)],
         )
         query.relations["o"] = query.relations["o"].join(large, F.col("o_orderkey") == F.col("k"), "left_semi")
-        return plan(query, self.mode).frame.orderBy("dist").select("c_name", "c_custkey", "o_orderkey", "o_orderdate", "o_totalprice", "l_quantity", self._dist)
+        return self.plan(query).frame.orderBy("dist").select("c_name", "c_custkey", "o_orderkey", "o_orderdate", "o_totalprice", "l_quantity", self._dist)
 
     def q20(self, prefix: str = "small", nations: Sequence[str] = ("NATION_1", "NATION_7", "NATION_15"), first: str = "1996-01-01", end: str = "1998-01-01", limit: int | None = None) -> DataFrame:
         lines = self.table("lineitem").filter(f"l_shipdate >= {_date(first)} and l_shipdate < {_date(end)}")
@@ -186,7 +196,7 @@ class Suite:
             ["ps.ps_availqty > a.agg_quantity"],
             {"ps": ["ps_partkey", "ps_suppkey", "ps_availqty"], "p": ["p_partkey"]},
         )
-        having = plan(query, self.mode).frame.select(F.col("ps_suppkey").alias("k"))
+        having = self.plan(query).frame.select(F.col("ps_suppkey").alias("k"))
         chosen = self.table("supplier").join(having, F.col("s_suppkey") == F.col("k"), "left_semi")
         nation = self.table("nation").filter(F.col("n_name").isin(*nations))
         out = chosen.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_name", "n_name").orderBy("s_name")

@@ -45,7 +45,7 @@ LEAST_COUNT = 2
 #: Tokens of a segment, about; a longer text is a segment of its own.
 SEGMENT = 1 << 20
 #: Tokens for each shard of the keys, about.
-SHARD_TOKENS = 1 << 22
+SHARD_TOKENS = 5_000_000
 PSEUDO = 0.1
 DISCOUNT = 0.75
 #: Natural logarithm's gain a token that a context must bring over its parent.
@@ -115,7 +115,7 @@ class Level:
     """The n-grams of one length in a segment: where they end, their different keys, and what is known of these."""
 
     keys: np.ndarray
-    place: np.ndarray  # by position; -1 where none ends, or only ones too rare to be known
+    place: np.ndarray | None  # by position; -1 where none ends, or only ones too rare to be known; of words only once counts are known
     count: np.ndarray | None = None
     known: np.ndarray | None = None  # by position, the place if the n-gram is frequent enough to be listed, else -1
     often: np.ndarray | None = None  # places of those, and their numbers in their shards
@@ -185,15 +185,18 @@ class Segment:
         taken /= self.levels[n - 1].count[context]
         return taken
 
-    def probabilities(self, norm: float, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(n, positions, contexts, p) for contexts of n words; p is by position, of the token after all its suffixes so far."""
-        p = (self.levels[0].count[self.levels[0].place] + PSEUDO) / norm
-        yield 0, np.flatnonzero(self.before > 0), np.zeros(0, np.int64), p
+    def probabilities(self, norm: float, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(n, positions, contexts, p of the parents there, p) for contexts of n words; p is by position, of the token after its suffixes so far.
+
+        It is one array that the next step changes.
+        """
+        p = ((self.levels[0].count + PSEUDO) / norm)[self.levels[0].place]
+        yield 0, np.flatnonzero(self.before > 0), np.zeros(0, np.int64), np.zeros(0), p
         for n in range(1, depth + 1):
             at, context = self.contexts(n)
-            p = p.copy()
-            p[at] = self.share(n, at, context) + self.levels[n - 1].left[context] * p[at]
-            yield n, at, context, p
+            above = p[at]
+            p[at] = self.share(n, at, context) + self.levels[n - 1].left[context] * above
+            yield n, at, context, above, p
 
     def ask(self, kind: int, n: int, norm: float) -> tuple[np.ndarray, ...]:
         """Sorted keys (for counts) or numbers of frequent n-grams, and this segment's parts of the sums that are wanted."""
@@ -210,10 +213,11 @@ class Segment:
             found, other = np.flatnonzero((pair >= 0) & learn), context[(pair < 0) & learn]
             sums = np.bincount(context[found], 1 / self.levels[n].count[pair[found]], len(level.keys)), np.bincount(other, minlength=len(level.keys))
         else:
-            *_, (_, _, _, above), (_, at, context, p) = self.probabilities(norm, n)
+            for _, at, context, above, p in self.probabilities(norm, n):  # noqa: B007
+                pass
             own = self.learn[at]
-            at, context = at[own], context[own]
-            sums = (np.bincount(context, np.log(p[at] / above[at]) - LEAST_GAIN, len(level.keys)),)
+            gain = np.log(p[at[own]] / above[own]) - LEAST_GAIN
+            sums = (np.bincount(context[own], gain, len(level.keys)),)
         return level.numbers, *(x[level.often] for x in sums)
 
     def told(self, kind: int, n: int, x: np.ndarray, y: np.ndarray) -> None:
@@ -227,6 +231,8 @@ class Segment:
             named = np.where(frequent, np.arange(len(frequent), dtype=np.int32), np.int32(-1))
             level.known = np.append(named, np.int32(-1))[level.place]  # the last for places of -1
             level.often, level.numbers = np.flatnonzero(frequent), y
+            if n > 1:
+                level.place = None
             return
         level = self.levels[n - 1]
         if kind == LISTED:
@@ -239,7 +245,7 @@ class Segment:
     def scores(self, norm: float, depth: int) -> np.ndarray:
         """log10 of the probability of each text, by the longest state before each token."""
         best = np.ones(len(self.tokens))
-        for n, at, context, p in self.probabilities(norm, depth):
+        for n, at, context, _, p in self.probabilities(norm, depth):
             own = at[self.levels[n - 1].state[context]] if n else at
             best[own] = p[own]
         return self.by_text(np.log10(best))
@@ -259,14 +265,17 @@ def _segments(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
     def whole() -> pa.RecordBatch:
         vocabulary, codes = ranked(np.concatenate([h for *_, h in held]))
-        by_count = np.argsort(-np.bincount(codes, minlength=len(vocabulary)), kind="stable")  # small codes for frequent words
+        counts = np.bincount(codes, minlength=len(vocabulary))
+        by_count = np.argsort(-counts, kind="stable")  # small codes for frequent words
         code_of = np.empty(len(vocabulary), np.int64)
         code_of[by_count] = np.arange(len(vocabulary))
         vocabulary, codes = vocabulary[by_count], code_of[codes]
         flags, sizes = np.concatenate([f for _, f, _, _ in held]), np.concatenate([s for _, _, s, _ in held])
         ids = pa.concat_arrays([i for i, *_ in held])
         listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-        blobs = [np.packbits(flags).tobytes(), _pack(sizes), vocabulary.tobytes(), _pack(codes)]
+        often = int((counts > 1).sum())  # the others, most words, are in order
+        packed = often.to_bytes(4, "little") + vocabulary[:often].tobytes() + _pack(_gaps(vocabulary[often:]))
+        blobs = [np.packbits(flags).tobytes(), _pack(sizes), packed, _pack(codes)]
         size = pa.array([len(codes) + 2 * len(sizes)], pa.int64())
         return pa.RecordBatch.from_arrays([size, listed, *(pa.array([b], pa.binary()) for b in blobs)], ["size", "ids", "learn", "sizes", "vocabulary", "codes"])
 
@@ -315,7 +324,9 @@ def _read(done: list[tuple[int, int]], batches: Iterator[pa.RecordBatch]) -> Ite
                 sizes = _unpack(sizes)
                 flags = np.unpackbits(np.frombuffer(learn, np.uint8), count=len(sizes)).astype(bool)
                 ids = batch.column(batch.schema.get_field_index("ids"))[i].values
-                now, told = (seg[i].as_py(), Segment.read(np.frombuffer(vocabulary, np.uint64), _unpack(codes), sizes, flags), ids), {}
+                often = 4 + 8 * int.from_bytes(vocabulary[:4], "little")
+                words_ = np.concatenate([np.frombuffer(vocabulary[4:often], np.uint64), np.cumsum(_unpack(vocabulary[often:]), dtype=np.uint64)])
+                now, told = (seg[i].as_py(), Segment.read(words_, _unpack(codes), sizes, flags), ids), {}
             else:
                 told.setdefault((kind[i].as_py(), n[i].as_py()), []).append((x[i].as_py(), y[i].as_py()))
     if now:

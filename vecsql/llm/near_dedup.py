@@ -242,6 +242,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "near-dedup-rows")
     found, _ = groups(docs)
     its_id, its_key, its_kept, text_key = (unused(n, docs) for n in ("its_id", "its_key", "its_kept", "text_key"))
+    # dealt anew, so that the join before may split the rows of a text that is repeated very often
+    found = found.repartition("doc_id", "text_key")
     decided = found.groupBy(F.col("doc_id").alias(its_id), F.col("text_key").alias(its_key)).agg(F.first("kept").alias(its_kept), F.count("*").alias("n"))
     decided = scratch.save(decided.filter(~F.col(its_kept) | (F.col("n") > 1)).drop("n"), "decided")
     few = decided.count() <= BROADCAST_KEYS

@@ -38,7 +38,7 @@ PERSISTENCE = "vecsql.enable_experimental_persistence"
 
 
 class StatementError(ValueError):
-    """A statement about an index that can't be carried out."""
+    """A statement about an index that can't be carried out. The texts of these errors."""
 
 
 def check_options(options: dict) -> dict:

@@ -187,6 +187,27 @@ def test_recall_of_audits(cloud):
     assert recall >= 0.99 and np.mean(shares) >= 0.98 and beam >= 0
 
 
+def test_a_shard_travels_in_small_rows_and_large_groups_are_not_held(cloud, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(vector_dedup, "PIECE_BYTES", 10_000)
+    rng = np.random.default_rng(5)
+    v = (rng.normal(size=(1, 16)) + 0.01 * rng.normal(size=(6000, 16))).astype(np.float32)  # all alike
+    column = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, 16, dtype=np.int32)), pa.array(v.ravel()))
+    nodes = pa.table({"dim": pa.array([16] * len(v), pa.int32()), "shard": pa.array([3] * len(v), pa.int32()), "node": np.arange(len(v)) * 2, "copies": np.ones(len(v), np.int64), "vector": column})
+    pieces = vector_dedup._build(nodes)
+    assert len(pieces) > 10 and max(len(x.as_py()) for x in pieces.column("data")) <= 10_000
+    tracemalloc.start()
+    got = vector_dedup._search(0.9, nodes, pieces.take(rng.permutation(len(pieces))))
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20  # all links at once: 288 MB more
+    tracemalloc.stop()
+    counts = got.filter(pa.compute.is_null(got.column("other")))
+    assert len(counts) == len(v) and set(counts.column("copies").to_pylist()) == {len(v) - 1}
+    assert len(got) - len(counts) == len(v) - 1
+
+
 def test_forests_of_links():
     r = random.Random(3)
     links = [(r.randrange(200), r.randrange(200)) for _ in range(150)]

@@ -52,12 +52,14 @@ class Graph:
     links: list[np.ndarray] = field(default_factory=list)  # by level from 0: (n, 2 * LINKS), numbers of vectors or -1
     top: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
-    def dumps(self) -> bytes:
-        return pickle.dumps((self.vectors, [(np.flatnonzero((x >= 0).any(1)).astype(np.int32), x[(x >= 0).any(1)]) for x in self.links], self.top), 5)
+    def dumps(self, whole: bool = True) -> bytes:
+        """whole: with the vectors; without them ``loads`` needs them."""
+        return pickle.dumps((self.vectors if whole else None, [(np.flatnonzero((x >= 0).any(1)).astype(np.int32), x[(x >= 0).any(1)]) for x in self.links], self.top), 5)
 
     @classmethod
-    def loads(cls, data: bytes) -> Graph:
-        vectors, links, top = pickle.loads(data)
+    def loads(cls, data: bytes, vectors: np.ndarray | None = None) -> Graph:
+        own, links, top = pickle.loads(data)
+        vectors = own if vectors is None else vectors
         out = []
         for own, x in links:
             full = np.full((len(vectors), 2 * LINKS), -1, np.int32)

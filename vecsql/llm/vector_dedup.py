@@ -13,12 +13,15 @@ A link counts for the side that found it; both sides of a pair are searched for.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .hnsw import Graph, build
 from .linking import components
@@ -27,9 +30,11 @@ from .scratch import Scratch
 COSINE = 0.9
 #: Shards at least, and nodes and bytes that a shard holds at most, about. A node takes 12 bytes a dimension and a row of its graph.
 SHARDS, SHARD_NODES, SHARD_BYTES, GRAPH_BYTES = 6, 50_000, 64 << 20, 256
-#: Queries that a task searches for in one shard.
-BLOCK_NODES = 16_384
+#: Queries that a task searches for in one shard: so few until there are FEW_BLOCKS blocks, then so many. Each block gets each shard.
+BLOCK_NODES, FEW_BLOCKS, LARGE_BLOCK = 16_384, 4, 65_536
 BATCH = 256
+#: Shards travel in rows of so many bytes: a row stands several times in the JVM and in Python.
+PIECE_BYTES = 2 << 20
 #: Beyond the last beam, comparing a query with a whole shard takes less time than the search.
 FIRST_BEAM, LAST_BEAM = 32, 128
 #: Queries with links that an audit takes, those it draws to find them, and the mean recall that it asks for.
@@ -41,27 +46,32 @@ SLACK = 1e-5
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """As precise as the column."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = array.flatten().to_numpy(zero_copy_only=False)
-    return np.asarray(flat, np.float64).reshape(len(array), -1)
+    return array.flatten().to_numpy(zero_copy_only=False).reshape(len(array), -1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def _build(table: pa.Table) -> pa.Table:
-    """The graph of a shard, and its nodes, copies and vectors in the graph's order."""
+    """Pieces of a shard: its nodes, copies and vectors, and the links of its graph in their order."""
     table = table.sort_by("node")
-    vectors = _unit(_matrix(table.column("vector")))
-    parts = {
-        "nodes": table.column("node").to_numpy().tobytes(),
-        "copies": table.column("copies").to_numpy().tobytes(),
-        "graph": build(vectors.astype(np.float32)).dumps(),
-        "exact": vectors.tobytes(),
-    }
-    return pa.table({c: table.column(c)[:1] for c in ("dim", "shard")} | {k: pa.array([v], pa.binary()) for k, v in parts.items()})
+    nodes, copies, vectors = table.column("node").to_numpy(), table.column("copies").to_numpy(), _matrix(table.column("vector"))
+    data = pickle.dumps((nodes, copies, vectors, build(_unit(vectors).astype(np.float32)).dumps(False)), 5)
+    pieces = [data[a : a + PIECE_BYTES] for a in range(0, len(data), PIECE_BYTES)]
+    same = [pa.array([table.column(c)[0].as_py()] * len(pieces), pa.int32()) for c in ("dim", "shard")]
+    return pa.table([*same, pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], ["dim", "shard", "piece", "data"])
+
+
+def _shard(pieces: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
+    """Nodes, copies and unit vectors in double of a shard, and its graph."""
+    nodes, copies, vectors, links = pickle.loads(b"".join(pieces.sort_by("piece").column("data").to_pylist()))
+    exact = _unit(vectors)
+    return nodes, copies, exact, Graph.loads(links, exact.astype(np.float32))
 
 
 def spanning(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
@@ -102,8 +112,8 @@ def found_links(graph: Graph, queries: np.ndarray, beam: int, cosine: float) ->
     return out
 
 
-def audited_links(graph: Graph, queries: np.ndarray, cosine: float, own: np.ndarray | None = None, seed: int = 3) -> tuple[list[np.ndarray], int, float]:
-    """Links of all queries with the beam that passed the audit, that beam (0: the shard as a whole) and its recall.
+def audit(graph: Graph, queries: np.ndarray, cosine: float, own: np.ndarray | None = None, seed: int = 3) -> tuple[int, float]:
+    """The beam that passes (0: the shard as a whole) and its recall.
 
     own: for each query its own number in the graph, or -1; finding oneself doesn't count.
     """
@@ -118,7 +128,7 @@ def audited_links(graph: Graph, queries: np.ndarray, cosine: float, own: np.ndar
         true[at, own[part][at]] = False
         linked = np.flatnonzero(true.any(1))
         some += part[linked].tolist()
-        truth += [np.flatnonzero(true[i]) for i in linked]
+        truth += [np.flatnonzero(true[i]).astype(np.int32) for i in linked]
         if len(some) >= AUDITED:
             break
     beam = FIRST_BEAM
@@ -126,49 +136,59 @@ def audited_links(graph: Graph, queries: np.ndarray, cosine: float, own: np.ndar
         found = found_links(graph, queries[some], beam, cosine)
         recall = float(np.mean([np.isin(t, f).mean() for t, f in zip(truth, found, strict=True)])) if some else 1.0
         if recall >= LEAST_RECALL:
-            return found_links(graph, queries, beam, cosine), beam, recall
+            return beam, recall
         beam *= 2
-    out = []
+    return 0, 1.0
+
+
+def links_by_batches(graph: Graph, queries: np.ndarray, cosine: float, beam: int) -> Iterator[list[np.ndarray]]:
+    """Links of so many queries at a time: those of a whole block, in a large group of copies, would take its square."""
     for a in range(0, len(queries), BATCH):
-        out += [np.flatnonzero(h) for h in queries[a : a + BATCH] @ graph.vectors.T >= cosine - SLACK]
-    return out, 0, 1.0
+        some = queries[a : a + BATCH]
+        yield found_links(graph, some, beam, cosine) if beam else [np.flatnonzero(h) for h in some @ graph.vectors.T >= cosine - SLACK]
+
+
+def audited_links(graph: Graph, queries: np.ndarray, cosine: float, own: np.ndarray | None = None, seed: int = 3) -> tuple[list[np.ndarray], int, float]:
+    """Links of all queries with the beam that passed the audit, that beam (0: the shard as a whole) and its recall."""
+    beam, recall = audit(graph, queries, cosine, own, seed)
+    return [x for some in links_by_batches(graph, queries, cosine, beam) for x in some], beam, recall
 
 
-def _search(cosine: float, queries: pa.Table, graphs: pa.Table) -> pa.Table:
+def _search(cosine: float, queries: pa.Table, pieces: pa.Table) -> pa.Table:
     """Rows (node, other, copies, beam, recall): counts where other is null, else edges of a forest of the links."""
     schema = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("copies", pa.int64()), ("beam", pa.int32()), ("recall", pa.float64())])
-    if not len(queries) or not len(graphs):
+    if not len(queries) or not len(pieces):
         return schema.empty_table()
-    graph = Graph.loads(graphs.column("graph")[0].as_py())
-    nodes = np.frombuffer(graphs.column("nodes")[0].as_py(), np.int64)
-    copies = np.frombuffer(graphs.column("copies")[0].as_py(), np.int64)
+    nodes, copies, theirs, graph = _shard(pieces)
     mine = queries.column("node").to_numpy()
     exact = _unit(_matrix(queries.column("vector")))
     order = np.argsort(nodes)
     place = order[np.minimum(np.searchsorted(nodes[order], mine), len(nodes) - 1)]
     own = np.where(nodes[place] == mine, place, -1)
-    links, beam, recall = audited_links(graph, exact.astype(np.float32), cosine, own)
-    theirs = np.frombuffer(graphs.column("exact")[0].as_py(), np.float64).reshape(len(nodes), -1)
+    short = exact.astype(np.float32)
+    beam, recall = audit(graph, short, cosine, own)
     every, numbers = np.unique(np.concatenate([nodes, mine]), return_inverse=True)
     root = np.arange(len(every))
     counts = np.zeros(len(mine), np.int64)
     held: list[tuple[int, np.ndarray]] = []
-    waiting = 0
+    waiting = q = 0
 
     def settle(root: np.ndarray) -> np.ndarray:
         a, b = np.repeat([q for q, _ in held], [len(f) for _, f in held]), np.concatenate([f for _, f in held])
         return spanning(numbers[len(nodes) + a], numbers[b], root)
 
-    for q, found in enumerate(links):
-        found = found[nodes[found] != mine[q]]
-        if len(found):
-            found = found[theirs[found] @ exact[q] >= cosine]
-        if len(found):
-            counts[q] = copies[found].sum()
-            held.append((q, found))
-            waiting += len(found)
-            if waiting >= FOREST_LINKS:
-                root, held, waiting = settle(root), [], 0
+    for some in links_by_batches(graph, short, cosine, beam):
+        for found in some:
+            found = found[nodes[found] != mine[q]]
+            if len(found):
+                found = found[theirs[found] @ exact[q] >= cosine]
+            if len(found):
+                counts[q] = copies[found].sum()
+                held.append((q, found))
+                waiting += len(found)
+                if waiting >= FOREST_LINKS:
+                    root, held, waiting = settle(root), [], 0
+            q += 1
     if held:
         root = settle(root)
     some, edges = np.flatnonzero(counts), np.flatnonzero(root != np.arange(len(every)))
@@ -198,7 +218,9 @@ def linked(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE, bloc
     """
     scratch = Scratch(spark, "vectors")
     kind = vectors.schema["vec_id"].dataType.simpleString()
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    # single precision stays so while it is shuffled
+    of_floats = isinstance(getattr(vectors.schema["embedding"].dataType, "elementType", None), T.FloatType)
+    rows = vectors.select("vec_id", (F.col("embedding") if of_floats else F.col("embedding").cast("array<double>")).alias("vector"))
     rows = rows.withColumn("vector", F.when(usable(F.col("vector")), F.col("vector")))
     # 128 bits stand for a vector, so that vectors are shuffled once
     hashes = [F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(n), "vector")).alias(f"hash_{n}") for n in (0, 1)]
@@ -210,16 +232,16 @@ def linked(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE, bloc
     n, numbers = nodes.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0))).first()
     # so few shards that each search is long enough, as many as tasks can hold
     shards = max(SHARDS, ceil(n / SHARD_NODES), ceil((12 * numbers + GRAPH_BYTES * n) / SHARD_BYTES))
-    blocks = max(1, ceil(n / block_nodes))
+    blocks = max(1, min(ceil(n / block_nodes), max(FEW_BLOCKS, ceil(n / LARGE_BLOCK))))
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
     built = dealt.select("dim", "shard", "node", "copies", "vector").groupBy("dim", "shard")
-    graphs = scratch.save(built.applyInArrow(_build, "dim int, shard int, nodes binary, copies binary, graph binary, exact binary"), "graphs")
+    graphs = scratch.save(built.applyInArrow(_build, "dim int, shard int, piece int, data binary"), "graphs")
     block = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(blocks)).cast("int").alias("block")
     asked = nodes.select("dim", "node", "vector", block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     offered = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ("dim", "shard", "block")
     searched = asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(
-        lambda queries, graph: _search(cosine, queries, graph), "node long, other long, copies long, beam int, recall double"
+        lambda queries, pieces: _search(cosine, queries, pieces), "node long, other long, copies long, beam int, recall double"
     )
     searched = scratch.save(searched, "searched")
     counts = searched.filter("other is null").groupBy("node").agg(F.sum("copies").alias("others"))

@@ -264,3 +264,15 @@ def test_first_pass_only_uses_hubs(spark):
 
     links, roots = linking.linked_groups(members, verify, lambda x, y: (x, y, F.lit(True)), Scratch(spark, "test"))
     assert tested == [199, 0] and links.count() == 199 and roots.select("root").distinct().count() == 1
+
+
+def test_pictures_of_two_components_are_compared_by_all_their_members(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(images, "linked_groups", lambda members, verify, alike, scratch: given.append(alike) or linking.linked_groups(members, verify, alike, scratch))
+    images.copies(spark.createDataFrame([(1, None)], "id long, image binary")).collect()
+    # the hub of bucket 1 is 0; those of most reach of the components 1, 2 and 3, 4 are 1 and 3, which are not alike
+    members = spark.createDataFrame([(n, 1) for n in range(5)] + [(1, 2), (2, 2), (3, 3), (4, 3)] + [(n, 4) for n in (0, 5, 6, 7)], "node long, bucket long")
+    true = F.concat_ws("-", "a", "b").isin("1-2", "3-4", "2-4")
+    links, roots = linking.linked_groups(members, lambda pairs, _: pairs.filter(true), given[0], Scratch(spark, "test"))
+    assert {(r.a, r.b) for r in links.collect()} == {(1, 2), (3, 4), (2, 4)}
+    assert {r.node: r.root for r in roots.collect()} == {1: 1, 2: 1, 3: 1, 4: 1}

@@ -273,7 +273,8 @@ def copies(media: DataFrame) -> DataFrame:
         return found
 
     members = described.join(looked.filter("n > 0").select("node"), "node", "left_semi").select("node", "bits").mapInArrow(_members, "node long, bucket long")
-    links, roots = linked_groups(members, verify, None, scratch)
+    # a shared key is all that a pair needs to be a candidate
+    links, roots = linked_groups(members, verify, lambda apart, every: (apart, every, F.lit(True)), scratch)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     known = looked.join(roots, "node", "left").join(degree, "node", "left")
     known = known.withColumn("root", F.coalesce("root", "node"))

@@ -87,9 +87,11 @@ def spanning(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
             root = up
 
 
-def found_links(graph: Graph, queries: np.ndarray, beam: int, cosine: float) -> list[np.ndarray]:
-    """For each query the numbers of the vectors that may be linked; beams widen until not all of one is."""
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
+def links_by_batches(graph: Graph, queries: np.ndarray, beam: int, cosine: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, numbers of the vectors that may be linked) for each query; beams widen until not all of one is. Beam 0: the shard as a whole.
+
+    In no order and as they are found: those of a whole block, in a large group of copies, would take its square.
+    """
     todo = np.arange(len(queries))
     n = len(graph.vectors)
     while len(todo):
@@ -97,18 +99,26 @@ def found_links(graph: Graph, queries: np.ndarray, beam: int, cosine: float) ->
         again = []
         for a in range(0, len(todo), BATCH):
             own = todo[a : a + BATCH]
-            if wide >= n or wide > LAST_BEAM:  # as wide as a group: the shard as a whole is cheaper
+            if not beam or wide >= n or wide > LAST_BEAM:  # as wide as a group: the shard as a whole is cheaper
                 hit = queries[own] @ graph.vectors.T >= cosine - SLACK
                 for q, h in zip(own.tolist(), hit, strict=True):
-                    out[q] = np.flatnonzero(h)
+                    yield q, np.flatnonzero(h)
                 continue
             ids, sims = graph.nearest(queries[own], wide)
             hit = (sims >= cosine - SLACK) & (ids >= 0)
-            for q, i, h in zip(own.tolist(), ids, hit, strict=True):
-                out[q] = i[h]
-            again.append(own[hit.all(1)])
+            wider = hit.all(1)
+            again.append(own[wider])
+            for q in np.flatnonzero(~wider).tolist():
+                yield int(own[q]), ids[q][hit[q]]
         todo = np.concatenate(again) if again else todo[:0]
         beam *= 2
+
+
+def found_links(graph: Graph, queries: np.ndarray, beam: int, cosine: float) -> list[np.ndarray]:
+    """For each query the numbers of the vectors that may be linked."""
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
+    for q, found in links_by_batches(graph, queries, beam, cosine):
+        out[q] = found
     return out
 
 
@@ -141,17 +151,10 @@ def audit(graph: Graph, queries: np.ndarray, cosine: float, own: np.ndarray | No
     return 0, 1.0
 
 
-def links_by_batches(graph: Graph, queries: np.ndarray, cosine: float, beam: int) -> Iterator[list[np.ndarray]]:
-    """Links of so many queries at a time: those of a whole block, in a large group of copies, would take its square."""
-    for a in range(0, len(queries), BATCH):
-        some = queries[a : a + BATCH]
-        yield found_links(graph, some, beam, cosine) if beam else [np.flatnonzero(h) for h in some @ graph.vectors.T >= cosine - SLACK]
-
-
 def audited_links(graph: Graph, queries: np.ndarray, cosine: float, own: np.ndarray | None = None, seed: int = 3) -> tuple[list[np.ndarray], int, float]:
     """Links of all queries with the beam that passed the audit, that beam (0: the shard as a whole) and its recall."""
     beam, recall = audit(graph, queries, cosine, own, seed)
-    return [x for some in links_by_batches(graph, queries, cosine, beam) for x in some], beam, recall
+    return found_links(graph, queries, beam, cosine), beam, recall
 
 
 def _search(cosine: float, queries: pa.Table, pieces: pa.Table) -> pa.Table:
@@ -171,24 +174,22 @@ def _search(cosine: float, queries: pa.Table, pieces: pa.Table) -> pa.Table:
     root = np.arange(len(every))
     counts = np.zeros(len(mine), np.int64)
     held: list[tuple[int, np.ndarray]] = []
-    waiting = q = 0
+    waiting = 0
 
     def settle(root: np.ndarray) -> np.ndarray:
         a, b = np.repeat([q for q, _ in held], [len(f) for _, f in held]), np.concatenate([f for _, f in held])
         return spanning(numbers[len(nodes) + a], numbers[b], root)
 
-    for some in links_by_batches(graph, short, cosine, beam):
-        for found in some:
-            found = found[nodes[found] != mine[q]]
-            if len(found):
-                found = found[theirs[found] @ exact[q] >= cosine]
-            if len(found):
-                counts[q] = copies[found].sum()
-                held.append((q, found))
-                waiting += len(found)
-                if waiting >= FOREST_LINKS:
-                    root, held, waiting = settle(root), [], 0
-            q += 1
+    for q, found in links_by_batches(graph, short, beam, cosine):
+        found = found[nodes[found] != mine[q]]
+        if len(found):
+            found = found[theirs[found] @ exact[q] >= cosine]
+        if len(found):
+            counts[q] = copies[found].sum()
+            held.append((q, found))
+            waiting += len(found)
+            if waiting >= FOREST_LINKS:
+                root, held, waiting = settle(root), [], 0
     if held:
         root = settle(root)
     some, edges = np.flatnonzero(counts), np.flatnonzero(root != np.arange(len(every)))

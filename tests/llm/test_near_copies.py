@@ -276,3 +276,27 @@ def test_pictures_of_two_components_are_compared_by_all_their_members(spark, mon
     links, roots = linking.linked_groups(members, lambda pairs, _: pairs.filter(true), given[0], Scratch(spark, "test"))
     assert {(r.a, r.b) for r in links.collect()} == {(1, 2), (3, 4), (2, 4)}
     assert {r.node: r.root for r in roots.collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
+
+
+def test_pictures_meet_in_blocks_without_a_row_a_pair(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(21)
+    rows = [(10 * i + k, images.drawing(v, 10 * i + k)) for i, v in enumerate(rng.normal(size=(8, 64))) for k in range(5)]
+    seen = {i: images.describe(images.decode(b)) for i, b in rows}
+    keys = {i: set(images.table_keys(bits).tolist()) for i, (_, bits) in seen.items()}
+    links = [(a, b) for a in seen for b in seen if a < b and keys[a] & keys[b] and images.inliers(*seen[a], *seen[b]) >= images.LEAST_INLIERS]
+    monkeypatch.setattr(images, "BLOCK_BYTES", 10_000)
+    monkeypatch.setattr(images, "ROUND_BYTES", 60_000)
+    got = images.copies(spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "id long, image binary")).collect()
+    assert {r.id: r.class_id for r in got} == smallest_reachable(seen, links)
+    # a group of n pictures costs n - 1 links, in one block or in two
+    monkeypatch.setattr(images, "PIECE_BYTES", 2_000)
+    group = [images.describe(images.decode(images.drawing(np.arange(64.0), k))) for k in range(40)]
+    block = pa.table({"node": range(40), "block": pa.array([0] * 40, pa.int32()), "places": [p.astype(np.float32).tobytes() for p, _ in group], "bits": [b.tobytes() for _, b in group]})
+    two = block.set_column(1, "block", pa.array([k % 2 for k in range(40)], pa.int32()))
+    one, first, second = images._pack(block), *(images._pack(two.filter(pa.compute.equal(two.column("block"), n))) for n in (0, 1))
+    assert len(one) > 5
+    for pieces, i, j in ((one, 0, 0), (pa.concat_tables([second, first]), 0, 1)):
+        ends = pa.array([i] * len(pieces), pa.int32()), pa.array([j] * len(pieces), pa.int32())
+        assert len(images._compare(pieces.append_column("i", ends[0]).append_column("j", ends[1]))) == 39

@@ -32,8 +32,12 @@ LEAST_CORNER = 0.01
 TABLES, KEY_WORDS = (0, 3, 6, 8, 11, 14), 3
 MOST_BITS = 48
 LEAST_INLIERS = 5
-#: Candidate pairs whose descriptors are shuffled at once, about; more are confirmed in several rounds, for less disk.
-PAIRS_AT_ONCE = 100_000
+#: Of descriptors, what a block of pictures holds and what a row of them does, and what is shuffled at once; more goes in several rounds, for less disk.
+BLOCK_BYTES, PIECE_BYTES, ROUND_BYTES = 4 << 20, 1 << 20, 300 << 20
+#: Bytes of a descriptor and its place.
+CORNER_BYTES = 48
+#: Candidate pairs that a task lists at once, about.
+LISTED = 1 << 20
 TOLERANCE = 3.0
 
 _rng = np.random.default_rng(2024)
@@ -221,29 +225,94 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, bucket) for each key of each picture."""
-    for batch in batches:
-        keys = [table_keys(np.frombuffer(b.as_py(), np.uint64).reshape(-1, 4)) for b in batch.column(1)]
-        for a in range(0, len(keys), 256):
-            some = keys[a : a + 256]
-            node = np.repeat(batch.column(0).to_numpy()[a : a + 256], [len(k) for k in some])
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(some))], ["node", "bucket"])
-
-
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    view = lambda places, bits: (np.frombuffer(places, np.float32).reshape(-1, 4), np.frombuffer(bits, np.uint64).reshape(-1, 4))
-    for batch in batches:
-        a, b, *parts = (c.to_pylist() for c in batch.columns)
-        found = [inliers(*view(pa_, ba), *view(pb, bb)) for pa_, ba, pb, bb in zip(*parts, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(found, pa.int64())], ["a", "b", "inliers"])
+def _pack(block: pa.Table) -> pa.Table:
+    """(block, data): the pictures of a block in rows of about PIECE_BYTES."""
+    size = np.array([len(p) + len(b) for p, b in zip(block.column("places").to_pylist(), block.column("bits").to_pylist(), strict=True)])
+    piece = (np.cumsum(size) - size) // PIECE_BYTES
+    starts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]]).tolist()
+    data, rows = [], block.select(["node", "places", "bits"])
+    for n, end in zip(starts, [*starts[1:], len(block)], strict=True):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_table(rows.slice(n, end - n))
+        data.append(sink.getvalue().to_pybytes())
+    return pa.table({"block": block.column("block").slice(0, 1).to_pylist() * len(data), "data": pa.array(data, pa.binary())}, schema=_PIECES)
+
+
+_PIECES = pa.schema([("block", pa.int32()), ("data", pa.binary())])
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _compare(pieces: pa.Table) -> pa.Table:
+    """Confirmed pairs (a, b) of pictures of two blocks, or of one, that share a key. Each pair that shares one is looked at unless those
+    found before have already put both into one group, so the links are no more than the pictures."""
+    first, second = (pieces.column(c)[0].as_py() for c in "ij")
+    parts = [(block, pa.ipc.open_stream(data).read_all()) for block, data in zip(pieces.column("block").to_pylist(), pieces.column("data").to_pylist(), strict=True)]
+    node = np.concatenate([t.column("node").to_numpy() for _, t in parts])
+    side = np.repeat([block for block, _ in parts], [len(t) for _, t in parts])
+    blobs = [list(zip(*(t.column(c).to_pylist() for c in ("places", "bits")), strict=True)) for _, t in parts]
+    seen = [(np.frombuffer(p, np.float32).reshape(-1, 4), np.frombuffer(b, np.uint64).reshape(-1, 4)) for part in blobs for p, b in part]
+    order = np.argsort(node, kind="stable")
+    node, side, seen = node[order], side[order], [seen[n] for n in order]
+    keys = [table_keys(bits) for _, bits in seen]
+    owner, keys = np.repeat(np.arange(len(node)), [len(k) for k in keys]), np.concatenate(keys)
+    _, bucket, n = np.unique(keys, return_inverse=True, return_counts=True)
+    # keys of one picture only, or of one block only where two meet, make no pairs
+    of_first = np.bincount(bucket, side[owner] == first, len(n))
+    use = ((n > 1) if first == second else (of_first > 0) & (of_first < n))[bucket]
+    owner, bucket = owner[use], bucket[use]
+    reach = np.bincount(owner, n[bucket], len(node))
+    own_side = np.zeros(len(node), bool) if first == second else side == second
+    # within a bucket by side, the hub of each first
+    order = np.lexsort((owner, -reach[owner], own_side[owner], bucket))
+    owner, bucket = owner[order], bucket[order]
+    root, links, tested = np.arange(len(node)), [], np.zeros(0, np.int64)
+
+    def look(a: np.ndarray, b: np.ndarray) -> None:
+        """Confirm these pairs, those that share most keys first."""
+        nonlocal tested
+        codes, shared = np.unique(np.minimum(a, b) * len(node) + np.maximum(a, b), return_counts=True)
+        new = ~np.isin(codes, tested, assume_unique=True)
+        codes, shared = codes[new], shared[new]
+        tested = np.union1d(tested, codes)
+        for code in codes[np.argsort(-shared, kind="stable")].tolist():
+            a, b = divmod(code, len(node))
+            if root[a] != root[b] and inliers(*seen[a], *seen[b]) >= LEAST_INLIERS:
+                links.append((node[a], node[b]))
+                low, high = sorted((root[a], root[b]))
+                root[root == high] = low
+
+    if len(owner):
+        start = np.r_[True, bucket[1:] != bucket[:-1]]
+        begin = np.flatnonzero(start)[np.cumsum(start) - 1]
+        if first == second:
+            look(owner[begin[~start]], owner[~start])
+        else:
+            turn = np.flatnonzero(own_side[owner] & ~np.r_[False, own_side[owner][:-1] & ~start[1:]])  # where the second side begins, once a bucket
+            turn = turn[np.cumsum(start) - 1]
+            later = own_side[owner]
+            look(np.r_[owner[begin[later]], owner[turn[~later]]], np.r_[owner[later], owner[~later]])
+        # then whatever is still apart
+        end = np.r_[np.flatnonzero(start)[1:], len(owner)][np.cumsum(start) - 1]
+        at, step, held, a, b = np.arange(len(owner)), 1, 0, [], []
+        while len(at):
+            at = at[at + step < end[at]]
+            p, q = owner[at], owner[at + step]
+            apart = (root[p] != root[q]) & ((first == second) | (own_side[p] != own_side[q]))
+            a.append(p[apart])
+            b.append(q[apart])
+            held, step = held + int(apart.sum()), step + 1
+            if held >= LISTED or not len(at):
+                look(np.concatenate(a), np.concatenate(b))
+                held, a, b = 0, [], []
+    return pa.table(dict(zip("ab", np.array(links, np.int64).reshape(-1, 2).T, strict=True)), schema=_LINKS)
 
 
 def copies(media: DataFrame) -> DataFrame:
     """One row a row of ``media(id, image)``: id, n_corners, class_id (smallest id of the group), n_links, kept.
 
     n_links counts the confirmed pairs of the image with different ones; pairs within a group that are linked
-    through others need no confirmation. Equal images, repeated rows among them, are one and are looked at once. A null,
+    through others need no confirmation, and which of them do depends on how the blocks fall. Equal images, repeated rows among them, are one and are looked at once. A null,
     undecodable or featureless image is alike only to its equals; null images are each on their own. Null ids are never
     a group's smallest. Large pictures are looked at whole. An empty table gives an empty one; other columns are not read.
     """
@@ -257,25 +326,22 @@ def copies(media: DataFrame) -> DataFrame:
     same = rows.groupBy("key").agg(F.min("row").alias("node"), F.min("id").alias("least_id"), F.first("n").alias("n"))
     looked = scratch.save(same, "nodes")
     described = rows.select(F.col("row").alias("node"), "places", "bits")
-    made: list[int] = []
-
-    def verify(pairs: DataFrame, _: bool) -> DataFrame:
-        made.append(0)
-        name = f"pairs-{len(made)}"
-        pairs = scratch.save(pairs, name)
-        rounds = -(-pairs.count() // PAIRS_AT_ONCE)
-        found = pairs.limit(0)
-        for n in range(rounds):
-            some = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == n)
-            both = some.join(described.toDF("a", "places_a", "bits_a"), "a").join(described.toDF("b", "places_b", "bits_b"), "b")
-            both = both.select("a", "b", "places_a", "bits_a", "places_b", "bits_b").mapInArrow(_confirm, "a long, b long, inliers long")
-            found = found.union(scratch.save(both.filter(F.col("inliers") >= LEAST_INLIERS).select("a", "b"), f"confirmed-{len(made)}-{n}"))
-        return found
-
-    members = described.join(looked.filter("n > 0").select("node"), "node", "left_semi").select("node", "bits").mapInArrow(_members, "node long, bucket long")
-    # a shared key is all that a pair needs to be a candidate
-    links, roots = linked_groups(members, verify, lambda apart, every: (apart, every, F.lit(True)), scratch)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    # blocks meet blocks, each two in a task: no pair is a row before it is confirmed
+    blocks = max(1, -(-(looked.agg(F.sum("n")).first()[0] or 0) * CORNER_BYTES // BLOCK_BYTES))
+    full = described.join(looked.filter("n > 0").select("node"), "node", "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"))
+    pieces = scratch.save(full.groupBy("block").applyInArrow(_pack, "block int, data binary"), "pieces")
+    meet = pieces.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "data")
+    rounds = max(1, -(-blocks * blocks * BLOCK_BYTES // ROUND_BYTES))
+    found = spark.createDataFrame([], "a long, b long")
+    for n in range(rounds):
+        some = meet.filter(F.pmod(F.xxhash64("i", "j"), F.lit(rounds)) == n)
+        met = some.repartition(max(1, blocks * (blocks + 1) // 2 // rounds), "i", "j").groupBy("i", "j").applyInArrow(_compare, "a long, b long")
+        found = found.union(scratch.save(met, f"confirmed-{n}"))
+    # each confirmed pair is a bucket of its own
+    confirmed = scratch.save(found.withColumn("bucket", F.monotonically_increasing_id()), "confirmed")
+    members = confirmed.select(F.explode(F.array("a", "b")).alias("node"), "bucket")
+    _, roots = linked_groups(members, lambda pairs, _: pairs, lambda apart, every: (apart, every, F.lit(True)), scratch)
+    degree = members.groupBy("node").agg(F.count("*").alias("n_links"))
     known = looked.join(roots, "node", "left").join(degree, "node", "left")
     known = known.withColumn("root", F.coalesce("root", "node"))
     heads = known.groupBy("root").agg(F.min("least_id").alias("class_id"))

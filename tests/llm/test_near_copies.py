@@ -300,3 +300,23 @@ def test_pictures_meet_in_blocks_without_a_row_a_pair(spark, monkeypatch):
     for pieces, i, j in ((one, 0, 0), (pa.concat_tables([second, first]), 0, 1)):
         ends = pa.array([i] * len(pieces), pa.int32()), pa.array([j] * len(pieces), pa.int32())
         assert len(images._compare(pieces.append_column("i", ends[0]).append_column("j", ends[1]))) == 39
+
+
+def test_keys_of_a_block_of_pictures_are_made_at_once(monkeypatch):
+    import pyarrow as pa
+
+    seen = [images.describe(images.decode(images.drawing(np.roll(np.arange(64.0), k // 4), k))) for k in range(24)] + [images.describe(None)]
+    keys = [set(images.table_keys(bits).tolist()) for _, bits in seen]
+    owner, bucket = images._shared_keys(np.concatenate([b for _, b in seen]), np.repeat(np.arange(len(seen)), [len(b) for _, b in seen]), len(seen))
+    got = {(a, b) for a, x in zip(owner.tolist(), bucket.tolist(), strict=True) for b, y in zip(owner.tolist(), bucket.tolist(), strict=True) if x == y and a < b}
+    assert got == {(a, b) for a in range(len(seen)) for b in range(a + 1, len(seen)) if keys[a] & keys[b]} and got
+    assert not len(images._shared_keys(seen[-1][1], np.zeros(0, np.int64), 1)[0]) and not len(images._shared_keys(seen[0][1][:1], np.zeros(1, np.int64), 1)[0])
+    for a in seen:
+        for b in seen:
+            assert (images.inliers(*a, *b, images.LEAST_INLIERS) >= images.LEAST_INLIERS) == (images.inliers(*a, *b) >= images.LEAST_INLIERS)
+    calls, one_by_one = [], images._keys
+    monkeypatch.setattr(images, "_keys", lambda bits: calls.append(len(bits)) or one_by_one(bits))
+    block = pa.table({"node": range(24), "block": pa.array([0] * 24, pa.int32()), "places": [p.astype(np.float32).tobytes() for p, _ in seen[:24]], "bits": [b.tobytes() for _, b in seen[:24]]})
+    pieces = images._pack(block)
+    links = images._compare(pieces.append_column("i", pa.array([0] * len(pieces), pa.int32())).append_column("j", pa.array([0] * len(pieces), pa.int32())))
+    assert calls == [sum(len(b) for _, b in seen)] and len(links) >= 18

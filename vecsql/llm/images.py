@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from .linking import linked_groups
 from .scratch import Scratch, small_batches
-from .words import mix
 
 SCALES = (1.0, 0.91, 0.83, 0.75, 0.68, 0.62, 0.56, 0.5)
 PATCH = 13
@@ -180,14 +179,19 @@ def describe(picture: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(bits)
 
 
-def inliers(places_a: np.ndarray, bits_a: np.ndarray, places_b: np.ndarray, bits_b: np.ndarray) -> int:
-    """Mutually nearest descriptors that agree best on one shift, turn and scale."""
-    if not len(bits_a) or not len(bits_b):
+def inliers(places_a: np.ndarray, bits_a: np.ndarray, places_b: np.ndarray, bits_b: np.ndarray, least: int = 1) -> int:
+    """Mutually nearest descriptors that agree best on one shift, turn and scale; 0 where fewer than ``least`` are near at all."""
+    if len(bits_a) < least or len(bits_b) < least:
         return 0
-    apart = np.bitwise_count(bits_a[:, None] ^ bits_b[None]).sum(2)
-    near_b, near_a = apart.argmin(1), apart.argmin(0)
-    i = np.flatnonzero((near_a[near_b] == np.arange(len(near_b))) & (apart.min(1) <= MOST_BITS))
-    if not len(i):
+    apart = np.zeros((len(bits_a), len(bits_b)), np.uint16)
+    for a, b in zip(bits_a.T, bits_b.T, strict=True):
+        apart += np.bitwise_count(a[:, None] ^ b)
+    near_b, own = apart.argmin(1), np.arange(len(apart))
+    near = apart[own, near_b] <= MOST_BITS
+    if np.count_nonzero(near) < least:
+        return 0
+    i = np.flatnonzero(near & (apart.argmin(0)[near_b] == own))
+    if len(i) < least:
         return 0
     p, q = places_a[i], places_b[near_b[i]]
     turn, scale = (q[:, 2] - p[:, 2])[:, None], (q[:, 3] / p[:, 3])[:, None]
@@ -198,16 +202,33 @@ def inliers(places_a: np.ndarray, bits_a: np.ndarray, places_b: np.ndarray, bits
     return int((off <= TOLERANCE * np.maximum(1, q[None, :, 3])).sum(1).max())
 
 
-def table_keys(bits: np.ndarray) -> np.ndarray:
-    """The different keys of the descriptors of a picture in all tables."""
-    word = bits.view(np.uint16).reshape(len(bits), 16).astype(np.uint64)
-    out = []
+def _keys(bits: np.ndarray) -> np.ndarray:
+    """(tables, n): the keys of descriptors, the table's number above the bits of its window."""
+    word = np.ascontiguousarray(bits).view(np.uint16).reshape(len(bits), 16).T.astype(np.int64)
+    out = np.empty((len(TABLES), len(bits)), np.int64)
     for n, first in enumerate(TABLES):
-        key = np.full(len(bits), n, np.uint64)
+        out[n] = n
         for k in range(KEY_WORDS):
-            key = key << np.uint64(16) | word[:, (first + k) % 16]
-        out.append(mix(key))
-    return np.unique(np.concatenate(out)).view(np.int64)
+            out[n] = out[n] << 16 | word[(first + k) % 16]
+    return out
+
+
+def table_keys(bits: np.ndarray) -> np.ndarray:
+    """The different keys of the descriptors of a picture in all tables."""
+    return np.unique(_keys(bits))
+
+
+def _shared_keys(bits: np.ndarray, owner: np.ndarray, n_owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, bucket) of the keys that two descriptors or more have, each once; of all pictures of a task together, since most keys occur once."""
+    keys = _keys(bits).ravel()
+    order = np.argsort(keys)
+    keys = keys[order]
+    same = keys[1:] == keys[:-1]
+    again = np.r_[same, False] | np.r_[False, same]
+    bucket = np.cumsum(np.r_[True, ~same])[again] if len(keys) else keys
+    codes = np.unique(bucket * n_owners + np.tile(owner, len(TABLES))[order[again]]) if len(keys) else keys
+    bucket, owner = np.divmod(codes, max(1, n_owners))
+    return owner, np.unique(bucket, return_inverse=True)[1]
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,9 +275,8 @@ def _compare(pieces: pa.Table) -> pa.Table:
     seen = [(np.frombuffer(p, np.float32).reshape(-1, 4), np.frombuffer(b, np.uint64).reshape(-1, 4)) for part in blobs for p, b in part]
     order = np.argsort(node, kind="stable")
     node, side, seen = node[order], side[order], [seen[n] for n in order]
-    keys = [table_keys(bits) for _, bits in seen]
-    owner, keys = np.repeat(np.arange(len(node)), [len(k) for k in keys]), np.concatenate(keys)
-    _, bucket, n = np.unique(keys, return_inverse=True, return_counts=True)
+    owner, bucket = _shared_keys(np.concatenate([bits for _, bits in seen]), np.repeat(np.arange(len(node)), [len(bits) for _, bits in seen]), len(node))
+    n = np.bincount(bucket)
     # keys of one picture only, or of one block only where two meet, make no pairs
     of_first = np.bincount(bucket, side[owner] == first, len(n))
     use = ((n > 1) if first == second else (of_first > 0) & (of_first < n))[bucket]
@@ -277,7 +297,7 @@ def _compare(pieces: pa.Table) -> pa.Table:
         tested = np.union1d(tested, codes)
         for code in codes[np.argsort(-shared, kind="stable")].tolist():
             a, b = divmod(code, len(node))
-            if root[a] != root[b] and inliers(*seen[a], *seen[b]) >= LEAST_INLIERS:
+            if root[a] != root[b] and inliers(*seen[a], *seen[b], LEAST_INLIERS) >= LEAST_INLIERS:
                 links.append((node[a], node[b]))
                 low, high = sorted((root[a], root[b]))
                 root[root == high] = low

@@ -320,3 +320,42 @@ def test_keys_of_a_block_of_pictures_are_made_at_once(monkeypatch):
     pieces = images._pack(block)
     links = images._compare(pieces.append_column("i", pa.array([0] * len(pieces), pa.int32())).append_column("j", pa.array([0] * len(pieces), pa.int32())))
     assert calls == [sum(len(b) for _, b in seen)] and len(links) >= 18
+
+
+def test_texts_of_one_template_meet_in_tasks_without_a_row_a_pair():
+    import pyarrow as pa
+
+    r = random.Random(4)
+    common = words(60, 21)
+    texts = [f"{edited(common, 0.003 * (k % 6), k)} {words(r.randrange(4, 12), 700 + k)}" for k in range(60)] + [f"{common} {words(6, 700)}"] * 2
+    signed = pa.Table.from_batches(near_dedup._sign(iter([pa.record_batch([pa.array(range(62)), pa.array(texts), pa.array(texts)], ["doc_id", "text_key", "text"])])))
+    bags = pa.Table.from_batches(near_dedup._shingle_counts(iter([pa.record_batch([pa.array(range(62)), pa.array(texts)], ["node", "text"])])))
+    full = [bag(t) for t in texts]
+    bands = signed.column("bands").to_pylist()
+    pairs = {(a, b) for a in range(62) for b in range(a + 1, 62) if set(bands[a]) & set(bands[b])}
+    links = {(a, b) for a, b in pairs if probability_jaccard(full[a], full[b]) >= 0.8 - 1e-9}
+    assert len(pairs) > 300 and 1 < len(links) < len(pairs) / 2
+
+    def rows(blocks):
+        """Members of each bucket, all apart, as ``_met`` deals them."""
+        out = []
+        for n in range(62):
+            for bucket in bands[n]:
+                for other in range(blocks):
+                    i, j = sorted((n % blocks, other))
+                    out.append((i, j, {"node": n, "bucket": bucket, "root": n, "apart": True, "i": i, "j": j, "block": n % blocks}))
+        return [[x for i, j, x in out if (i, j) == at] for at in sorted({(i, j) for i, j, _ in out})]
+
+    def table(group):
+        own = pa.array([x["node"] for x in group])
+        t = pa.Table.from_pylist(group)
+        return t.append_column("sign", signed.column("sign").take(own)).append_column("bands", signed.column("bands").take(own)).append_column("shingles", bags.column("shingles").take(own)).append_column("counts", bags.column("counts").take(own))
+
+    for blocks in (1, 3):
+        near = pa.concat_tables([near_dedup._meeting(near_dedup.LEAST_ESTIMATE, None)(table(g)) for g in rows(blocks)])
+        assert {n for link in links for n in link} <= set(near.column("node").to_pylist())
+        found = [x for g in rows(blocks) for x in near_dedup._meeting(near_dedup.LEAST_ESTIMATE, near_dedup.SIMILARITY)(table(g)).to_pylist()]
+        got = [(x["a"], x["b"]) for x in found]
+        assert set(got) <= links and smallest_reachable(range(62), got) == smallest_reachable(range(62), links)
+        assert blocks > 1 or len(got) < 62  # a spanning forest
+        assert all(abs(x["similarity"] - probability_jaccard(full[x["a"]], full[x["b"]])) < 1e-6 for x in found)

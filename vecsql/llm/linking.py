@@ -58,13 +58,16 @@ def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 60)
 def linked_groups(
     members: DataFrame,
     verify: Callable[[DataFrame, bool], DataFrame],
-    alike: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame, Column]],
+    alike: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame, Column]] | None,
     scratch: Scratch,
+    meet: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) and components (node, root) of ``members(node, bucket)``; node is a long.
 
     verify: of pairs (a, b), those that are links; told whether they met the condition of alike. alike: gives two sides of rows (node, bucket,
-    root) what it needs and the condition, on ``x`` and ``y``, that a pair must meet to be verified.
+    root) what it needs and the condition, on ``x`` and ``y``, that a pair must meet to be verified. meet, in place of alike and the second
+    verify: of rows (node, bucket, root, apart), links that join all components with a link between two members of a bucket, one of them apart
+    from the bucket's hub; no pair has to be a row for that.
     """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     shared = scratch.save(members.join(sizes, "bucket"), "shared")
@@ -82,13 +85,18 @@ def linked_groups(
     rooted = rooted.join(hub_roots, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
     rooted = scratch.save(rooted, "rooted")
     # a bucket whose other members are all alone has been tested in full only if it has two members
-    apart = rooted.filter("root <> hub_root").select("node", "bucket", "hub", "root")
-    open_ = apart.groupBy("bucket").agg(F.count("*").alias("apart"))
-    x, y, condition = alike(apart, rooted.join(open_, "bucket").select("node", "bucket", "root"))
-    x, y = x.alias("x"), y.alias("y")
-    fresh = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & (F.col("y.node") != F.col("x.hub")) & condition
-    late = x.join(y, fresh).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = scratch.save(verify(late, True), "more")
+    if meet:
+        others = rooted.filter("node <> hub").select("node", "bucket", "root", (F.col("root") != F.col("hub_root")).alias("apart"))
+        open_ = others.groupBy("bucket").agg(F.max("apart").alias("any"), F.min("root").alias("low"), F.max("root").alias("high"))
+        more = scratch.save(meet(others.join(open_.filter("any AND low < high").select("bucket"), "bucket")), "more")
+    else:
+        apart = rooted.filter("root <> hub_root").select("node", "bucket", "hub", "root")
+        open_ = apart.groupBy("bucket").agg(F.count("*").alias("apart"))
+        x, y, condition = alike(apart, rooted.join(open_, "bucket").select("node", "bucket", "root"))
+        x, y = x.alias("x"), y.alias("y")
+        fresh = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & (F.col("y.node") != F.col("x.hub")) & condition
+        late = x.join(y, fresh).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        more = scratch.save(verify(late, True), "more")
     scratch.drop("rooted", "placed")
     links = links.union(more)
     return links, components(links, scratch, "all") if more.take(1) else groups

@@ -19,7 +19,7 @@ of texts of 1,000 words meet by chance once in 4,000 pairs, which moves a simila
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,11 @@ SLACK = 1e-9
 #: Up to so many keys (some 100 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 400_000
 
+#: Of a bucket's members, what a block holds about, and what a member takes beside its shingles.
+MEET_BYTES, MEMBER_BYTES = 4 << 20, 2048
+#: Pairs whose registers are compared at once.
+LISTED = 1 << 14
+
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -151,6 +156,78 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
 
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+_MEMBERS = pa.schema([("node", pa.int64()), ("bucket", pa.int64())])
+
+
+def _meeting(least: float, similarity: float | None) -> Callable[[pa.Table], pa.Table]:
+    """Compares the members of buckets that meet in a task: pairs of two components, one of them apart from its hub, in the first band that they share.
+
+    Without a similarity: (node, bucket) of those with an estimate of ``least`` or more. With one, and shingles and counts: links. A pair is
+    verified unless links found before in the task have joined both, so the links are fewer than the members.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        node, bucket, root, apart, i, j, block = (rows.column(c).to_numpy() for c in ("node", "bucket", "root", "apart", "i", "j", "block"))
+        order = np.lexsort((node, bucket))
+        node, bucket, apart, block, across = node[order], bucket[order], apart[order], block[order], (i != j)[order]
+        sign, bands = (np.concatenate([c.flatten().to_numpy() for c in rows.column(name).chunks]).reshape(len(rows), -1)[order] for name in ("sign", "bands"))
+        registers = (sign[:, :, None] >> np.arange(0, 60, LANE) & (1 << 14) - 1).astype(np.uint16).reshape(len(rows), -1)
+        joined = np.unique(root[order], return_inverse=True)[1]
+        bags = [rows.column(c).take(pa.array(order)).to_pylist() for c in ("shingles", "counts")] if similarity is not None else None
+        near, links = np.zeros(len(rows), bool), []
+
+        def look(p: np.ndarray, q: np.ndarray) -> None:
+            first = bands[p, (bands[p] == bands[q]).argmax(1)] == bucket[p]
+            p, q = p[first], q[first]
+            estimate = 1.0 - (registers[p] != registers[q]).sum(1) / REGISTERS
+            p, q, estimate = (v[estimate >= least] for v in (p, q, estimate))
+            near[p] = near[q] = True
+            if bags is None:
+                return
+            for k in np.argsort(-estimate, kind="stable").tolist():
+                a, b = int(p[k]), int(q[k])
+                if joined[a] == joined[b]:
+                    continue
+                found = probability_jaccard(*(np.frombuffer(column[n], np.uint32) for n in (a, b) for column in bags))
+                if found >= similarity - SLACK:
+                    links.append((min(node[a], node[b]), max(node[a], node[b]), found))
+                    joined[joined == max(joined[a], joined[b])] = min(joined[a], joined[b])
+
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        end = np.repeat(np.r_[starts[1:], len(bucket)], np.diff(np.r_[starts, len(bucket)]))
+        at, step, held, ps, qs = np.arange(len(node)), 1, 0, [], []
+        while len(at):
+            at = at[at + step < end[at]]
+            p, q = at, at + step
+            fresh = (joined[p] != joined[q]) & (apart[p] | apart[q]) & (~across[p] | (block[p] != block[q]))
+            ps.append(p[fresh])
+            qs.append(q[fresh])
+            held, step = held + int(np.count_nonzero(fresh)), step + 1
+            if held >= LISTED or not len(at):
+                p, q = np.concatenate(ps), np.concatenate(qs)
+                for n in range(0, len(p), LISTED):
+                    look(p[n : n + LISTED], q[n : n + LISTED])
+                held, ps, qs = 0, [], []
+        if bags is None:
+            return pa.table([node[near], bucket[near]], schema=_MEMBERS)
+        return pa.table([pa.array(v, t) for v, t in zip(zip(*links, strict=True), _LINKS.types, strict=True)] if links else _LINKS.empty_table().columns, schema=_LINKS)
+
+    return run
+
+
+def _met(members: DataFrame, weight: Column, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What ``run`` finds among the members of each bucket. Small buckets share a task; a large one is dealt into blocks, each two of them in a task."""
+    sizes = members.groupBy("bucket").agg(F.sum(weight).alias("bytes"))
+    cells = max(1, -(-(sizes.agg(F.sum("bytes")).first()[0] or 0) // MEET_BYTES))
+    blocks = F.ceil(F.col("bytes") / MEET_BYTES).cast("int")
+    sizes = sizes.select("bucket", blocks.alias("blocks"), F.when(blocks > 1, F.col("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(cells))).alias("cell"))
+    dealt = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
+    return dealt.groupBy("cell", "i", "j").applyInArrow(run, schema)
+
+
 def _key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")))
 
@@ -188,35 +265,37 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
 
     least = LEAST_ESTIMATE - (SIMILARITY - similarity)
 
-    def verify(pairs: DataFrame, estimated: bool) -> DataFrame:
-        name = f"pairs-{len(made)}"
-        made.append(name)
-        if not estimated:
-            signs = signed.select("node", "sign")
-            pairs = pairs.join(signs.toDF("a", "sign_a"), "a").join(signs.toDF("b", "sign_b"), "b")
-            pairs = pairs.filter(_estimate("sign_a", "sign_b") >= least).select("a", "b")
-        pairs = scratch.save(pairs, name)
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    def bags_of(nodes: DataFrame, name: str) -> DataFrame:
         wanted = scratch.save(nodes.join(classes, "node").select("node", F.col("text_key").alias("its_key"), F.col("least_id").alias("its_id")), f"{name}-texts")
         few = wanted.count() <= BROADCAST_KEYS
         on = (F.col("text_key") == F.col("its_key")) & F.col("doc_id").eqNullSafe(F.col("its_id"))
         texts = keyed.join(F.broadcast(wanted) if few else wanted, on).select("node", "text")
-        bags = scratch.save(texts.mapInArrow(_shingle_counts, "node long, shingles binary, counts binary").dropDuplicates(["node"]), f"{name}-bags")
+        return scratch.save(texts.mapInArrow(_shingle_counts, "node long, shingles binary, counts binary").dropDuplicates(["node"]), f"{name}-bags")
+
+    def verify(pairs: DataFrame, _: bool) -> DataFrame:
+        signs = signed.select("node", "sign")
+        pairs = pairs.join(signs.toDF("a", "sign_a"), "a").join(signs.toDF("b", "sign_b"), "b")
+        pairs = scratch.save(pairs.filter(_estimate("sign_a", "sign_b") >= least).select("a", "b"), "pairs")
+        bags = bags_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "pairs")
         both = pairs.join(bags.toDF("a", "shingles_a", "counts_a"), "a").join(bags.toDF("b", "shingles_b", "counts_b"), "b")
         found = both.select("a", "b", "shingles_a", "counts_a", "shingles_b", "counts_b").mapInArrow(_verify, "a long, b long, similarity double")
-        found = scratch.save(found.filter(F.col("similarity") >= similarity - SLACK), f"{name}-links")
-        scratch.drop(name, f"{name}-texts", f"{name}-bags")
+        found = scratch.save(found.filter(F.col("similarity") >= similarity - SLACK), "pairs-links")
+        scratch.drop("pairs", "pairs-texts", "pairs-bags")
         return found
 
-    def alike(apart: DataFrame, every: DataFrame):
-        signs = signed.select("node", "sign", "bands")
-        # a pair counts in the first band that it shares
-        shared = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True)
-        first = F.get("x.bands", (shared - 1).cast("int")) == F.col("x.bucket")
-        return apart.join(signs, "node"), every.join(signs, "node"), first & (_estimate("x.sign", "y.sign") >= least)
+    def meet(members: DataFrame) -> DataFrame:
+        members = scratch.save(members, "open")
+        signs = signed.select("node", "size", "sign", "bands")
+        # first by estimates alone; shingles are fetched for those only that have a partner
+        near = _met(members.join(signs, "node"), F.lit(MEMBER_BYTES), _meeting(least, None), "node long, bucket long")
+        near = scratch.save(near.distinct(), "near")
+        bags = bags_of(near.select("node").distinct(), "near")
+        again = near.join(members, ["node", "bucket"]).join(signs, "node").join(bags, "node")
+        found = scratch.save(_met(again, MEMBER_BYTES + 8 * F.col("size"), _meeting(least, similarity), "a long, b long, similarity double"), "near-links")
+        scratch.drop("open", "near", "near-texts", "near-bags")
+        return found
 
-    made: list[str] = []
-    links, roots = linked_groups(members, verify, alike, scratch)
+    links, roots = linked_groups(members, verify, None, scratch, meet)
     grouped = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = grouped.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "text_key")).alias("head"))
     grouped = grouped.join(heads, "root").select(
